@@ -151,7 +151,9 @@ def _window_sweep(events: DataFrame, steps: list[str], hours: list[int]) -> Data
 def _retention() -> dict[str, Query]:
     month, week = _on(_orders(), _month_retention), _on(_clicks(), _week_retention)
     by_channel = _on(_orders(channel=True), _month_retention, by=["channel"])
-    in_1996 = F.year("cohort_period") == 1996
+    # columns need a running session, so they are made when the query is
+    def in_1996():
+        return F.year("cohort_period") == 1996
 
     def of(query: Query, operator, *args, **options) -> Query:
         return lambda spark, sf: operator(query(spark, sf), *args, **options)
@@ -163,11 +165,11 @@ def _retention() -> dict[str, Query]:
         )
 
     def contrast(spark: SparkSession, sf: str) -> DataFrame:
-        label = F.when(in_1996, F.lit("campaign")).otherwise(F.lit("other"))
+        label = F.when(in_1996(), F.lit("campaign")).otherwise(F.lit("other"))
         return sw.cohort_contrast(month(spark, sf), label)
 
     def shift(spark: SparkSession, sf: str) -> DataFrame:
-        return sw.mix_shift(by_channel(spark, sf), "channel", in_1996, period_index=1)
+        return sw.mix_shift(by_channel(spark, sf), "channel", in_1996(), period_index=1)
 
     return {
         "retention_week": week,

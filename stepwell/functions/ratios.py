@@ -1,32 +1,29 @@
-"""Rates over counts, with every zero case spelled out (ANSI Spark raises on x / 0)."""
+"""Rates over counts as SQL expressions, with every zero case spelled out.
 
-from __future__ import annotations
+Spark in ANSI mode raises on x / 0, so each division is guarded.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def step_conversion(users: Column, previous: Column) -> Column:
+def step_conversion(users: str, previous: str) -> str:
     """Share of the previous step. First step and 0 / 0 give 1.0; n / 0 gives infinity."""
     return (
-        F.when(previous.isNull() | ((previous == 0) & (users == 0)), F.lit(1.0))
-        .when(previous == 0, F.lit(float("inf")))
-        .otherwise(users / previous)
+        f"CASE WHEN {previous} IS NULL OR ({previous} = 0 AND {users} = 0) THEN 1D"
+        f" WHEN {previous} = 0 THEN DOUBLE('Infinity')"
+        f" ELSE {users} / {previous} END"
     )
 
 
-def overall_conversion(users: Column, entered: Column) -> Column:
+def overall_conversion(users: str, entered: str) -> str:
     """Share of the users who entered; 0.0 when nobody did."""
-    return F.when(entered == 0, F.lit(0.0)).otherwise(users / entered)
+    return f"CASE WHEN {entered} = 0 THEN 0D ELSE {users} / {entered} END"
 
 
-def wilson_bound(successes: Column, total: Column, z: float, *, upper: bool) -> Column:
+def wilson_bound(successes: str, total: str, z: float, *, upper: bool) -> str:
     """One end of the Wilson score interval of ``successes / total``."""
-    n = total.cast("double")
-    rate = successes / n
-    centre = rate + F.lit(z * z) / (F.lit(2.0) * n)
-    margin = F.lit(z) * F.sqrt(
-        rate * (F.lit(1.0) - rate) / n + F.lit(z * z) / (F.lit(4.0) * n * n)
-    )
-    edge = centre + margin if upper else centre - margin
-    return edge / (F.lit(1.0) + F.lit(z * z) / n)
+    n, rate = f"DOUBLE({total})", f"({successes} / {total})"
+    z1, z2 = f"{z!r}D", f"{z * z!r}D"
+    centre = f"({rate} + {z2} / (2D * {n}))"
+    margin = f"({z1} * sqrt({rate} * (1D - {rate}) / {n} + {z2} / (4D * {n} * {n})))"
+    return f"({centre} {'+' if upper else '-'} {margin}) / (1D + {z2} / {n})"

@@ -25,6 +25,6 @@ def periods_between(start: Column, end: Column, period: str) -> Column:
     return months.cast("long")
 
 
-def whole_seconds_between(start: Column, end: Column) -> Column:
-    """Seconds between two instants, each first cut to its whole second."""
-    return F.unix_timestamp(end) - F.unix_timestamp(start)
+def whole_seconds_between(start: str, end: str) -> str:
+    """SQL: seconds between two instants, each first cut to its whole second."""
+    return f"(unix_timestamp({end}) - unix_timestamp({start}))"

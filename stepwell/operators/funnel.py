@@ -15,7 +15,7 @@ broadcast, and each step is one partial aggregation over the events where they l
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,12 +35,10 @@ DEFAULT_WINDOW_HOURS = 24 * 7
 
 def step_events(events: DataFrame, steps: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """The events of the funnel, with the step number (a byte) in place of the name."""
-    name = F.col("event_name")
-    number = F.lit(None)
-    for i, step in reversed(list(enumerate(steps))):
-        number = F.when(name == step, F.lit(i).cast("byte")).otherwise(number)
-    return events.filter(name.isin(list(steps))).select(
-        *by, "user_id", "event_ts", number.alias("step")
+    steps = list(steps)
+    number = F.array_position(F.lit(steps), F.col("event_name")) - 1
+    return events.filter(F.col("event_name").isin(steps)).select(
+        *by, "user_id", "event_ts", number.cast("byte").alias("step")
     )
 
 
@@ -72,15 +70,14 @@ def step_times(
     )
 
 
-def _time_of(step: int, after: Column | None = None) -> Column:
-    wanted = F.col("step") == step
-    if after is not None:
-        wanted &= F.col("event_ts") > after
-    return F.min(F.when(wanted, F.col("event_ts")))
+def _time_of(step: int, after: str | None = None) -> Column:
+    """Aggregate: the first event of ``step``, strictly after the time in column ``after``."""
+    later = f" AND event_ts > {after}" if after else ""
+    return F.expr(f"min(CASE WHEN step = {step}{later} THEN event_ts END)")
 
 
 def _ever(count: int) -> list[Column]:
-    return [F.max(F.col("step") == i).alias(f"ever{i}") for i in range(count)]
+    return [F.expr(f"max(step = {i}) AS ever{i}") for i in range(count)]
 
 
 def _times_by_window(rows: DataFrame, entity: list[str], count: int) -> DataFrame:
@@ -88,8 +85,8 @@ def _times_by_window(rows: DataFrame, entity: list[str], count: int) -> DataFram
     user = Window.partitionBy(*entity)
     rows = rows.withColumn("t0", _time_of(0).over(user))
     for i in range(1, count):
-        rows = rows.withColumn(f"t{i}", _time_of(i, F.col(f"t{i - 1}")).over(user))
-    times = [F.max(f"t{i}").alias(f"t{i}") for i in range(count)]
+        rows = rows.withColumn(f"t{i}", _time_of(i, f"t{i - 1}").over(user))
+    times = [F.expr(f"max(t{i}) AS t{i}") for i in range(count)]
     return rows.groupBy(*entity).agg(*times, *_ever(count))
 
 
@@ -101,30 +98,35 @@ def _times_by_rounds(rows: DataFrame, entity: list[str], count: int) -> DataFram
     state = rows.groupBy(*entity).agg(_time_of(0).alias("t0"), *_ever(count))
     for i in range(1, count):
         known = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
-        same_user = F.lit(True)
-        for key in entity:
-            same_user &= F.col(key).eqNullSafe(F.col(f"_{key}"))
         state = (
-            rows.join(F.broadcast(known), same_user)
+            rows.join(F.broadcast(known), same_keys(entity))
             .groupBy(*known.columns)
-            .agg(_time_of(i, F.col(f"_t{i - 1}")).alias(f"t{i}"))
+            .agg(_time_of(i, f"_t{i - 1}").alias(f"t{i}"))
             .select(*[F.col(f"_{c}").alias(c) for c in state.columns], f"t{i}")
         )
     return state
 
 
+def same_keys(keys: Sequence[str]) -> Column:
+    """Join condition ``key <=> _key`` for every key (NULL matches NULL)."""
+    return reduce(
+        lambda left, right: left & right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    )
+
+
 # ------------------------------------------------------------------------- per segment
 
 
-def reached(count: int, window_hours: float, window_from: str) -> list[Column]:
-    """For each step, whether the user of a ``step_times`` row got there within the window."""
-    limit = timedelta(seconds=int(window_hours * 3600))
-    flags = [F.col("t0").isNotNull()]
+def reached(count: int, window_hours: float, window_from: str) -> list[str]:
+    """For each step, the SQL condition that the user of a ``step_times`` row got there within
+    the window. A comparison with a time that is NULL is NULL, which counts as no."""
+    seconds = int(window_hours * 3600)
+    limit = f"make_dt_interval(0, 0, 0, {seconds})"
+    conditions = ["t0 IS NOT NULL"]
     for i in range(1, count):
-        anchor = F.col("t0" if window_from == "entry" else f"t{i - 1}")
-        in_time = F.coalesce(F.col(f"t{i}") <= anchor + F.lit(limit), F.lit(False))
-        flags.append(flags[-1] & in_time)
-    return flags
+        anchor = "t0" if window_from == "entry" else f"t{i - 1}"
+        conditions.append(f"{conditions[-1]} AND t{i} <= {anchor} + {limit}")
+    return conditions
 
 
 def step_counts(
@@ -141,37 +143,42 @@ def step_counts(
     users: reached in order and in time; naive: ever fired; ordered: reached in order at any
     time; median: hours from entry (NULL without ``medians``, or when nobody got there).
     """
-    by = list(by)
+    keys = [*by, "step"]
     in_time = reached(count, window_hours, window_from)
-    facts = [
-        F.struct(
-            F.lit(i).alias("step"),
-            flag.alias("in_time"),
-            F.col(f"ever{i}").alias("ever"),
-            F.col(f"t{i}").isNotNull().alias("in_order"),
-            F.when(flag, whole_seconds_between(F.col("t0"), F.col(f"t{i}"))).alias("seconds"),
-        )
-        for i, flag in enumerate(in_time)
+    facts = ", ".join(
+        f"named_struct('step', {i}, 'in_time', {in_time[i]}, 'ever', ever{i},"
+        f" 'in_order', t{i} IS NOT NULL, 'seconds', {whole_seconds_between('t0', f't{i}')})"
+        for i in range(count)
+    )
+    per_user = (
+        times.select(*by, F.expr(f"explode(array({facts})) AS fact"))
+        .select(*by, "fact.*")
+        .withColumn("seconds", F.expr("CASE WHEN in_time THEN seconds END"))
+    )
+    counted = ["users", "naive", "ordered"]
+    tally = [
+        F.expr(f"count_if({flag}) AS {name}")
+        for flag, name in zip(("in_time", "ever", "in_order"), counted, strict=True)
     ]
-    per_user = times.select(*by, F.explode(F.array(*facts)).alias("fact")).select(*by, "fact.*")
-    keys = [*by, "step"]
-    counted = {"users": "in_time", "naive": "ever", "ordered": "in_order"}
-    tally = [F.count(F.when(F.col(flag), 1)).alias(name) for name, flag in counted.items()]
     if medians:
         # Equal durations are combined first: at most one row per (step, second).
         per_second = per_user.groupBy(*keys, "seconds").agg(*tally)
         per_step = (
             mark_median(per_second, keys, "seconds", "users")
             .groupBy(*keys)
-            .agg(*[F.sum(n).alias(n) for n in counted], F.avg("at_median").alias("median"))
+            .agg(
+                *[F.expr(f"sum({n}) AS {n}") for n in counted],
+                F.expr("avg(at_median) / 3600D AS median"),
+            )
         )
     else:
-        per_step = per_user.groupBy(*keys).agg(*tally)
-        per_step = per_step.withColumn("median", F.lit(None).cast("double"))
-    entry = F.struct(
-        "step", F.struct(*counted, (F.col("median") / F.lit(3600.0)).alias("median"))
+        per_step = per_user.groupBy(*keys).agg(*tally, F.lit(None).cast("double").alias("median"))
+    return per_step.groupBy(*by).agg(
+        F.expr(
+            "map_from_entries(collect_list(struct(step, struct(users, naive, ordered, median))))"
+            " AS by_step"
+        )
     )
-    return per_step.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("by_step"))
 
 
 def with_all_segments(counts: DataFrame, base: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -179,54 +186,48 @@ def with_all_segments(counts: DataFrame, base: DataFrame, by: Sequence[str]) ->
     if not by:
         return counts
     segments = base.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
-    same = F.lit(True)
-    for column in by:
-        same &= F.col(column).eqNullSafe(F.col(f"_{column}"))
-    return segments.join(counts, same, "left").select(
+    return segments.join(counts, same_keys(by), "left").select(
         *[F.col(f"_{c}").alias(c) for c in by], "by_step"
     )
 
 
 def each_step(counts: DataFrame, steps: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """One row per (segment, step), steps without any user included, with ``now``, ``before``
-    and ``entry`` counts side by side."""
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("step_index"), F.lit(name).alias("step_name"))
-                for i, name in enumerate(steps)
-            ]
-        )
-    )
-
-    def counts_at(step: Column) -> Column:
-        return F.try_element_at("by_step", step)
+    """One row per (segment, step), steps without any user included.
 
+    ``users``, ``naive``, ``ordered`` and ``median`` are those of the step; ``of_entry`` and
+    ``of_previous`` hold the counts of the first step and the one before.
+    """
+    every_step = F.posexplode(F.lit(list(steps))).alias("step_index", "step_name")
+    at = "try_element_at(by_step, {})".format
+    none = "named_struct('users', 0L, 'naive', 0L, 'ordered', 0L, 'median', CAST(NULL AS DOUBLE))"
     return (
-        counts.withColumn("step", rows)
-        .select(*by, "step.*", "by_step")
-        .withColumn("now", counts_at(F.col("step_index")))
-        .withColumn("before", counts_at(F.col("step_index") - 1))
-        .withColumn("entry", counts_at(F.lit(0)))
+        counts.select(*by, "by_step", every_step)
+        .select(
+            *by,
+            "step_index",
+            "step_name",
+            F.expr(f"coalesce({at('step_index')}, {none}) AS of_step"),
+            F.expr(f"coalesce({at('0')}, {none}) AS of_entry"),
+            F.expr(
+                f"CASE WHEN step_index > 0 THEN coalesce({at('step_index - 1')}, {none}) END"
+                " AS of_previous"
+            ),
+        )
+        .select("*", "of_step.*")
     )
 
 
-def _n(of: str, field: str) -> Column:
-    return F.coalesce(F.col(f"{of}.{field}"), F.lit(0).cast("long"))
-
-
-def _funnel_columns(by: Sequence[str], field: str, median_hours: Column) -> list[Column]:
-    users, entered = _n("now", field), _n("entry", field)
-    previous = F.when(F.col("step_index") > 0, _n("before", field))
+def _funnel_columns(by: Sequence[str], field: str, median_hours: str) -> list[Column]:
+    entered, previous = f"of_entry.{field}", f"of_previous.{field}"
     return [
         *[F.col(c) for c in by],
         F.col("step_index"),
         F.col("step_name"),
-        users.alias("users"),
-        median_hours.alias("median_hours"),
-        step_conversion(users, previous).alias("step_conversion"),
-        overall_conversion(users, entered).alias("overall_conversion"),
-        F.coalesce(previous - users, F.lit(0).cast("long")).alias("dropped"),
+        F.col(field).alias("users"),
+        F.expr(f"{median_hours} AS median_hours"),
+        F.expr(f"{step_conversion(field, previous)} AS step_conversion"),
+        F.expr(f"{overall_conversion(field, entered)} AS overall_conversion"),
+        F.expr(f"coalesce({previous} - {field}, 0L) AS dropped"),
     ]
 
 
@@ -265,7 +266,7 @@ def funnel(
         by=by,
     )
     counts = with_all_segments(counts, apply_filters(events, filters), by)
-    median = F.when(F.col("step_index") == 0, F.lit(0.0)).otherwise(F.col("now.median"))
+    median = "CASE WHEN step_index = 0 THEN 0D ELSE median END"
     return (
         each_step(counts, steps, by)
         .select(*_funnel_columns(by, "users", median))
@@ -286,16 +287,18 @@ def naive_funnel(
     count = len(steps)
     users = step_events(base, steps, by).groupBy(*by, "user_id").agg(*_ever(count))
     totals = users.groupBy(*by).agg(
-        *[F.count(F.when(F.col(f"ever{i}"), 1)).alias(f"n{i}") for i in range(count)]
+        *[F.expr(f"count_if(ever{i}) AS n{i}") for i in range(count)]
     )
-    by_step = F.map_from_arrays(
-        F.array(*[F.lit(i) for i in range(count)]),
-        F.array(*[F.struct(F.col(f"n{i}").alias("naive")) for i in range(count)]),
+    entries = ", ".join(
+        f"{i}, named_struct('users', 0L, 'naive', n{i}, 'ordered', 0L,"
+        " 'median', CAST(NULL AS DOUBLE))"
+        for i in range(count)
     )
+    by_step = F.expr(f"map({entries})")
     counts = with_all_segments(totals.select(*by, by_step.alias("by_step")), base, by)
     return (
         each_step(counts, steps, by)
-        .select(*_funnel_columns(by, "naive", F.lit(None).cast("double")))
+        .select(*_funnel_columns(by, "naive", "CAST(NULL AS DOUBLE)"))
         .orderBy(*by, "step_index")
     )
 
@@ -336,16 +339,17 @@ def compare(
     rows = _both_counts(
         events, steps, window_hours, window_from, filters, by, times, small_input_bytes
     )
-    ordered, naive = _n("now", "users"), _n("now", "naive")
     return rows.select(
         *by,
         "step_index",
         "step_name",
-        ordered.alias("users_ordered"),
-        overall_conversion(ordered, _n("entry", "users")).alias("overall_conversion_ordered"),
-        naive.alias("users_naive"),
-        overall_conversion(naive, _n("entry", "naive")).alias("overall_conversion_naive"),
-        (naive - ordered).alias("overcount"),
+        F.col("users").alias("users_ordered"),
+        F.expr(
+            f"{overall_conversion('users', 'of_entry.users')} AS overall_conversion_ordered"
+        ),
+        F.col("naive").alias("users_naive"),
+        F.expr(f"{overall_conversion('naive', 'of_entry.naive')} AS overall_conversion_naive"),
+        F.expr("naive - users AS overcount"),
     ).orderBy(*by, "step_index")
 
 
@@ -369,13 +373,12 @@ def overcount_reasons(
     rows = _both_counts(
         events, steps, window_hours, window_from, filters, by, times, small_input_bytes
     )
-    counted, in_order = _n("now", "users"), _n("now", "ordered")
     return rows.select(
         *by,
         "step_index",
         "step_name",
-        _n("now", "naive").alias("users_naive"),
-        counted.alias("counted"),
-        (in_order - counted).alias("out_of_window"),
-        (_n("now", "naive") - in_order).alias("out_of_order"),
+        F.col("naive").alias("users_naive"),
+        F.col("users").alias("counted"),
+        F.expr("ordered - users AS out_of_window"),
+        F.expr("naive - ordered AS out_of_order"),
     ).orderBy(*by, "step_index")

@@ -189,7 +189,11 @@ def cohort_sizes(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def with_confidence(long: DataFrame, z: float = 1.959963984540054) -> DataFrame:
     """Add the Wilson score interval of every observed rate as ``ci_low`` and ``ci_high``."""
-    active, size = F.col("active_users"), F.col("cohort_size")
-    return long.withColumn("ci_low", wilson_bound(active, size, z, upper=False)).withColumn(
-        "ci_high", wilson_bound(active, size, z, upper=True)
+    ends = {"ci_low": False, "ci_high": True}
+    return long.select(
+        "*",
+        *[
+            F.expr(wilson_bound("active_users", "cohort_size", z, upper=upper)).alias(name)
+            for name, upper in ends.items()
+        ],
     )

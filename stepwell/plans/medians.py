@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,17 +19,10 @@ def mark_median(counts: DataFrame, group: Sequence[str], value: str, n: str) ->
 
     ``avg("at_median")`` per group is then the median; groups without values give NULL.
     """
-    running = (
-        Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    )
-
-    def holds(rank: Column) -> Column:
-        return (rank <= F.col("upto")) & (rank > F.col("upto") - F.col(n))
-
-    middle = holds(F.expr("(total + 1) div 2")) | holds(F.expr("total div 2 + 1"))
-    return (
-        counts.withColumn("upto", F.sum(n).over(running))
-        .withColumn("total", F.sum(n).over(Window.partitionBy(*group)))
-        .withColumn("at_median", F.when(middle, F.col(value)))
-        .drop("upto", "total")
-    )
+    whole = Window.partitionBy(*group)
+    running = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    holds = f"({{rank}} <= upto AND {{rank}} > upto - {n})".format
+    lower, upper = holds(rank="(total + 1) div 2"), holds(rank="total div 2 + 1")
+    return counts.withColumns(
+        {"upto": F.sum(n).over(running), "total": F.sum(n).over(whole)}
+    ).withColumn("at_median", F.expr(f"CASE WHEN {lower} OR {upper} THEN {value} END"))

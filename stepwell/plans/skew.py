@@ -65,10 +65,12 @@ def heavy_keys(
             F.count(F.lit(1)).alias("rows"),
         )
     )
-    merged = partial.agg(
+    # Grouped by a constant: combining no sketch at all is an error in Spark, and a grouped
+    # aggregate simply has no row for an empty table or an empty partition.
+    merged = partial.groupBy(F.lit(0)).agg(
         F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
         F.sum("rows").alias("rows"),
-    ).filter("rows > 0")
+    )
     top = merged.select(
         F.explode(F.expr(f"approx_top_k_estimate(sketch, {MAX_KEYS})")).alias("top"), "rows"
     ).filter(F.col("top.count") >= F.col("rows") * HEAVY_SHARE)

@@ -1,0 +1,180 @@
+from __future__ import annotations
+
+from datetime import date, datetime
+
+import pytest
+from conftest import FUNNEL_ROWS, at, column, hours
+from pyspark.sql import functions as F
+
+import stepwell as sw
+from stepwell.sources.tables import scratch_path
+
+STEPS = ["signup", "lesson_start", "lesson_complete"]
+
+
+def test_schema(table):
+    assert table().schema == sw.EVENT_SCHEMA
+    assert table(*FUNNEL_ROWS).count() == 9
+
+
+def test_build_and_open(spark, funnel_events, tmp_path):
+    path = str(tmp_path / "events")
+    assert sw.build_event_table(funnel_events, path) == 9
+    assert sw.build_event_table(funnel_events, path) == 9  # rebuilt, not appended
+    events = sw.open_event_table(spark, path)
+    assert events.columns == sw.EVENT_SCHEMA.names
+    assert column(sw.funnel(events, STEPS), "users") == [4, 1, 1]
+    typed = sw.open_event_table(spark, path, schema=sw.EVENT_SCHEMA)
+    assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, funnel_events.collect()))
+
+
+def test_reporting_window_prunes_directories(spark, funnel_events, tmp_path):
+    path = str(tmp_path / "events")
+    sw.build_event_table(funnel_events, path)
+    recent = sw.open_event_table(spark, path, start=date(2026, 1, 6), end=date(2026, 1, 15))
+    assert column(recent, "user_id") == ["jumbled"]
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    read = {row.path for row in recent.select(F.input_file_name().alias("path")).collect()}
+    assert [path for path in read if "event_date=2026-01-06" not in path] == []
+
+
+def test_missing_table_is_a_clear_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="Build it first"):
+        sw.open_event_table(spark, str(tmp_path / "nowhere"))
+    with pytest.raises(FileNotFoundError, match="Build it first"):
+        sw.open_event_table(spark, str(tmp_path / "nowhere"), schema=sw.EVENT_SCHEMA)
+
+
+def test_distinct_values(table):
+    events = table(
+        ("u", hours(0), "b", "x"), ("u", hours(1), "a", "x"), ("v", hours(2), "b", "y")
+    )
+    assert column(sw.distinct_values(events, "event_name"), "event_name") == ["a", "b"]
+    assert column(sw.distinct_values(events, "channel"), "channel") == ["x", "y"]
+    with pytest.raises(ValueError, match="Not a filterable column"):
+        sw.distinct_values(events, "user_id")
+
+
+def test_to_events_maps_any_source(spark):
+    source = spark.createDataFrame([(7, "2026-01-05 10:00:00", "x")], "id long, at string, kind string")
+    events = sw.to_events(
+        source, user_id="id", event_ts=F.to_timestamp_ntz("at"), event_name=F.upper("kind")
+    )
+    assert [tuple(r) for r in events.collect()] == [(7, at("05 10:00"), "X")]
+
+
+def test_first_events_survive_late_and_repeated_batches(spark, funnel_events, table, tmp_path):
+    path, compacted = str(tmp_path / "first"), str(tmp_path / "compacted")
+    early = F.col("event_ts") < datetime(2026, 1, 6)
+    sw.add_first_events(funnel_events.filter(~early), path, 1)
+    sw.add_first_events(funnel_events.filter(early), path, 0)
+    sw.add_first_events(funnel_events.filter(~early), path, 1)
+    expected = sorted(map(tuple, sw.first_events(funnel_events).collect()))
+    assert sorted(map(tuple, sw.read_first_events(spark, path).collect())) == expected
+    sw.compact_first_events(spark, path, compacted)
+    sw.add_first_events(table(("clean", hours(-1), "signup")), compacted, 1)
+    merged = sw.read_first_events(spark, compacted)
+    assert merged.filter("user_id = 'clean' AND event_name = 'signup'").head().event_ts == hours(-1)
+    assert merged.count() == len(expected)
+
+
+def test_first_events_serve_naive_but_not_ordered_funnels(table):
+    events = table(
+        ("u", hours(5), "c"), ("u", hours(6), "a"), ("u", hours(10), "b"), ("u", hours(12), "c")
+    )
+    first = sw.first_events(events)
+    assert column(sw.naive_funnel(first, ["a", "b", "c"]), "users") == [1, 1, 1]
+    assert column(sw.funnel(events, ["a", "b", "c"]), "users") == [1, 1, 1]
+    assert column(sw.funnel(first, ["a", "b", "c"]), "users") == [1, 1, 0]
+
+
+def test_streamed_first_events_equal_the_batch_result(spark, funnel_events, tmp_path):
+    source, path, checkpoint = (str(tmp_path / name) for name in ("in", "first", "checkpoint"))
+    reader = spark.readStream.schema(sw.EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+    late = F.col("event_ts") >= datetime(2026, 1, 6)
+    for part in (late, ~late):  # the older events arrive in the second run
+        funnel_events.filter(part).coalesce(1).write.mode("append").parquet(source)
+        sw.stream_first_events(reader.parquet(source), path, checkpoint).awaitTermination()
+    got = sw.read_first_events(spark, path)
+    assert sorted(map(tuple, got.collect())) == sorted(
+        map(tuple, sw.first_events(funnel_events).collect())
+    )
+    assert len(list((tmp_path / "first").glob("batch=*"))) == 2
+
+
+def test_cube_is_stored_by_level(spark, funnel_events, tmp_path):
+    path = str(tmp_path / "cube")
+    cube = sw.funnel_cube(funnel_events, STEPS, ["channel", "platform"])
+    sw.write_cube(cube, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == cube.count() == 12
+    assert (tmp_path / "cube" / "level=all").is_dir()
+
+
+def test_scratch_folder_is_the_one_the_cluster_names(spark):
+    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+    class Cluster:
+        conf = {"spark.checkpoint.dir": "hdfs://shared/checkpoints"}
+
+    assert scratch_path(Cluster, "x").startswith("hdfs://shared/checkpoints/stepwell-x-")
+
+
+def test_quality(table):
+    events = table(
+        ("good", hours(0), "signup"),
+        ("good", hours(1), "lesson_start"),
+        ("twice", hours(0), "signup"),
+        ("twice", hours(2), "signup"),
+        ("early", hours(0), "lesson_start"),
+        ("early", hours(1), "signup"),
+        ("none", hours(900), "banner"),
+    )
+    vocabulary = ["signup", "lesson_start"]
+    rows = sw.event_quality(events, vocabulary, datetime(2026, 2, 1), "signup").collect()
+    got = {r.check: (r.checked, r.violations) for r in rows}
+    assert got == {
+        "known_event_name": (7, 1),
+        "before_horizon": (7, 1),
+        "anchor_comes_first": (4, 2),
+        "exactly_one_anchor": (4, 2),
+        "user_id_not_null": (7, 0),
+        "event_ts_not_null": (7, 0),
+        "event_name_not_null": (7, 0),
+        "channel_not_null": (7, 0),
+        "platform_not_null": (7, 0),
+    }
+
+
+def test_quality_counts_nulls_and_empty_tables(spark, table):
+    holes = spark.createDataFrame(
+        [("u", None, "signup"), (None, hours(0), None)],
+        "user_id string, event_ts timestamp_ntz, event_name string",
+    )
+    rows = sw.event_quality(holes, ["signup"], datetime(2026, 2, 1), "signup").collect()
+    assert {r.check: r.violations for r in rows if r.check.endswith("null")} == {
+        "user_id_not_null": 1,
+        "event_ts_not_null": 1,
+        "event_name_not_null": 1,
+    }
+    nothing = sw.event_quality(table(), ["signup"], datetime(2026, 2, 1), "signup").collect()
+    assert {(r.checked, r.violations) for r in nothing} == {(0, 0)}
+
+
+def test_histogram(funnel_events):
+    assert [tuple(r) for r in sw.event_histogram(funnel_events).collect()] == [
+        ("signup", 4),
+        ("lesson_complete", 3),
+        ("lesson_start", 2),
+    ]
+
+
+def test_populations(funnel_events):
+    late = sw.late_activators(funnel_events, anchor="signup", activity="lesson_start")
+    assert [tuple(r) for r in late.collect()] == [("late", at("05 09:00"), at("15 09:00"))]
+    assert sw.late_activators(
+        funnel_events, anchor="signup", activity="lesson_start", hours=240
+    ).count() == 0
+    skipped = sw.did_without(funnel_events, did="lesson_complete", never="lesson_start")
+    assert [tuple(r) for r in skipped.collect()] == [("jumbled", 1)]
