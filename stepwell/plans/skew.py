@@ -67,7 +67,7 @@ def heavy_keys(
     )
     # Grouped by a constant: combining no sketch at all is an error in Spark, and a grouped
     # aggregate simply has no row for an empty table or an empty partition.
-    merged = partial.groupBy(F.lit(0)).agg(
+    merged = partial.groupBy(F.lit("all").alias("all")).agg(
         F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
         F.sum("rows").alias("rows"),
     )
