@@ -30,6 +30,15 @@ from .validation import check_steps, check_window
 DEFAULT_WINDOW_HOURS = 24 * 7
 
 
+def window_seconds(window_hours: float) -> int:
+    return int(window_hours * 3600)
+
+
+def farthest_seconds(count: int, window_hours: float, window_from: str) -> int:
+    """How long after entry the last step can lie."""
+    return window_seconds(window_hours) * (1 if window_from == "entry" else count - 1)
+
+
 # --------------------------------------------------------------------------- per user
 
 
@@ -48,6 +57,7 @@ def step_times(
     *,
     filters: Filters = None,
     by: Sequence[str] = (),
+    within_seconds: int | None = None,
     heavy: Sequence[int] | None = None,
     small_input_bytes: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
@@ -55,19 +65,22 @@ def step_times(
 
     ``t<i>`` is the time the user reached step i in order, without a time limit; NULL when
     never. ``ever<i>`` tells whether the event was ever fired at all. Cache this table to
-    evaluate many windows. ``heavy`` takes a list found earlier by ``plans.skew.heavy_keys``.
+    evaluate many windows. ``within_seconds`` allows (and does not promise) to leave out times
+    that far after entry, which drops most events early when windows are short. ``heavy``
+    takes a list found earlier by ``plans.skew.heavy_keys``.
     """
     check_steps(steps)
-    entity = [*by, "user_id"]
+    entity, count = [*by, "user_id"], len(steps)
     rows = step_events(apply_filters(events, filters), steps, by)
     if heavy is None:
         heavy = heavy_keys(rows, entity, small_input_bytes)
-    if not heavy:
-        return _times_by_window(rows, entity, len(steps))
-    is_heavy = key_hash(entity).isin(list(heavy))
-    return _times_by_window(rows.filter(~is_heavy), entity, len(steps)).unionByName(
-        _times_by_rounds(rows.filter(is_heavy), entity, len(steps))
-    )
+    if heavy:
+        is_heavy = key_hash(entity).isin(list(heavy))
+        light = _times_by_window(rows.filter(~is_heavy), entity, count, within_seconds)
+        times = light.unionByName(_times_by_rounds(rows.filter(is_heavy), entity, count))
+    else:
+        times = _times_by_window(rows, entity, count, within_seconds)
+    return times.select(*entity, *[f"t{i}" for i in range(count)], *_ever(count))
 
 
 def _time_of(step: int, after: str | None = None) -> Column:
@@ -76,18 +89,50 @@ def _time_of(step: int, after: str | None = None) -> Column:
     return F.expr(f"min(CASE WHEN step = {step}{later} THEN event_ts END)")
 
 
+#: Steps per bit mask.
+MASK_BITS = 62
+
+
+def _fired(count: int) -> dict[str, Column]:
+    """Aggregates: bit masks of the steps fired, one column per ``MASK_BITS`` steps."""
+    return {
+        f"fired{m}": F.expr(
+            f"bit_or(CASE WHEN step div {MASK_BITS} = {m}"
+            f" THEN shiftleft(1L, step % {MASK_BITS}) ELSE 0L END)"
+        )
+        for m in range((count - 1) // MASK_BITS + 1)
+    }
+
+
 def _ever(count: int) -> list[Column]:
-    return [F.expr(f"max(step = {i}) AS ever{i}") for i in range(count)]
+    return [
+        F.expr(f"getbit(fired{i // MASK_BITS}, {i % MASK_BITS}) = 1 AS ever{i}")
+        for i in range(count)
+    ]
+
 
+def _times_by_window(
+    rows: DataFrame, entity: list[str], count: int, within_seconds: int | None
+) -> DataFrame:
+    """One exchange and one sort; each step is a window over the same partitioning.
 
-def _times_by_window(rows: DataFrame, entity: list[str], count: int) -> DataFrame:
-    """One exchange and one sort; each step is a window over the same partitioning."""
+    The exchange is spelled out, so that only the three columns of ``rows`` cross it and the
+    window arguments are made behind it. Once entry is known, only events after it can matter.
+    """
     user = Window.partitionBy(*entity)
-    rows = rows.withColumn("t0", _time_of(0).over(user))
+    per_user = {"t0": _time_of(0), "first_ts": F.min("event_ts"), **_fired(count)}
+    rows = rows.repartition(*entity).withColumns(
+        {name: aggregate.over(user) for name, aggregate in per_user.items()}
+    )
+    after_entry = "event_ts > t0"
+    if within_seconds is not None:
+        after_entry += f" AND event_ts <= t0 + make_dt_interval(0, 0, 0, {within_seconds})"
+    # the first event stays for users who have no other row left
+    rows = rows.filter(f"event_ts = first_ts OR ({after_entry})")
     for i in range(1, count):
         rows = rows.withColumn(f"t{i}", _time_of(i, f"t{i - 1}").over(user))
-    times = [F.expr(f"max(t{i}) AS t{i}") for i in range(count)]
-    return rows.groupBy(*entity).agg(*times, *_ever(count))
+    kept = [*[f"t{i}" for i in range(count)], *_fired(count)]
+    return rows.groupBy(*entity).agg(*[F.max(name).alias(name) for name in kept])
 
 
 def _times_by_rounds(rows: DataFrame, entity: list[str], count: int) -> DataFrame:
@@ -95,7 +140,10 @@ def _times_by_rounds(rows: DataFrame, entity: list[str], count: int) -> DataFram
 
     Only for the bounded list of heavy users: their state (one row each) is broadcast.
     """
-    state = rows.groupBy(*entity).agg(_time_of(0).alias("t0"), *_ever(count))
+    state = rows.groupBy(*entity).agg(
+        _time_of(0).alias("t0"),
+        *[aggregate.alias(name) for name, aggregate in _fired(count).items()],
+    )
     for i in range(1, count):
         known = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
         state = (
@@ -120,8 +168,7 @@ def same_keys(keys: Sequence[str]) -> Column:
 def reached(count: int, window_hours: float, window_from: str) -> list[str]:
     """For each step, the SQL condition that the user of a ``step_times`` row got there within
     the window. A comparison with a time that is NULL is NULL, which counts as no."""
-    seconds = int(window_hours * 3600)
-    limit = f"make_dt_interval(0, 0, 0, {seconds})"
+    limit = f"make_dt_interval(0, 0, 0, {window_seconds(window_hours)})"
     conditions = ["t0 IS NOT NULL"]
     for i in range(1, count):
         anchor = "t0" if window_from == "entry" else f"t{i - 1}"
@@ -256,14 +303,15 @@ def funnel(
     check_window(window_hours, window_from)
     if times is None:
         times = step_times(
-            events, steps, filters=filters, by=by, small_input_bytes=small_input_bytes
+            events,
+            steps,
+            filters=filters,
+            by=by,
+            within_seconds=farthest_seconds(len(steps), window_hours, window_from),
+            small_input_bytes=small_input_bytes,
         )
     counts = step_counts(
-        times,
-        len(steps),
-        window_hours=window_hours,
-        window_from=window_from,
-        by=by,
+        times, len(steps), window_hours=window_hours, window_from=window_from, by=by
     )
     counts = with_all_segments(counts, apply_filters(events, filters), by)
     median = "CASE WHEN step_index = 0 THEN 0D ELSE median END"
@@ -285,9 +333,12 @@ def naive_funnel(
     check_steps(steps)
     base = apply_filters(events, filters)
     count = len(steps)
-    users = step_events(base, steps, by).groupBy(*by, "user_id").agg(*_ever(count))
-    totals = users.groupBy(*by).agg(
-        *[F.expr(f"count_if(ever{i}) AS n{i}") for i in range(count)]
+    fired = [aggregate.alias(name) for name, aggregate in _fired(count).items()]
+    users = step_events(base, steps, by).groupBy(*by, "user_id").agg(*fired)
+    totals = (
+        users.select(*by, *_ever(count))
+        .groupBy(*by)
+        .agg(*[F.expr(f"count_if(ever{i}) AS n{i}") for i in range(count)])
     )
     entries = ", ".join(
         f"{i}, named_struct('users', 0L, 'naive', n{i}, 'ordered', 0L,"
@@ -304,22 +355,24 @@ def naive_funnel(
 
 
 def _both_counts(
-    events, steps, window_hours, window_from, filters, by, times, small_input_bytes
+    events, steps, window_hours, window_from, filters, by, times, small_input_bytes, bounded
 ) -> DataFrame:
     """``each_step`` rows that carry ordered and naive counts from one pass."""
     check_steps(steps)
     check_window(window_hours, window_from)
+    count = len(steps)
     if times is None:
+        farthest = farthest_seconds(count, window_hours, window_from) if bounded else None
         times = step_times(
-            events, steps, filters=filters, by=by, small_input_bytes=small_input_bytes
+            events,
+            steps,
+            filters=filters,
+            by=by,
+            within_seconds=farthest,
+            small_input_bytes=small_input_bytes,
         )
     counts = step_counts(
-        times,
-        len(steps),
-        window_hours=window_hours,
-        window_from=window_from,
-        by=by,
-        medians=False,
+        times, count, window_hours=window_hours, window_from=window_from, by=by, medians=False
     )
     return each_step(with_all_segments(counts, apply_filters(events, filters), by), steps, by)
 
@@ -337,7 +390,7 @@ def compare(
 ) -> DataFrame:
     """Ordered and naive counts side by side, and by how much the naive one is too high."""
     rows = _both_counts(
-        events, steps, window_hours, window_from, filters, by, times, small_input_bytes
+        events, steps, window_hours, window_from, filters, by, times, small_input_bytes, True
     )
     return rows.select(
         *by,
@@ -371,7 +424,7 @@ def overcount_reasons(
     came later).
     """
     rows = _both_counts(
-        events, steps, window_hours, window_from, filters, by, times, small_input_bytes
+        events, steps, window_hours, window_from, filters, by, times, small_input_bytes, False
     )
     return rows.select(
         *by,

@@ -2,78 +2,88 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import random
 from datetime import timedelta
 from statistics import median
 
 import pytest
 from conftest import MONDAY, column
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 
 import stepwell as sw
 from stepwell.operators.funnel import step_events, step_times
 from stepwell.plans.skew import heavy_keys, key_hash
 
 STEPS = ["a", "b", "c", "d"]
-HISTORIES = st.lists(
-    st.tuples(st.integers(0, 3), st.integers(0, 30), st.sampled_from([*STEPS, "x"])), max_size=40
-)
-
-
-def brute_force(rows, window_seconds, window_from):
-    """(users, naive, out of order, median) per step, one user and one step at a time."""
-    by_user = defaultdict(list)
-    for user, ts, name in rows:
-        by_user[user].append((ts, name))
-    delays, naive, in_order = ([[] for _ in STEPS] for _ in range(3))
-    for history in by_user.values():
-        for i, step in enumerate(STEPS):
-            if any(name == step for _, name in history):
-                naive[i].append(1)
-        for bounded, out in ((True, delays), (False, in_order)):
-            entry = previous = None
-            for i, step in enumerate(STEPS):
-                anchor = entry if window_from == "entry" else previous
-                times = [
-                    ts
-                    for ts, name in history
-                    if name == step
-                    and (i == 0 or ts > previous)
-                    and (i == 0 or not bounded or (ts - anchor).total_seconds() <= window_seconds)
-                ]
-                if not times:
-                    break
-                previous = min(times)
-                entry = previous if i == 0 else entry
-                out[i].append((previous - entry).total_seconds())
-    return [
-        (len(d), len(n), len(n) - len(o), median(d) / 3600 if d else None)
-        for d, n, o in zip(delays, naive, in_order, strict=True)
-    ]
-
-
-@settings(
-    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
-)
-@given(HISTORIES, st.sampled_from([2, 6, 20]), st.sampled_from(["entry", "previous"]))
-def test_random_histories(table, histories, window_hours, window_from):
-    rows = [(f"u{u}", MONDAY + timedelta(hours=h), name) for u, h, name in histories]
-    expected = brute_force(rows, window_hours * 3600, window_from)
-    events = table(*rows)
-    for small in (0, 1 << 60):
-        times = step_times(events, STEPS, small_input_bytes=small)
-        options = {"window_hours": window_hours, "window_from": window_from, "times": times}
-        counts = sw.funnel(events, STEPS, **options).collect()
-        why = sw.overcount_reasons(events, STEPS, **options).collect()
-        got = [
-            (c.users, w.users_naive, w.out_of_order, c.median_hours)
-            for c, w in zip(counts, why, strict=True)
-        ]
-        assert got == [
-            (users, naive, odd, 0.0 if i == 0 else mid)
-            for i, (users, naive, odd, mid) in enumerate(expected)
+HOUR = timedelta(hours=1)
+
+
+@pytest.fixture(scope="module")
+def histories():
+    """500 users with up to 14 events each, on a grid of 20 hours so that times collide."""
+    rng = random.Random(7)
+    return {
+        f"u{u}": [
+            (MONDAY + HOUR * rng.randrange(20), rng.choice([*STEPS, "x"]))
+            for _ in range(rng.randrange(15))
         ]
+        for u in range(500)
+    }
+
+
+@pytest.fixture(scope="module")
+def random_events(table, histories):
+    rows = [(user, ts, name) for user, events in histories.items() for ts, name in events]
+    return table(*rows).cache()
+
+
+def chain(history, window=None, window_from="entry"):
+    """Times of the steps reached, one step at a time, straight from the definition."""
+    reached = []
+    for step in STEPS:
+        times = [ts for ts, name in history if name == step]
+        if reached:
+            anchor = reached[0] if window_from == "entry" else reached[-1]
+            times = [t for t in times if t > reached[-1] and (not window or t <= anchor + window)]
+        if not times:
+            break
+        reached.append(min(times))
+    return reached
+
+
+@pytest.mark.parametrize("small", [0, 1 << 60], ids=["rounds", "windows"])
+def test_times_of_every_user(random_events, histories, small):
+    times = step_times(random_events, STEPS, small_input_bytes=small)
+    got = {
+        r.user_id: ([r[f"t{i}"] for i in range(4)], [r[f"ever{i}"] for i in range(4)])
+        for r in times.collect()
+    }
+    expected = {}
+    for user, history in histories.items():
+        names = {name for _, name in history}
+        if names & set(STEPS):
+            reached = chain(history)
+            padded = reached + [None] * (4 - len(reached))
+            expected[user] = (padded, [step in names for step in STEPS])
+    assert got == expected
+
+
+@pytest.mark.parametrize("window_from", ["entry", "previous"])
+@pytest.mark.parametrize("window_hours", [2, 5, 12])
+def test_counts_and_medians(random_events, histories, window_hours, window_from):
+    options = {"window_hours": window_hours, "window_from": window_from}
+    rows = sw.funnel(random_events, STEPS, **options).collect()
+    reasons = sw.overcount_reasons(random_events, STEPS, **options).collect()
+    in_time = [chain(h, HOUR * window_hours, window_from) for h in histories.values()]
+    in_order = [chain(h) for h in histories.values()]
+    for i, (row, why) in enumerate(zip(rows, reasons, strict=True)):
+        delays = [(c[i] - c[0]) / HOUR for c in in_time if len(c) > i]
+        ordered = sum(len(c) > i for c in in_order)
+        naive = sum(any(name == STEPS[i] for _, name in h) for h in histories.values())
+        assert row.users == why.counted == len(delays)
+        assert row.median_hours == (median(delays) if delays else None)
+        assert why.users_naive == naive
+        assert why.out_of_window == ordered - len(delays)
+        assert why.out_of_order == naive - ordered
 
 
 @pytest.fixture(scope="module")
