@@ -70,7 +70,9 @@ def step_times(
     takes a list found earlier by ``plans.skew.heavy_keys``.
     """
     check_steps(steps)
-    entity, count = [*by, "user_id"], len(steps)
+    # The user first: rows are sorted by the first key's leading bytes, and segment names
+    # would leave nearly all of them tied.
+    entity, count = ["user_id", *by], len(steps)
     rows = step_events(apply_filters(events, filters), steps, by)
     if heavy is None:
         heavy = heavy_keys(rows, entity, small_input_bytes)
@@ -80,7 +82,9 @@ def step_times(
         times = light.unionByName(_times_by_rounds(rows.filter(is_heavy), entity, count))
     else:
         times = _times_by_window(rows, entity, count, within_seconds)
-    return times.select(*entity, *[f"t{i}" for i in range(count)], *_ever(count))
+    return times.select(
+        *by, "user_id", *[f"t{i}" for i in range(count)], *_ever(count)
+    )
 
 
 def _time_of(step: int, after: str | None = None) -> Column:

@@ -129,7 +129,9 @@ def _cohort_cells(periods: DataFrame, by: list[str], period: str, returns: str)
     group with a NULL cohort (users without an anchor, events of other names) is kept: its
     periods count for the horizon.
     """
-    user = Window.partitionBy(*by, "relevant", "user_id")
+    # The user first: rows are sorted by the first key's leading bytes, and flags or segment
+    # names would leave nearly all of them tied.
+    user = Window.partitionBy("user_id", *by, "relevant")
     cohort = F.min(F.when(F.col("anchored"), F.col("period"))).over(user)
     users = periods.withColumn("cohort", cohort)
     counts = F.col("active")
