@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default: all) choose the run.
-Each query runs BENCH_RUNS times (default 3) to the last row; the best run counts.
+Every query first runs once to warm the JVM (reported as "first_run"), then BENCH_RUNS times
+(default 2) to its last row; the best run counts.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from stepwell import get_spark  # noqa: E402
 HEADLINE = [
     "funnel_entry_72h",
     "funnel_previous_72h",
-    "funnel_heavy_users",
     "funnel_filtered",
     "funnel_by_channel",
+    "funnel_by_user_channel",
     "funnel_cube",
     "naive_funnel",
     "funnel_compare_72h",
@@ -51,20 +52,21 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "*")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     partitions = cpus if cpus != "*" else str(os.cpu_count())
     spark = get_spark(
         "bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=partitions
     )
     spark.sparkContext.setLogLevel("ERROR")
-    queries, seconds, cold = all_queries(), {}, {}
-    for name in HEADLINE:
-        times = []
-        for _ in range(runs):
-            start = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
-        seconds[name], cold[name] = round(min(times), 3), round(times[0], 3)
+    queries = all_queries()
+
+    def run(name: str) -> float:
+        start = time.perf_counter()
+        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        return round(time.perf_counter() - start, 3)
+
+    cold = {name: run(name) for name in HEADLINE}
+    seconds = {name: min(run(name) for _ in range(runs)) for name in HEADLINE}
     print(
         json.dumps(
             {

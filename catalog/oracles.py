@@ -365,6 +365,12 @@ SELECT u.user_id, t0, t1, t2, t3 FROM users u LEFT JOIN s3 ON s3.user_id = u.use
         ),
         "funnel_by_channel": funnel(CLICKS, CLICK_STEPS, 72, by=["channel"]),
         "funnel_by_platform": funnel(CLICKS, CLICK_STEPS, 168, by=["platform"]),
+        "funnel_by_user_channel": funnel(CLICKS, CLICK_STEPS, 72, by=["channel"]),
+        "funnel_report": f"""
+SELECT step_index, step_name, users, round_even(median_hours, 2) AS median_hours,
+       round_even(step_conversion, 4) AS step_conversion,
+       printf('%.1f%%', overall_conversion * 100) AS overall_conversion, dropped
+FROM ({entry}) f""",
         "funnel_cube": funnel(_cube_of(CLICKS), CLICK_STEPS, 168, by=CUBE),
         "naive_funnel": naive(CLICKS, CLICK_STEPS),
         "naive_funnel_by_priority": naive(ORDERS, ["P", "O", "F"], by=["platform"]),
@@ -383,6 +389,9 @@ SELECT u.user_id, t0, t1, t2, t3 FROM users u LEFT JOIN s3 ON s3.user_id = u.use
         "retention_week": _long(*WEEK),
         "retention_month": _long(*MONTH),
         "retention_matrix": _matrix(retention_ctes(*MONTH), "retention", 12),
+        "retention_report": "SELECT strftime(cohort_period, '%Y-%m-%d') AS cohort_period, "
+        + ", ".join(f'round_even("{k}", 3) AS "{k}"' for k in range(13))
+        + f" FROM ({_matrix(retention_ctes(*MONTH), 'retention', 12)}) m",
         "active_users_matrix": _matrix(retention_ctes(*WEEK), "active_users", 5),
         "blended_curve": _blended(retention_ctes(*MONTH)),
         "retention_filtered": _long(*MONTH, where="platform = '1-URGENT'"),

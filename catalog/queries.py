@@ -15,6 +15,7 @@ from stepwell.sources.adapters import (
     fulfilment_events,
     order_events,
     read_table,
+    user_channels,
 )
 from stepwell.sources.tables import scratch_path
 
@@ -90,6 +91,8 @@ def _funnels() -> dict[str, Query]:
         "funnel_by_platform": _on(
             _clicks(), sw.funnel, CLICK_STEPS, window_hours=168, by=["platform"]
         ),
+        "funnel_by_user_channel": _by_user_channel,
+        "funnel_report": _on(_clicks(), _funnel_report),
         "funnel_cube": _on(
             _clicks(channel=True),
             sw.funnel_cube,
@@ -127,6 +130,27 @@ def _funnels() -> dict[str, Query]:
     }
 
 
+def _by_user_channel(spark: SparkSession, sf: str) -> DataFrame:
+    """The channel belongs to the user, so it joins one row per user and not every event."""
+    times = step_times(clickstream_events(spark, sf), CLICK_STEPS)
+    channels = user_channels(spark, sf)
+    return sw.funnel_from_times(
+        times.join(channels, "user_id", "left"),
+        CLICK_STEPS,
+        window_hours=72,
+        by=["channel"],
+        segments=channels,
+    )
+
+
+def _funnel_report(events: DataFrame) -> DataFrame:
+    return sw.for_display(
+        sw.funnel(events, CLICK_STEPS, window_hours=72),
+        digits={"step_conversion": 4, "median_hours": 2},
+        percent={"overall_conversion": 1},
+    )
+
+
 def _times_only(events: DataFrame, steps: list[str]) -> DataFrame:
     times = step_times(events, steps)
     return times.select("user_id", *[f"t{i}" for i in range(len(steps))])
@@ -148,6 +172,11 @@ def _window_sweep(events: DataFrame, steps: list[str], hours: list[int]) -> Data
     )
 
 
+def _matrix_report(matrix: DataFrame) -> DataFrame:
+    periods = [c for c in matrix.columns if c != "cohort_period"]
+    return sw.for_display(matrix, digits=dict.fromkeys(periods, 3), dates=["cohort_period"])
+
+
 def _retention() -> dict[str, Query]:
     month, week = _on(_orders(), _month_retention), _on(_clicks(), _week_retention)
     by_channel = _on(_orders(channel=True), _month_retention, by=["channel"])
@@ -175,6 +204,7 @@ def _retention() -> dict[str, Query]:
         "retention_week": week,
         "retention_month": month,
         "retention_matrix": of(month, sw.as_matrix, max_periods=12),
+        "retention_report": of(of(month, sw.as_matrix, max_periods=12), _matrix_report),
         "active_users_matrix": of(week, sw.as_matrix, "active_users", max_periods=5),
         "blended_curve": of(month, sw.blended_curve),
         "retention_filtered": _on(

@@ -8,9 +8,16 @@ from .operators.first_events import (
     first_events,
     read_first_events,
 )
-from .operators.funnel import compare, funnel, naive_funnel, overcount_reasons, step_times
+from .operators.funnel import (
+    compare,
+    funnel,
+    funnel_from_times,
+    naive_funnel,
+    overcount_reasons,
+    step_times,
+)
 from .operators.quality import did_without, event_histogram, event_quality, late_activators
-from .operators.reports import kpi_row
+from .operators.reports import for_display, kpi_row
 from .operators.retention import (
     as_matrix,
     blended_curve,
@@ -45,8 +52,10 @@ __all__ = [
     "event_quality",
     "events_from_rows",
     "first_events",
+    "for_display",
     "funnel",
     "funnel_cube",
+    "funnel_from_times",
     "get_spark",
     "kpi_row",
     "late_activators",

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.ratios import overall_conversion, step_conversion
 from ..functions.time import whole_seconds_between
 from ..plans.medians import mark_median
-from ..plans.skew import SMALL_INPUT_BYTES, heavy_keys, key_hash
+from ..plans.skew import MAX_KEYS, SMALL_INPUT_BYTES, heavy_keys, key_hash
 from .filters import Filters, apply_filters
 from .validation import check_steps, check_window
 
@@ -43,11 +43,11 @@ def farthest_seconds(count: int, window_hours: float, window_from: str) -> int:
 
 
 def step_events(events: DataFrame, steps: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The events of the funnel, with the step number (a byte) in place of the name."""
+    """The events of the funnel, with the step number in place of the name."""
     steps = list(steps)
     number = F.array_position(F.lit(steps), F.col("event_name")) - 1
     return events.filter(F.col("event_name").isin(steps)).select(
-        *by, "user_id", "event_ts", number.cast("byte").alias("step")
+        *by, "user_id", "event_ts", number.cast("int").alias("step")
     )
 
 
@@ -58,6 +58,7 @@ def step_times(
     filters: Filters = None,
     by: Sequence[str] = (),
     within_seconds: int | None = None,
+    colocated: bool = False,
     heavy: Sequence[int] | None = None,
     small_input_bytes: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
@@ -66,25 +67,29 @@ def step_times(
     ``t<i>`` is the time the user reached step i in order, without a time limit; NULL when
     never. ``ever<i>`` tells whether the event was ever fired at all. Cache this table to
     evaluate many windows. ``within_seconds`` allows (and does not promise) to leave out times
-    that far after entry, which drops most events early when windows are short. ``heavy``
-    takes a list found earlier by ``plans.skew.heavy_keys``.
+    that far after entry, which drops most events early when windows are short. Set
+    ``colocated`` when ``events`` is already partitioned by ``user_id`` (a bucketed table, the
+    result of a join on the user): then no event moves at all. ``heavy`` takes a list found
+    earlier by ``plans.skew.heavy_keys``.
     """
     check_steps(steps)
+    if heavy is not None and len(heavy) > MAX_KEYS:
+        raise ValueError(f"at most {MAX_KEYS} heavy users, got {len(heavy)}")
     # The user first: rows are sorted by the first key's leading bytes, and segment names
     # would leave nearly all of them tied.
     entity, count = ["user_id", *by], len(steps)
     rows = step_events(apply_filters(events, filters), steps, by)
     if heavy is None:
         heavy = heavy_keys(rows, entity, small_input_bytes)
+    is_heavy = key_hash(entity).isin(list(heavy))
+    light = rows.filter(~is_heavy) if heavy else rows
+    # Spelled out, so that only the columns of ``rows`` cross the exchange: the arguments of
+    # the windows are then made behind it.
+    placed = light if colocated else light.repartition("user_id")
+    times = _times_by_window(placed, entity, count, within_seconds)
     if heavy:
-        is_heavy = key_hash(entity).isin(list(heavy))
-        light = _times_by_window(rows.filter(~is_heavy), entity, count, within_seconds)
-        times = light.unionByName(_times_by_rounds(rows.filter(is_heavy), entity, count))
-    else:
-        times = _times_by_window(rows, entity, count, within_seconds)
-    return times.select(
-        *by, "user_id", *[f"t{i}" for i in range(count)], *_ever(count)
-    )
+        times = times.unionByName(_times_by_rounds(rows.filter(is_heavy), entity, count))
+    return times.select(*by, "user_id", *[f"t{i}" for i in range(count)], *_ever(count))
 
 
 def _time_of(step: int, after: str | None = None) -> Column:
@@ -118,14 +123,13 @@ def _ever(count: int) -> list[Column]:
 def _times_by_window(
     rows: DataFrame, entity: list[str], count: int, within_seconds: int | None
 ) -> DataFrame:
-    """One exchange and one sort; each step is a window over the same partitioning.
+    """One sort; each step is a window over the same partitioning by user.
 
-    The exchange is spelled out, so that only the three columns of ``rows`` cross it and the
-    window arguments are made behind it. Once entry is known, only events after it can matter.
+    Once entry is known, only events after it can matter.
     """
     user = Window.partitionBy(*entity)
     per_user = {"t0": _time_of(0), "first_ts": F.min("event_ts"), **_fired(count)}
-    rows = rows.repartition(*entity).withColumns(
+    rows = rows.withColumns(
         {name: aggregate.over(user) for name, aggregate in per_user.items()}
     )
     after_entry = "event_ts > t0"
@@ -232,9 +236,11 @@ def step_counts(
     )
 
 
-def with_all_segments(counts: DataFrame, base: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_all_segments(
+    counts: DataFrame, base: DataFrame | None, by: Sequence[str]
+) -> DataFrame:
     """Add the segments of ``base`` that have no step event at all."""
-    if not by:
+    if not by or base is None:
         return counts
     segments = base.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
     return segments.join(counts, same_keys(by), "left").select(
@@ -293,7 +299,6 @@ def funnel(
     window_from: str = "entry",
     filters: Filters = None,
     by: Sequence[str] = (),
-    times: DataFrame | None = None,
     small_input_bytes: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
     """Step-ordered, time-windowed funnel, one row per (segment, step).
@@ -301,26 +306,51 @@ def funnel(
     Columns: ``by``..., step_index, step_name, users, median_hours, step_conversion,
     overall_conversion, dropped. Each step must come strictly after the one before and at
     most ``window_hours`` after the first step (``window_from="entry"``) or the step before
-    (``"previous"``). Pass ``times`` (a cached ``step_times``) to try several windows.
+    (``"previous"``).
+    """
+    check_steps(steps)
+    check_window(window_hours, window_from)
+    times = step_times(
+        events,
+        steps,
+        filters=filters,
+        by=by,
+        within_seconds=farthest_seconds(len(steps), window_hours, window_from),
+        small_input_bytes=small_input_bytes,
+    )
+    return funnel_from_times(
+        times,
+        steps,
+        window_hours=window_hours,
+        window_from=window_from,
+        by=by,
+        segments=apply_filters(events, filters),
+    )
+
+
+def funnel_from_times(
+    times: DataFrame,
+    steps: Sequence[str],
+    *,
+    window_hours: float = DEFAULT_WINDOW_HOURS,
+    window_from: str = "entry",
+    by: Sequence[str] = (),
+    segments: DataFrame | None = None,
+) -> DataFrame:
+    """:func:`funnel` from a ``step_times`` table.
+
+    Cache the table to try several windows. To segment by an attribute of the user, join the
+    attribute to ``times`` (one row per user) rather than to the events. ``segments`` is any
+    table whose ``by`` columns list the segments to report even when empty.
     """
     check_steps(steps)
     check_window(window_hours, window_from)
-    if times is None:
-        times = step_times(
-            events,
-            steps,
-            filters=filters,
-            by=by,
-            within_seconds=farthest_seconds(len(steps), window_hours, window_from),
-            small_input_bytes=small_input_bytes,
-        )
     counts = step_counts(
         times, len(steps), window_hours=window_hours, window_from=window_from, by=by
     )
-    counts = with_all_segments(counts, apply_filters(events, filters), by)
     median = "CASE WHEN step_index = 0 THEN 0D ELSE median END"
     return (
-        each_step(counts, steps, by)
+        each_step(with_all_segments(counts, segments, by), steps, by)
         .select(*_funnel_columns(by, "users", median))
         .orderBy(*by, "step_index")
     )

@@ -1,7 +1,9 @@
-"""The headline figures of a funnel and a retention curve, as one row."""
+"""Results as people read them: headline figures, rounded numbers, percentages, dates."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +30,23 @@ def kpi_row(funnel_rows: DataFrame, long: DataFrame) -> DataFrame:
     return ends.unionByName(first_period, allowMissingColumns=True).agg(
         *[F.max(name).alias(name) for name in names]
     )
+
+
+def for_display(
+    result: DataFrame,
+    *,
+    digits: Mapping[str, int] | None = None,
+    percent: Mapping[str, int] | None = None,
+    dates: Sequence[str] = (),
+) -> DataFrame:
+    """Round, format as percentages and cut times to dates; other columns stay as they are.
+
+    ``digits`` and ``percent`` map a column to its decimals. Halves go to the even neighbour.
+    """
+    shown = {name: F.bround(name, n) for name, n in (digits or {}).items()}
+    for name, n in (percent or {}).items():
+        number = F.format_number(F.col(name) * 100, n)
+        shown[name] = F.concat(F.replace(number, F.lit(","), F.lit("")), F.lit("%"))
+    for name in dates:
+        shown[name] = F.col(name).cast("date").cast("string")
+    return result.withColumns(shown)

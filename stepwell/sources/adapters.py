@@ -13,16 +13,33 @@ from pyspark.sql import functions as F
 from .schema import to_events
 
 
+# The layout of the test tables. Naming it spares a job per table to look it up.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double,"
+    " props string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_channel(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
-    """Add each user's market segment as ``channel``."""
-    channels = read_table(spark, sf_dir, "customer").select(
+def user_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's market segment as ``channel``."""
+    return read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("channel")
     )
-    return events.join(channels, "user_id", "left")
+
+
+def with_channel(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    return events.join(user_channels(spark, sf_dir), "user_id", "left")
 
 
 def clickstream_events(

@@ -25,12 +25,13 @@ def hours(value: float) -> datetime:
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    warehouse = tmp_path_factory.mktemp("warehouse")
     session = get_spark(
         "tests",
         master="local[4]",
         spark__sql__shuffle__partitions="4",
-        spark__driver__host="127.0.0.1",
+        spark__sql__warehouse__dir=str(warehouse),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -122,7 +122,7 @@ def test_windows_widen(skewed):
     before = [0] * len(STEPS)
     for window_hours in (1, 10, 100, 1000):
         now = column(
-            sw.funnel(skewed, STEPS, window_hours=window_hours, times=times), "users"
+            sw.funnel_from_times(times, STEPS, window_hours=window_hours), "users"
         )
         assert all(a <= b for a, b in zip(before, now, strict=True))
         assert all(a >= b for a, b in zip(now, now[1:], strict=False))

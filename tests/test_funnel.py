@@ -83,36 +83,49 @@ def test_step_zero_ignored_by_users_who_never_entered(table):
     assert [r.out_of_order for r in rows] == [0, 1, 1]
 
 
+#: case -> (events as (name, hour), window_from, users per step) under a window of 24 hours
+EDGES = {
+    "tie": ([("a", 0), ("b", 0)], "entry", [1, 0, 0]),
+    "at the edge": ([("a", 0), ("b", 24)], "entry", [1, 1, 0]),
+    "past the edge": ([("a", 0), ("b", 24 + 1 / 3600)], "entry", [1, 0, 0]),
+    "first anchor counts": ([("a", 0), ("a", 48), ("b", 49)], "entry", [1, 0, 0]),
+    "order, then again": ([("c", 5), ("a", 6), ("b", 10), ("c", 12)], "entry", [1, 1, 1]),
+    "step skipped": ([("a", 0), ("c", 1), ("b", 2)], "entry", [1, 1, 0]),
+    "late third step": ([("a", 0), ("b", 20), ("c", 30)], "entry", [1, 1, 0]),
+    "each step in time": ([("a", 0), ("b", 20), ("c", 30)], "previous", [1, 1, 1]),
+    "greedy": ([("a", 0), ("b", 12), ("b", 22), ("c", 43)], "previous", [1, 1, 0]),
+    "broken by a gap": ([("a", 0), ("b", 30), ("c", 31)], "previous", [1, 0, 0]),
+}
+
+
+@pytest.fixture(scope="module")
+def edge_events(table):
+    """Every case is a channel of its own, so one segmented funnel runs them all."""
+    return table(
+        *[
+            ("u", hours(hour), name, case)
+            for case, (events, _, _) in EDGES.items()
+            for name, hour in events
+        ]
+    ).cache()
+
+
 @pytest.mark.parametrize("small", PATHS)
-@pytest.mark.parametrize(
-    ("rows", "options", "expected"),
-    [
-        pytest.param([("a", 0), ("b", 0)], {}, [1, 0, 0], id="tie"),
-        pytest.param([("a", 0), ("b", 24)], {}, [1, 1, 0], id="at the edge"),
-        pytest.param([("a", 0), ("b", 24 + 1 / 3600)], {}, [1, 0, 0], id="past the edge"),
-        pytest.param([("a", 0), ("a", 48), ("b", 49)], {}, [1, 0, 0], id="first anchor counts"),
-        pytest.param(
-            [("a", 0), ("b", 12), ("b", 22), ("c", 43)],
-            {"window_from": "previous"},
-            [1, 1, 0],
-            id="greedy",
-        ),
-        pytest.param(
-            [("c", 5), ("a", 6), ("b", 10), ("c", 12)], {}, [1, 1, 1], id="order, then again"
-        ),
-        pytest.param([("a", 0), ("c", 1), ("b", 2)], {}, [1, 1, 0], id="step skipped"),
-        pytest.param(
-            [("a", 0), ("b", 30), ("c", 31)],
-            {"window_from": "previous"},
-            [1, 0, 0],
-            id="chain broken by an early gap",
-        ),
-    ],
-)
-def test_edges(table, small, rows, options, expected):
-    events = table(*[("u", hours(h), name) for name, h in rows])
-    got = users(events, ABC, window_hours=24, small_input_bytes=small, **options)
-    assert got == expected
+@pytest.mark.parametrize("window_from", ["entry", "previous"])
+def test_edges(edge_events, small, window_from):
+    rows = sw.funnel(
+        edge_events,
+        ABC,
+        window_hours=24,
+        window_from=window_from,
+        by=["channel"],
+        small_input_bytes=small,
+    ).collect()
+    got = {r.channel: [] for r in rows}
+    for row in rows:
+        got[row.channel].append(row.users)
+    expected = {case: users for case, (_, anchor, users) in EDGES.items() if anchor == window_from}
+    assert {case: got[case] for case in expected} == expected
 
 
 def test_seconds_are_cut_before_they_are_subtracted(table):
@@ -134,15 +147,15 @@ def test_median_is_measured_from_entry_with_window_from_previous(table):
     assert [r.median_hours for r in rows] == [0.0, 10.0, 20.0]
 
 
-@pytest.mark.parametrize(
-    ("delays", "median"), [([1], 1), ([1, 4], 2.5), ([5, 1, 2], 2), ([1, 1, 1, 9], 1), ([3, 9, 9, 3], 6)]
-)
-def test_medians(table, delays, median):
+def test_medians(table):
+    cases = {"1": 1, "1 4": 2.5, "5 1 2": 2, "1 1 1 9": 1, "3 9 9 3": 6}
     rows = []
-    for i, delay in enumerate(delays):
-        rows += [(f"u{i}", hours(i), "a"), (f"u{i}", hours(i + delay), "b")]
-    got = sw.funnel(table(*rows), ["a", "b"], window_hours=99).collect()
-    assert got[1].median_hours == median
+    for case in cases:
+        for i, delay in enumerate(case.split()):
+            user = f"{case}-{i}"
+            rows += [(user, hours(i), "a", case), (user, hours(i + int(delay)), "b", case)]
+    got = sw.funnel(table(*rows), ["a", "b"], window_hours=99, by=["channel"]).collect()
+    assert {r.channel: r.median_hours for r in got if r.step_index == 1} == cases
 
 
 def test_nobody_entered(funnel_events):
@@ -271,10 +284,33 @@ def test_cube_levels_equal_filtered_calls(segmented):
 
 def test_one_table_of_times_serves_many_windows(funnel_events):
     times = sw.step_times(funnel_events, STEPS).cache()
-    assert users(funnel_events, STEPS, window_hours=MONTH, times=times) == [4, 2, 2]
-    assert users(funnel_events, STEPS, window_hours=WEEK, times=times) == [4, 1, 1]
-    assert column(sw.compare(funnel_events, STEPS, window_hours=WEEK, times=times), "overcount") == [
-        0,
-        1,
-        2,
-    ]
+    month = sw.funnel_from_times(times, STEPS, window_hours=MONTH)
+    week = sw.funnel_from_times(times, STEPS, window_hours=WEEK)
+    assert column(month, "users") == [4, 2, 2]
+    assert column(week, "users") == [4, 1, 1]
+    both = sw.compare(funnel_events, STEPS, window_hours=WEEK, times=times)
+    assert column(both, "overcount") == [0, 1, 2]
+
+
+def test_an_attribute_of_the_user_joins_the_times(spark, segmented):
+    plans = spark.createDataFrame([("u1", "pro"), ("u2", "free"), ("u3", "free")], "user_id string, plan string")
+    times = sw.step_times(segmented, ["a", "b"]).join(plans, "user_id", "left")
+    rows = sw.funnel_from_times(times, ["a", "b"], window_hours=24, by=["plan"]).collect()
+    assert [(r.plan, r.users) for r in rows] == [("free", 1), ("free", 1), ("pro", 1), ("pro", 1)]
+    listed = spark.createDataFrame([("free",), ("pro",), ("trial",)], "plan string")
+    rows = sw.funnel_from_times(
+        times, ["a", "b"], window_hours=24, by=["plan"], segments=listed
+    ).collect()
+    assert [(r.plan, r.users) for r in rows][4:] == [("trial", 0), ("trial", 0)]
+
+
+def test_more_steps_than_bits_in_a_mask(table):
+    steps = [f"s{i}" for i in range(130)]
+    rows = [("u", hours(i), step) for i, step in enumerate(steps[:100])]
+    counts = column(sw.naive_funnel(table(*rows, ("v", hours(0), "s129")), steps), "users")
+    assert counts == [1] * 100 + [0] * 29 + [1]
+
+
+def test_a_list_of_heavy_users_is_bounded(funnel_events):
+    with pytest.raises(ValueError, match="heavy users"):
+        sw.step_times(funnel_events, STEPS, heavy=list(range(2001)))

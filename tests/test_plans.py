@@ -40,10 +40,19 @@ def test_compare_costs_one_pass(clicks):
 
 def test_naive_funnel_combines_before_the_shuffle(clicks):
     plan = plan_of(sw.naive_funnel(clicks, STEPS))
-    assert "partial_max" in plan and plan.count("FileScan") == 1
+    assert "partial_bit_or" in plan and plan.count("FileScan") == 1
     assert "Window" not in plan
 
 
+def test_a_bucketed_table_moves_no_event(spark, clicks):
+    clicks.write.mode("overwrite").bucketBy(4, "user_id").saveAsTable("bucketed_clicks")
+    try:
+        plan = plan_of(sw.step_times(spark.table("bucketed_clicks"), STEPS, colocated=True))
+        assert "Exchange" not in plan and plan.count("FileScan") == 1
+    finally:
+        spark.sql("DROP TABLE bucketed_clicks")
+
+
 def test_retention_scans_once_without_a_join(spark):
     events = order_events(spark, SF)
     plan = plan_of(

@@ -178,3 +178,19 @@ def test_populations(funnel_events):
     ).count() == 0
     skipped = sw.did_without(funnel_events, did="lesson_complete", never="lesson_start")
     assert [tuple(r) for r in skipped.collect()] == [("jumbled", 1)]
+
+
+def test_display(spark):
+    shown = sw.for_display(
+        spark.createDataFrame(
+            [(0.12345, 0.0625, at("05 10:00")), (2.5, 12.5, None)],
+            "a double, b double, c timestamp_ntz",
+        ),
+        digits={"a": 4},
+        percent={"b": 1},
+        dates=["c"],
+    )
+    assert [tuple(r) for r in shown.collect()] == [
+        (0.1234, "6.2%", "2026-01-05"),
+        (2.5, "1250.0%", None),
+    ]
