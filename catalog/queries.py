@@ -133,13 +133,11 @@ def _funnels() -> dict[str, Query]:
 def _by_user_channel(spark: SparkSession, sf: str) -> DataFrame:
     """The channel belongs to the user, so it joins one row per user and not every event."""
     times = step_times(clickstream_events(spark, sf), CLICK_STEPS)
-    channels = user_channels(spark, sf)
     return sw.funnel_from_times(
-        times.join(channels, "user_id", "left"),
+        times.join(user_channels(spark, sf), "user_id", "left"),
         CLICK_STEPS,
         window_hours=72,
         by=["channel"],
-        segments=channels,
     )
 
 
