@@ -175,13 +175,16 @@ def same_keys(keys: Sequence[str]) -> Column:
 
 def reached(count: int, window_hours: float, window_from: str) -> list[str]:
     """For each step, the SQL condition that the user of a ``step_times`` row got there within
-    the window. A comparison with a time that is NULL is NULL, which counts as no."""
+    the window. A comparison with a time that is NULL is NULL, which counts as no.
+
+    Times increase along a chain, so from entry the last step in time vouches for those before
+    it; from the previous step every gap has to be short enough.
+    """
     limit = f"make_dt_interval(0, 0, 0, {window_seconds(window_hours)})"
-    conditions = ["t0 IS NOT NULL"]
-    for i in range(1, count):
-        anchor = "t0" if window_from == "entry" else f"t{i - 1}"
-        conditions.append(f"{conditions[-1]} AND t{i} <= {anchor} + {limit}")
-    return conditions
+    if window_from == "entry":
+        return ["t0 IS NOT NULL", *[f"t{i} <= t0 + {limit}" for i in range(1, count)]]
+    gaps = [f"t{i} <= t{i - 1} + {limit}" for i in range(1, count)]
+    return ["t0 IS NOT NULL", *[" AND ".join(gaps[:i]) for i in range(1, count)]]
 
 
 def step_counts(
