@@ -84,8 +84,9 @@ def step_times(
     is_heavy = key_hash(entity).isin(list(heavy))
     light = rows.filter(~is_heavy) if heavy else rows
     # Spelled out, so that only the columns of ``rows`` cross the exchange: the arguments of
-    # the windows are then made behind it.
-    placed = light if colocated else light.repartition("user_id")
+    # the windows are then made behind it. By the whole key: a user who is heavy only over
+    # many segments taken together is spread over as many tasks.
+    placed = light if colocated else light.repartition(*entity)
     times = _times_by_window(placed, entity, count, within_seconds)
     if heavy:
         times = times.unionByName(_times_by_rounds(rows.filter(is_heavy), entity, count))

@@ -293,7 +293,9 @@ def test_one_table_of_times_serves_many_windows(funnel_events):
 
 
 def test_an_attribute_of_the_user_joins_the_times(spark, segmented):
-    plans = spark.createDataFrame([("u1", "pro"), ("u2", "free"), ("u3", "free")], "user_id string, plan string")
+    plans = spark.createDataFrame(
+        [("u1", "pro"), ("u2", "free"), ("u3", "free")], "user_id string, plan string"
+    )
     times = sw.step_times(segmented, ["a", "b"]).join(plans, "user_id", "left")
     rows = sw.funnel_from_times(times, ["a", "b"], window_hours=24, by=["plan"]).collect()
     assert [(r.plan, r.users) for r in rows] == [("free", 1), ("free", 1), ("pro", 1), ("pro", 1)]

@@ -57,7 +57,9 @@ def test_distinct_values(table):
 
 
 def test_to_events_maps_any_source(spark):
-    source = spark.createDataFrame([(7, "2026-01-05 10:00:00", "x")], "id long, at string, kind string")
+    source = spark.createDataFrame(
+        [(7, "2026-01-05 10:00:00", "x")], "id long, at string, kind string"
+    )
     events = sw.to_events(
         source, user_id="id", event_ts=F.to_timestamp_ntz("at"), event_name=F.upper("kind")
     )
