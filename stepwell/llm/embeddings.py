@@ -141,7 +141,7 @@ def link_classes(found: DataFrame, min_cosine: float) -> DataFrame:
     )
     rows = cells.join(lists.select("class_id", "filters"), "class_id").join(found, "class_id")
 
-    def verify(key, group: pd.DataFrame) -> pd.DataFrame:
+    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         _, number, i, j = key
         left, right = group[group["own"] == i], group[group["own"] == j]
         if not len(left) or not len(right):

@@ -12,9 +12,9 @@ documents gives the cells' tokens. Up to ``MAX_CELLS`` cells the raking itself i
 that small table; beyond, it is a loop of grouped sums and joins (:func:`rake_by_join`) with the
 same steps.
 
-Defined cases: target shares are divided by their sum over the categories that have tokens;
-categories without tokens are left out; an unlisted ``OTHER`` keeps the share it has. Shares of 0
-drop a category. A null text counts as empty; a document without tokens follows its cell's weight.
+Defined cases: an unlisted ``OTHER`` takes what the listed shares leave of 1, or if they leave
+nothing the share it has; categories without tokens are left out, and the shares of the others are
+divided by their sum. A share of 0 drops a category. A null text counts as empty; a document without tokens follows its cell's weight.
 Sampling hashes (doc_id, text), so repeated rows share their fate. Extra columns stay; an empty
 table gives an empty result.
 """
@@ -65,7 +65,9 @@ def _shares(found: Mapping[str, float], wanted: Mapping[str, float]) -> dict[str
     """Target shares over the categories that have tokens; ``found``: their tokens."""
     total = sum(found.values())
     present = {c for c, tokens in found.items() if tokens > 0}
-    shares = {c: float(wanted[c]) if c in wanted else found[c] / total for c in present}
+    rest = 1 - sum(wanted.values())
+    rest = rest if rest > 1e-9 else found.get(OTHER, 0) / max(total, 1)
+    shares = {c: float(wanted.get(c, rest)) for c in present}
     scale = sum(shares.values())
     return {c: s / scale for c, s in shares.items()} if scale else dict.fromkeys(present, 0.0)
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, embeddings, hmm, licenses, mixing, quality, simhash, syncmers, urls
 
-#: Target shares of the training mix. Sources not listed keep the share they have.
+#: Target shares of the training mix; what is not listed takes the rest.
 TARGETS = {
-    "source": {"src0": 0.15},
-    "lang": {"en": 0.5, "fr": 0.17, "de": 0.17, "es": 0.16},
-    "topic": {"prose": 0.9, "table": 0.02, "contact": 0.05, "legal": 0.03},
+    "source": {"src0": 0.2},
+    "lang": {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.12},
+    "topic": {"prose": 0.9, "table": 0.03, "contact": 0.03, "legal": 0.03},
 }
 
 #: Fixed values of the URL filter's contract: (host, path, verdict).
