@@ -50,15 +50,20 @@ def topic_of(text: Column) -> Column:
 
 
 def with_cells(docs: DataFrame, targets: Targets) -> DataFrame:
-    """``docs`` with ``_tokens`` and one category column ``_at_<dimension>`` per dimension."""
+    """``(row, doc_id, text, tokens)`` and one category column ``_at_<dimension>`` per dimension;
+    ``row`` holds the row as it was."""
     text = text_or_empty()
-    out = docs.withColumn("_tokens", F.regexp_count(text, F.lit(r"\S+")).cast("long"))
+    columns = [
+        F.struct(*docs.columns).alias("row"),
+        "doc_id",
+        text.alias("text"),
+        F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("tokens"),
+    ]
     for dimension, shares in targets.items():
         value = topic_of(text) if dimension == "topic" and "topic" not in docs.columns else F.col(dimension)
-        out = out.withColumn(
-            f"_at_{dimension}", F.when(value.isin(*shares), value.cast("string")).otherwise(F.lit(OTHER))
-        )
-    return out
+        category = F.when(value.isin(*shares), value.cast("string")).otherwise(F.lit(OTHER))
+        columns.append(category.alias(f"_at_{dimension}"))
+    return docs.select(*columns)
 
 
 def _shares(found: Mapping[str, float], wanted: Mapping[str, float]) -> dict[str, float]:
@@ -128,7 +133,7 @@ def weights(docs: DataFrame, targets: Targets, max_cells: int = MAX_CELLS) -> Da
     """``(_at_..., weight, probability)`` per cell that occurs."""
     spark = docs.sparkSession
     at = [f"_at_{d}" for d in targets]
-    cells = materialize(with_cells(docs, targets).groupBy(*at).agg(F.sum("_tokens").alias("tokens")))
+    cells = materialize(with_cells(docs, targets).groupBy(*at).agg(F.sum("tokens").alias("tokens")))
     if cells.count() <= max_cells:
         table = cells.toPandas()
         table["weight"] = rake(table, targets)
@@ -143,11 +148,11 @@ def weights(docs: DataFrame, targets: Targets, max_cells: int = MAX_CELLS) -> Da
 
 
 def sampled(docs: DataFrame, targets: Targets, seed: int = 11, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``docs`` with ``_tokens``, its categories, ``weight``, ``probability`` and ``kept``."""
+    """:func:`with_cells` with ``weight``, ``probability`` and ``kept``."""
     table = weights(docs, targets, max_cells)
     if table.count() <= max_cells:
         table = F.broadcast(table)
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", text_or_empty()), 11) / float(1 << 53)
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / float(1 << 53)
     return (
         with_cells(docs, targets).join(table, [f"_at_{d}" for d in targets])
         .withColumn("kept", drawn < F.col("probability"))
@@ -156,6 +161,4 @@ def sampled(docs: DataFrame, targets: Targets, seed: int = 11, max_cells: int =
 
 def mixed(docs: DataFrame, targets: Targets, seed: int = 11) -> DataFrame:
     """The sampled rows of ``docs``, its columns as they were."""
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "*")
-    return sampled(own, targets, seed).filter("kept").select("_row.*")
-
+    return sampled(docs, targets, seed).filter("kept").select("row.*")

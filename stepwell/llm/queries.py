@@ -62,9 +62,11 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.sampled(table(spark, sf_dir, "documents"), TARGETS)
     return rows.select(
-        "doc_id", "source", "lang",
+        "doc_id",
+        "row.source",
+        "row.lang",
         F.col("_at_topic").alias("topic"),
-        F.col("_tokens").alias("n_tokens"),
+        F.col("tokens").alias("n_tokens"),
         "weight", "probability", "kept",
     )
 

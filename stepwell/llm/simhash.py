@@ -172,9 +172,10 @@ def deduplicated(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 3)
         F.min(order).alias("first")
     )
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    keyed = docs.withColumn("_k", F.xxhash64(text_or_empty()))
-    same = keyed["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (keyed["_k"] == kept["_key"])
-    return (
-        keyed.join(kept, same, "left_semi")
-        .dropDuplicates(["doc_id", "_k"]).drop("_k").select(*docs.columns)
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.col("doc_id").cast("long").alias("_own"),
+        F.xxhash64(text_or_empty()).alias("_hash"),
     )
+    same = keyed["_own"].eqNullSafe(kept["_id"]) & (keyed["_hash"] == kept["_key"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["_own", "_hash"]).select("_row.*")

@@ -95,51 +95,46 @@ def aligned(a: Column, b: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``docs`` with ``next_<c>`` for each carried column: that of the next row in descending
-    order of (doc_id, text), nulls last; after the last row comes the first again.
+#: Ranges of ids per shuffle partition, so that partitions even out.
+RANGES_PER_PARTITION = 8
 
-    Rows are dealt to ranges of ids, whose bounds are quantiles, and each range is ordered on its
-    own. The first row of each following range is dealt to the range before as well, where it
-    only serves as the last row's successor; there is one such row per range.
+
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt to ranges of ids, with ``range`` and ``guest``.
+
+    The ranges' bounds are quantiles of the ids. The first row of each following range, in
+    descending order, is dealt to the range before as well, as a guest that only serves as
+    the last row's successor; there is one such row per range (and repeats of its id).
     """
     spark = docs.sparkSession
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(2, RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / ranges for i in range(1, ranges)]
     bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", shares, 0.25 / ranges)})
     docs = docs.withColumn("_range", _range_of(bounds))
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    heads = docs.groupBy("_range").agg(F.max("doc_id").alias("_head"), F.count("*").alias("_n"))
-    in_turn = Window.orderBy(F.desc("_range"))  # one row per range
-    turn = heads.select(
+    falling = Window.orderBy(F.desc("_range"))  # over one row per range
+    rising = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = docs.groupBy("_range").agg(F.max("doc_id").alias("_top")).select(
         F.col("_range").alias("_of"),
-        F.col("_head").alias("_top"),
-        F.coalesce(F.lag("_range").over(in_turn), F.first("_range").over(
-            Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        )).alias("_before"),
-    )
-    dealt = (
-        docs.join(
-            F.broadcast(turn), (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_top")), "left"
-        )
-        .withColumn(
-            "_as",
-            F.explode(
-                F.when(
-                    F.col("_of").isNotNull(),
-                    F.array(
-                        F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")),
-                        F.struct(F.col("_before").alias("range"), F.lit(1).alias("guest")),
-                    ),
-                ).otherwise(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))))
-            ),
-        )
-        .drop("_range", "_of", "_top", "_before")
+        "_top",
+        F.coalesce(F.lag("_range").over(falling), F.first("_range").over(rising)).alias("_before"),
     )
-    row = Window.partitionBy("_as.range").orderBy("_as.guest", *order)
+    is_head = (F.col("_range") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_top"))
+    at_home = F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest"))
+    away = F.struct(F.col("_before").alias("range"), F.lit(1).alias("guest"))
+    places = F.when(F.col("_of").isNotNull(), F.array(at_home, away)).otherwise(F.array(at_home))
+    dealt = docs.join(F.broadcast(heads), is_head, "left").withColumn("_as", F.explode(places))
+    return dealt.select(
+        *[c for c in docs.columns if c != "_range"], "_as.range", "_as.guest"
+    ).repartition("range")
+
+
+def with_next(dealt: DataFrame, carried: list[str]) -> DataFrame:
+    """The rows of :func:`in_ranges` with ``next_<c>`` for each carried column: that of the next row
+    in descending order of (doc_id, text), nulls last; after the last row comes the first."""
+    row = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
     return (
         dealt.select("*", *[F.lead(c).over(row).alias(f"next_{c}") for c in carried])
-        .filter("_as.guest = 0").drop("_as")
+        .filter("guest = 0").drop("range", "guest")
     )
 
 
@@ -163,10 +158,12 @@ def compare_with_edits(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
     The edit replaces the last ``n_chars // 3`` characters by the first as many of the next
     document. ``near_edited`` and ``near_next`` compare the text's fingerprint with that of the
-    edited text and of the next document.
+    edited text and of the next document. Texts are shuffled once; fingerprints are computed after.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    own = with_anchors(rows, "text", "_a", k, s).select("doc_id", "text", F.col("_a.hash").alias("own"))
+    own = with_anchors(in_ranges(rows), "text", "_a", k, s).select(
+        "range", "guest", "doc_id", "text", F.col("_a.hash").alias("own")
+    )
     linked = with_next(own, ["text", "own"]).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(

@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+from stepwell.llm import syncmers
+
+from .conftest import ODD
+
+
+def order(row):
+    return (row[0] is not None, row[0] or 0, row[1])
+
+
+def test_edits_follow_the_next_document(spark, docs):
+    rows = [r for r in syncmers.compare_with_edits(docs(*ODD)).collect()]
+    falling = sorted([(i, t or "") for i, t in ODD], key=order, reverse=True)
+    expected = []
+    for at, (i, text) in enumerate(falling):
+        following = falling[(at + 1) % len(falling)][1]
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + following[:cut]
+        expected.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in rows]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    for r in rows:
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if r.fingerprint == r.edited_fingerprint:
+            assert r.near_edited == 1.0
+    assert syncmers.compare_with_edits(docs(*ODD).limit(0)).count() == 0
+    assert syncmers.compare_with_edits(docs((4, "one text"))).head().near_next == 1.0
+
+
+def test_many_ids_in_ranges(spark):
+    table = spark.range(0, 5000).select(
+        (F.col("id") * F.col("id") * F.col("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")
+    )
+    linked = syncmers.with_next(syncmers.in_ranges(table), ["text"]).collect()
+    assert {(r.text, r.next_text) for r in linked} == {(f"t{i}", f"t{(i - 1) % 5000}") for i in range(5000)}
+
+
+def test_anchors_do_not_depend_on_context(spark):
+    words = [f"word{i * i % 97}" for i in range(80)]
+    table = spark.createDataFrame(
+        [(0, " ".join(words)), (1, " ".join(["some", "other", "start", *words[:60], "end"]))], "doc_id int, text string"
+    )
+    for s in (1, 2, 3):
+        rows = syncmers.with_anchors(table, "text", "a", 6, s).orderBy("doc_id").collect()
+        first = {(x.position + 3, x.hash) for x in rows[0].a if x.position + 6 <= 61}
+        assert first and first <= {(x.position, x.hash) for x in rows[1].a}
+    pairs = syncmers.with_anchors(table, "text", "a")
+    both = pairs.filter("doc_id = 0").select(F.col("a").alias("x")).join(
+        pairs.filter("doc_id = 1").select(F.col("a").alias("y")), how="cross"
+    )
+    hits = both.select(syncmers.aligned(F.col("x"), F.col("y")).alias("m")).head().m
+    assert hits and {h.right - h.left for h in hits} == {3}
+
+
+def test_closed_syncmers_by_definition(spark):
+    table = spark.createDataFrame([(" ".join(f"u{i * 7 % 31}" for i in range(40)),)], "text string")
+    found = {x.position for x in syncmers.with_anchors(table, "text", "a").head().a}
+    units = table.head().text.split()
+    pairs = spark.createDataFrame([(i, units[i], units[i + 1]) for i in range(39)], "i int, a string, b string")
+    h = [r.h for r in pairs.orderBy("i").select(F.xxhash64("a", "b").alias("h")).collect()]
+    expected = {i + 1 for i in range(36) if min(h[i : i + 4]) in (h[i], h[i + 3])}
+    assert found == expected
