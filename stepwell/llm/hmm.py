@@ -261,6 +261,20 @@ def _model(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndar
     )
 
 
+def _most_frequent(counts: DataFrame) -> DataFrame:
+    """At most ``FREQUENT`` rows: the words over a bound found from a histogram of their logarithmic
+    frequency, so that no task or driver sorts the words or holds a task's candidates."""
+    level = F.floor(F.log2("total") * 16)
+    histogram = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # < 1024 rows
+    words, lowest = 0, None
+    for row in histogram:
+        words += row["count"]
+        if words > FREQUENT:
+            break
+        lowest = row.level
+    return counts.filter(level >= lowest) if lowest is not None else counts.limit(0)
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row."""
     spark = docs.sparkSession
@@ -270,7 +284,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
     counts = materialize(count_words(texts))
     total, distinct = counts.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).head()
-    often = counts.orderBy(F.desc("total"), "word").limit(FREQUENT).select("word", "train").toPandas()
+    often = _most_frequent(counts).select("word", "train").toPandas()  # at most FREQUENT rows
     frequent = spark.sparkContext.broadcast(
         dict(zip(map(bytes, often["word"]), often["train"].tolist(), strict=True))
     )
