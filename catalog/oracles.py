@@ -1,6 +1,6 @@
 """ANSI SQL for every registered query, written apart from the Spark plans.
 
-Funnels use one correlated minimum per user and step; retention steps through the calendar by
+Funnels use one as-of join per step; retention steps through the calendar by
 adding intervals. ``seg`` is a text key for the segment, so that NULL dimensions compare.
 """
 
@@ -65,21 +65,23 @@ def _cols(by: list[str], alias: str) -> str:
 
 
 def _chain(steps: list[str], seconds: int | None, anchor: str, prefix: str = "s") -> str:
-    """CTEs ``<prefix>0 ..``: one row per user who fired step 0, times NULL when not reached."""
-    ctes = [
-        f"""{prefix}0 AS (SELECT seg, user_id, min(event_ts) AS t0 FROM ev
-    WHERE event_name = '{steps[0]}' GROUP BY seg, user_id)"""
-    ]
-    for i in range(1, len(steps)):
-        start = "p.t0" if anchor == "entry" else f"p.t{i - 1}"
-        limit = "" if seconds is None else f"AND e.event_ts <= {start} + to_seconds({seconds})"
-        ctes.append(
-            f"""{prefix}{i} AS (SELECT p.*, (SELECT min(e.event_ts) FROM ev e
-        WHERE e.seg = p.seg AND e.user_id = p.user_id AND e.event_name = '{steps[i]}'
-          AND e.event_ts > p.t{i - 1} {limit}) AS t{i}
-    FROM {prefix}{i - 1} p)"""
-        )
-    return ",\n".join(ctes)
+    """CTE ``<prefix><last>``: one row per user who fired step 0, times NULL when not reached.
+
+    Each further step is an as-of join: the nearest later event of its name, which is kept if it
+    lies within the window.
+    """
+    chain = f"""SELECT seg, user_id, min(event_ts) AS t0 FROM ev
+    WHERE event_name = '{steps[0]}' GROUP BY ALL"""
+    for i, step in enumerate(steps[1:], 1):
+        limit = "TRUE"
+        if seconds is not None:
+            limit = f"hit.at - now.t{0 if anchor == 'entry' else i - 1} <= to_seconds({seconds})"
+        chain = f"""SELECT now.*, CASE WHEN {limit} THEN hit.at END AS t{i}
+    FROM ({chain}) now
+    ASOF LEFT JOIN (SELECT seg AS in_seg, user_id AS by_user, event_ts AS at FROM ev
+                    WHERE event_name = '{step}') hit
+      ON now.seg = hit.in_seg AND now.user_id = hit.by_user AND now.t{i - 1} < hit.at"""
+    return f"{prefix}{len(steps) - 1} AS ({chain})"
 
 
 def _decorated(by: list[str], counts: str) -> str:
@@ -359,6 +361,7 @@ SELECT u.user_id, t0, t1, t2, t3 FROM users u LEFT JOIN s3 ON s3.user_id = u.use
         "funnel_entry_6h": funnel(CLICKS, CLICK_STEPS, 6),
         "funnel_fractional_window": funnel(CLICKS, CLICK_STEPS, 30.7501, "previous"),
         "funnel_heavy_users": entry,
+        "funnel_some_heavy_users": entry,
         "funnel_filtered": funnel(CLICKS, CLICK_STEPS, 72, where=some),
         "funnel_step_filtered_out": funnel(
             CLICKS, CLICK_STEPS, 168, where="event_name IN ('signup', 'view', 'purchase')"

@@ -73,7 +73,10 @@ def _funnels() -> dict[str, Query]:
             _clicks(), sw.funnel, CLICK_STEPS, window_hours=30.7501, window_from="previous"
         ),
         "funnel_heavy_users": _on(
-            _clicks(), sw.funnel, CLICK_STEPS, window_hours=72, small_input_bytes=0
+            _clicks(), sw.funnel, CLICK_STEPS, window_hours=72, rows_per_task=0
+        ),
+        "funnel_some_heavy_users": _on(  # about half the users have more rows than this
+            _clicks(), sw.funnel, CLICK_STEPS, window_hours=72, rows_per_task=53
         ),
         "funnel_filtered": _on(
             _clicks(channel=True), sw.funnel, CLICK_STEPS, window_hours=72, filters=some
@@ -260,16 +263,19 @@ def _tables() -> dict[str, Query]:
         first, second = datetime(2024, 1, 10), datetime(2024, 1, 20)
         batches = [ts < first, (ts >= first) & (ts < second), ts >= second]
         for batch_id in (2, 1, 0, 1):
-            sw.add_first_events(events.filter(batches[batch_id]), path, batch_id)
+            sw.add_first_events(events.filter(batches[batch_id]), path, batch_id, "load")
         return sw.read_first_events(spark, path)
 
     def compacted(spark: SparkSession, sf: str) -> DataFrame:
         path, target = scratch_path(spark, "first"), scratch_path(spark, "compact")
         events = order_events(spark, sf)
-        early = F.col("event_ts") < datetime(1997, 1, 1)
-        sw.add_first_events(events.filter(early), path, 0)
-        sw.add_first_events(events.filter(~early), path, 1)
+        ts = F.col("event_ts")
+        early, middle = ts < datetime(1995, 1, 1), ts < datetime(1997, 1, 1)
+        sw.add_first_events(events.filter(early), path, 0, "load")
         sw.compact_first_events(spark, path, target)
+        # another job goes on with the compacted table, counting from 0 again
+        sw.add_first_events(events.filter(~early & middle), target, 0, "daily")
+        sw.add_first_events(events.filter(~middle), target, 1, "daily")
         return sw.read_first_events(spark, target)
 
     def streamed(spark: SparkSession, sf: str) -> DataFrame:

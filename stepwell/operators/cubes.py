@@ -13,8 +13,15 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .funnel import funnel
+from .filters import apply_filters
+from .funnel import (
+    DEFAULT_WINDOW_HOURS,
+    farthest_seconds,
+    funnel_from_times,
+    step_times,
+)
 from .retention import retention
+from .validation import check_steps, check_window
 
 
 def with_levels(events: DataFrame, dimensions: Sequence[str]) -> DataFrame:
@@ -45,7 +52,30 @@ def funnel_cube(
     events: DataFrame, steps: Sequence[str], dimensions: Sequence[str], **options
 ) -> DataFrame:
     """``funnel`` by ``level`` and dimensions; ``options`` are those of ``funnel``."""
-    return funnel(with_levels(events, dimensions), steps, by=["level", *dimensions], **options)
+    check_steps(steps)
+    window_hours = options.pop("window_hours", DEFAULT_WINDOW_HOURS)
+    window_from = options.pop("window_from", "entry")
+    check_window(window_hours, window_from)
+    by = ["level", *dimensions]
+    base = apply_filters(events, options.pop("filters", None))
+    # by user first, levels after: the exchange carries each event once, not once per level
+    placed = (
+        base.filter(F.col("event_name").isin(list(steps)))
+        .select("user_id", "event_ts", "event_name", *dimensions)
+        .repartition("user_id")
+    )
+    times = step_times(
+        with_levels(placed, dimensions),
+        steps,
+        by=by,
+        within_seconds=farthest_seconds(len(steps), window_hours, window_from),
+        colocated=True,
+        **options,
+    )
+    segments = with_levels(base.select(*dimensions).distinct(), dimensions)
+    return funnel_from_times(
+        times, steps, window_hours=window_hours, window_from=window_from, by=by, segments=segments
+    )
 
 
 def write_cube(cube: DataFrame, path: str) -> None:

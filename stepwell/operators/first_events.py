@@ -8,29 +8,39 @@ previous step.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Directory of the compacted past: outside every producer's, so no batch can replace it.
+BASE = "producer=_base/batch=0"
+
 
 def first_events(events: DataFrame) -> DataFrame:
     """One row per (user_id, event_name) with the earliest ``event_ts``."""
     return events.groupBy("user_id", "event_name").agg(F.min("event_ts").alias("event_ts"))
 
 
-def add_first_events(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch of events to the table at ``path``.
+def add_first_events(batch: DataFrame, path: str, batch_id: int, producer: str) -> None:
+    """Add one batch of ``producer`` (a job, a stream with its checkpoint) to ``path``.
 
-    A batch owns one directory; adding it again replaces that directory, so a retried batch
-    is harmless, and no batch rewrites what others wrote.
+    A batch owns one directory below its producer's; adding it again replaces that directory,
+    so a retried batch is harmless, and no batch replaces what another producer wrote. A job
+    that starts counting batches anew (a stream with a new checkpoint) needs a new name.
     """
-    first_events(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", producer):
+        raise ValueError(f"Not a producer name: {producer!r}; use letters, digits, - _ .")
+    target = f"{path}/producer={producer}/batch={batch_id}"
+    first_events(batch).write.mode("overwrite").parquet(target)
 
 
 def read_first_events(spark: SparkSession, path: str) -> DataFrame:
     """The table as of all batches added so far."""
-    return first_events(spark.read.parquet(path))
+    return first_events(spark.read.parquet(path).drop("producer", "batch"))
 
 
 def compact_first_events(spark: SparkSession, path: str, target: str) -> None:
-    """Write the state of ``path`` as batch 0 of a new table."""
-    read_first_events(spark, path).write.mode("overwrite").parquet(f"{target}/batch=0")
+    """Write the state of ``path`` as the past of a new table, to which any producer may go on
+    adding batches, numbered as it likes."""
+    read_first_events(spark, path).write.mode("overwrite").parquet(f"{target}/{BASE}")

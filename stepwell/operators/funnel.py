@@ -7,9 +7,9 @@ once (:func:`step_times`), one row per user, and every window, anchor, naive cou
 comparison is arithmetic on that row.
 
 ``step_times`` shuffles each event once, by user, and chains window minima over that one
-partitioning; no join per step. Users who hold a large share of the table are kept out of
-the shuffle (see ``plans.skew``): there are few of them, so their chain state is a small
-broadcast, and each step is one partial aggregation over the events where they lie.
+partitioning; no join per step. Users with too many rows for one task (see ``plans.skew``)
+are spread over tasks by time instead, once, and each step is one partial aggregation over
+those slices, joined with the small state of these users.
 """
 
 from __future__ import annotations
@@ -23,11 +23,16 @@ from pyspark.sql import functions as F
 from ..functions.ratios import overall_conversion, step_conversion
 from ..functions.time import whole_seconds_between
 from ..plans.medians import mark_median
-from ..plans.skew import MAX_KEYS, SMALL_INPUT_BYTES, heavy_keys, key_hash
+from ..plans.skew import ROWS_PER_TASK, heavy_keys
 from .filters import Filters, apply_filters
 from .validation import check_steps, check_window
 
+#: Fixed value: the window if none is given.
 DEFAULT_WINDOW_HOURS = 24 * 7
+#: Heavy users whose keys and state (one short row each) are broadcast at most.
+MAX_BROADCAST = 100_000
+#: Tasks per heavy user where the caller names heavy users without their ``slices``.
+DEFAULT_SLICES = 64
 
 
 def window_seconds(window_hours: float) -> int:
@@ -59,43 +64,68 @@ def step_times(
     by: Sequence[str] = (),
     within_seconds: int | None = None,
     colocated: bool = False,
-    heavy: Sequence[int] | None = None,
-    small_input_bytes: int = SMALL_INPUT_BYTES,
+    heavy: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per (segment, user) with any step event: ``t0..`` and ``ever0..``.
 
     ``t<i>`` is the time the user reached step i in order, without a time limit; NULL when
     never. ``ever<i>`` tells whether the event was ever fired at all. Cache this table to
-    evaluate many windows. ``within_seconds`` allows (and does not promise) to leave out times
-    that far after entry, which drops most events early when windows are short. Set
+    evaluate many windows. ``within_seconds`` leaves out events later than that after entry,
+    which drops most of them early when windows are short; the table remembers the limit, and
+    a wider window asked of it later is an error. Set
     ``colocated`` when ``events`` is already partitioned by ``user_id`` (a bucketed table, the
-    result of a join on the user): then no event moves at all. ``heavy`` takes a list found
-    earlier by ``plans.skew.heavy_keys``.
+    result of a join on the user): then no event moves at all. ``heavy`` takes a table found
+    earlier by ``plans.skew.heavy_keys``; else a job counts the rows of every user first.
     """
     check_steps(steps)
-    if heavy is not None and len(heavy) > MAX_KEYS:
-        raise ValueError(f"at most {MAX_KEYS} heavy users, got {len(heavy)}")
     # The user first: rows are sorted by the first key's leading bytes, and segment names
     # would leave nearly all of them tied.
     entity, count = ["user_id", *by], len(steps)
     rows = step_events(apply_filters(events, filters), steps, by)
     if heavy is None:
-        heavy = heavy_keys(rows, entity, small_input_bytes)
-    is_heavy = key_hash(entity).isin(list(heavy))
-    light = rows.filter(~is_heavy) if heavy else rows
+        heavy = heavy_keys(rows, entity, rows_per_task)
+    many = heavy.count()
+    light = rows
+    if many:
+        slices = F.col("slices") if "slices" in heavy.columns else F.lit(DEFAULT_SLICES)
+        known = heavy.select(*[F.col(c).alias(f"_{c}") for c in entity], slices.alias("_slices"))
+        known = F.broadcast(known) if many <= MAX_BROADCAST else known
+        light = rows.join(known, same_keys(entity), "left_anti")
     # Spelled out, so that only the columns of ``rows`` cross the exchange: the arguments of
     # the windows are then made behind it. By the whole key: a user who is heavy only over
     # many segments taken together is spread over as many tasks.
     placed = light if colocated else light.repartition(*entity)
     times = _times_by_window(placed, entity, count, within_seconds)
-    if heavy:
-        times = times.unionByName(_times_by_rounds(rows.filter(is_heavy), entity, count))
-    return times.select(*by, "user_id", *[f"t{i}" for i in range(count)], *_ever(count))
+    if many:
+        slice_of = F.pmod(F.xxhash64("event_ts"), F.col("_slices"))
+        spread = rows.join(known, same_keys(entity)).repartition(*entity, slice_of)
+        times = times.unionByName(
+            _times_by_rounds(spread.select(rows.columns), entity, count, within_seconds, many)
+        )
+    limit = {} if within_seconds is None else {"within_seconds": within_seconds}
+    return times.select(
+        *by,
+        "user_id",
+        F.col("t0").alias("t0", metadata=limit),
+        *[f"t{i}" for i in range(1, count)],
+        *_ever(count),
+    )
 
 
-def _time_of(step: int, after: str | None = None) -> Column:
+def check_reach(times: DataFrame, farthest: int | None) -> None:
+    """Refuse a ``step_times`` table that left out events the window needs (None: all)."""
+    limit = times.schema["t0"].metadata.get("within_seconds")
+    if limit is not None and (farthest is None or farthest > limit):
+        raise ValueError(
+            f"these times reach {limit} seconds after entry, too short for this window;"
+            " make them with a larger within_seconds"
+        )
+
+
+def _time_of(step: int, after: str | None = None, limit: str = "") -> Column:
     """Aggregate: the first event of ``step``, strictly after the time in column ``after``."""
-    later = f" AND event_ts > {after}" if after else ""
+    later = f" AND event_ts > {after}{limit}" if after else ""
     return F.expr(f"min(CASE WHEN step = {step}{later} THEN event_ts END)")
 
 
@@ -144,11 +174,17 @@ def _times_by_window(
     return rows.groupBy(*entity).agg(*[F.max(name).alias(name) for name in kept])
 
 
-def _times_by_rounds(rows: DataFrame, entity: list[str], count: int) -> DataFrame:
-    """No shuffle of events: one scan per step, its minima combined inside each task.
+def _times_by_rounds(
+    rows: DataFrame, entity: list[str], count: int, within_seconds: int | None, many: int
+) -> DataFrame:
+    """``rows`` are spread over slices of a user; every round reads the same exchange, and its
+    minima are combined inside each slice before one row per user and slice is shuffled.
 
-    Only for the bounded list of heavy users: their state (one row each) is broadcast.
+    The state has one row for each of ``many`` users, and is broadcast while they are few.
     """
+    limit = ""
+    if within_seconds is not None:
+        limit = f" AND event_ts <= _t0 + make_dt_interval(0, 0, 0, {within_seconds})"
     state = rows.groupBy(*entity).agg(
         _time_of(0).alias("t0"),
         *[aggregate.alias(name) for name, aggregate in _fired(count).items()],
@@ -156,9 +192,9 @@ def _times_by_rounds(rows: DataFrame, entity: list[str], count: int) -> DataFram
     for i in range(1, count):
         known = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
         state = (
-            rows.join(F.broadcast(known), same_keys(entity))
+            rows.join(F.broadcast(known) if many <= MAX_BROADCAST else known, same_keys(entity))
             .groupBy(*known.columns)
-            .agg(_time_of(i, f"_t{i - 1}").alias(f"t{i}"))
+            .agg(_time_of(i, f"_t{i - 1}", limit).alias(f"t{i}"))
             .select(*[F.col(f"_{c}").alias(c) for c in state.columns], f"t{i}")
         )
     return state
@@ -303,7 +339,7 @@ def funnel(
     window_from: str = "entry",
     filters: Filters = None,
     by: Sequence[str] = (),
-    small_input_bytes: int = SMALL_INPUT_BYTES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Step-ordered, time-windowed funnel, one row per (segment, step).
 
@@ -320,7 +356,7 @@ def funnel(
         filters=filters,
         by=by,
         within_seconds=farthest_seconds(len(steps), window_hours, window_from),
-        small_input_bytes=small_input_bytes,
+        rows_per_task=rows_per_task,
     )
     return funnel_from_times(
         times,
@@ -349,6 +385,7 @@ def funnel_from_times(
     """
     check_steps(steps)
     check_window(window_hours, window_from)
+    check_reach(times, farthest_seconds(len(steps), window_hours, window_from))
     counts = step_counts(
         times, len(steps), window_hours=window_hours, window_from=window_from, by=by
     )
@@ -393,21 +430,23 @@ def naive_funnel(
 
 
 def _both_counts(
-    events, steps, window_hours, window_from, filters, by, times, small_input_bytes, bounded
+    events, steps, window_hours, window_from, filters, by, times, rows_per_task, bounded
 ) -> DataFrame:
     """``each_step`` rows that carry ordered and naive counts from one pass."""
     check_steps(steps)
     check_window(window_hours, window_from)
     count = len(steps)
-    if times is None:
-        farthest = farthest_seconds(count, window_hours, window_from) if bounded else None
+    farthest = farthest_seconds(count, window_hours, window_from) if bounded else None
+    if times is not None:
+        check_reach(times, farthest)
+    else:
         times = step_times(
             events,
             steps,
             filters=filters,
             by=by,
             within_seconds=farthest,
-            small_input_bytes=small_input_bytes,
+            rows_per_task=rows_per_task,
         )
     counts = step_counts(
         times, count, window_hours=window_hours, window_from=window_from, by=by, medians=False
@@ -424,11 +463,11 @@ def compare(
     filters: Filters = None,
     by: Sequence[str] = (),
     times: DataFrame | None = None,
-    small_input_bytes: int = SMALL_INPUT_BYTES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Ordered and naive counts side by side, and by how much the naive one is too high."""
     rows = _both_counts(
-        events, steps, window_hours, window_from, filters, by, times, small_input_bytes, True
+        events, steps, window_hours, window_from, filters, by, times, rows_per_task, True
     )
     return rows.select(
         *by,
@@ -453,7 +492,7 @@ def overcount_reasons(
     filters: Filters = None,
     by: Sequence[str] = (),
     times: DataFrame | None = None,
-    small_input_bytes: int = SMALL_INPUT_BYTES,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Why the naive count exceeds the ordered one, per step.
 
@@ -462,7 +501,7 @@ def overcount_reasons(
     came later).
     """
     rows = _both_counts(
-        events, steps, window_hours, window_from, filters, by, times, small_input_bytes, False
+        events, steps, window_hours, window_from, filters, by, times, rows_per_task, False
     )
     return rows.select(
         *by,

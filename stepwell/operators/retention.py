@@ -92,11 +92,9 @@ def retention(
             F.collect_list(F.when(in_spine, F.struct(k.alias("k"), F.col("active"))))
         ).alias("active_by_k"),
     )
-    if horizon == "global" and by:
-        newest = base.agg(F.max("event_ts").alias("newest"))
-        last_seen = period_start(newest.scalar(), period)
-    else:
-        last_seen = F.max("last_period").over(Window.partitionBy(*by))
+    # one row per (segment, cohort): the newest period of all is found without another scan
+    scope = Window.partitionBy(*by) if horizon == "segment" else Window.partitionBy()
+    last_seen = F.max("last_period").over(scope)
 
     spine = (
         per_cohort.withColumn("last_seen", last_seen)
@@ -148,14 +146,26 @@ def _cohort_cells(periods: DataFrame, by: list[str], period: str, returns: str)
 
 
 def as_matrix(
-    long: DataFrame, value: str = "retention", *, max_periods: int, by: Sequence[str] = ()
+    long: DataFrame,
+    value: str = "retention",
+    *,
+    max_periods: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Cohorts down, periods 0 .. ``max_periods`` across (columns named "0", "1", ...).
 
-    ``max_periods`` spells the columns out, which spares a job to look them up.
+    ``max_periods`` spells the columns out, which spares a job to look up the last period; a
+    period beyond it is an error, never left out.
     """
+    if max_periods is None:
+        max_periods = long.agg(F.max("period_index")).head()[0] or 0
+    beyond = F.raise_error(F.lit(f"as_matrix: there are periods beyond max_periods={max_periods}"))
+    index = F.when(F.col("period_index") > max_periods, beyond.cast("long")).otherwise(
+        F.col("period_index")
+    )
     return (
-        long.groupBy(*by, "cohort_period")
+        long.withColumn("period_index", index)
+        .groupBy(*by, "cohort_period")
         .pivot("period_index", list(range(max_periods + 1)))
         .agg(F.first(value))
         .orderBy(*by, "cohort_period")

@@ -1,77 +1,34 @@
-"""Finding the few users who hold a large share of an event table.
+"""Finding the users whose rows are too many for one task.
 
 A per-user window puts all rows of a user in one task. That is fine for ordinary users and
-not for a bot or a default id that owns a third of the table. ``heavy_keys`` names such
-users; operators then treat them on a plan that never gathers their rows.
+not for a bot or a default id. ``heavy_keys`` names the users with more rows than a task
+should hold; operators then treat them on a plan that never gathers their rows.
 
-The list is a frequency sketch: at most ``MAX_KEYS`` longs whatever the table size, merged
-as a tree (per group of input partitions, then once). It only decides *how* a user is
-computed. A user listed needlessly, or missed, changes the speed and never the result. It
-is fetched once and put into the plan as literals, so that a recomputed stage cannot route
-a user differently from its first run.
+The count is exact: partial counts in every task, then one row per user and task is shuffled,
+far less than the events. It runs as a job of its own when an operator is called, and its
+result is kept, so that a recomputed stage cannot route a user differently from its first run.
+Which users are heavy decides how they are computed and never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is heavy from this share of the rows on.
-HEAVY_SHARE = 5e-4
-#: Keys returned at most: no more than 1 / HEAVY_SHARE keys can reach that share.
-MAX_KEYS = int(1 / HEAVY_SHARE)
-#: Counters per sketch; the count error is about 3.5 / 16384 of the rows, below the share.
-SKETCH_ITEMS = 10_000
-#: Sketches are first merged within this many groups of input partitions.
-MERGE_GROUPS = 64
-#: Below this many input bytes even a single user with every row fits in one task.
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
+from .scratch import checkpointed
 
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the tables ``df`` reads, by Spark's own statistics; None when unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    except Exception:  # no JVM access (Spark Connect), or a source without statistics
-        return None
-
-
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*keys)
+#: Rows of one key that a task sorts at ease (about 24 bytes each, spilling beyond memory).
+ROWS_PER_TASK = 5_000_000
 
 
 def heavy_keys(
-    events: DataFrame, keys: Sequence[str], small_input_bytes: int = SMALL_INPUT_BYTES
-) -> list[int]:
-    """Hashes of the keys that hold at least ``HEAVY_SHARE`` of the rows of ``events``.
-
-    Small inputs have none by definition and cost no job. Otherwise one scan of the key
-    columns; nothing but sketches is shuffled.
-    """
-    size = input_bytes(events)
-    if size is not None and size < small_input_bytes:
-        return []
-    partial = (
-        events.select(
-            key_hash(keys).alias("key"),
-            (F.spark_partition_id() % MERGE_GROUPS).alias("merge_group"),
-        )
-        .groupBy("merge_group")
-        .agg(
-            F.expr(f"approx_top_k_accumulate(key, {SKETCH_ITEMS})").alias("sketch"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-    )
-    # Grouped by a constant: combining no sketch at all is an error in Spark, and a grouped
-    # aggregate simply has no row for an empty table or an empty partition.
-    merged = partial.groupBy(F.lit("all").alias("all")).agg(
-        F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
-        F.sum("rows").alias("rows"),
-    )
-    top = merged.select(
-        F.explode(F.expr(f"approx_top_k_estimate(sketch, {MAX_KEYS})")).alias("top"), "rows"
-    ).filter(F.col("top.count") >= F.col("rows") * HEAVY_SHARE)
-    return [row.key for row in top.select(F.col("top.item").alias("key")).collect()]
+    events: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """``keys`` with more than ``rows_per_task`` rows in ``events``, and in ``slices`` the number
+    of tasks they should be spread over."""
+    counted = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    found = counted.filter(F.col("rows") > rows_per_task)
+    slices = F.ceil(F.col("rows") / max(rows_per_task, 1)).cast("int")
+    return checkpointed(found.select(*keys, slices.alias("slices")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import shared_root
+
 
 def build_event_table(events: DataFrame, path: str) -> int:
     """(Re)write the table at ``path`` and return its row count.
@@ -62,8 +63,5 @@ def open_event_table(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the cluster names, else (tests) in a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="stepwell-")
-    return f"{folder}/stepwell-{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share."""
+    return f"{shared_root(spark)}/stepwell-{name}-{uuid.uuid4().hex}"

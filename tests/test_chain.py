@@ -11,7 +11,7 @@ from conftest import MONDAY, column
 
 import stepwell as sw
 from stepwell.operators.funnel import step_events, step_times
-from stepwell.plans.skew import heavy_keys, key_hash
+from stepwell.plans.skew import heavy_keys
 
 STEPS = ["a", "b", "c", "d"]
 HOUR = timedelta(hours=1)
@@ -52,7 +52,7 @@ def chain(history, window=None, window_from="entry"):
 
 @pytest.mark.parametrize("small", [0, 1 << 60], ids=["rounds", "windows"])
 def test_times_of_every_user(random_events, histories, small):
-    times = step_times(random_events, STEPS, small_input_bytes=small)
+    times = step_times(random_events, STEPS, rows_per_task=small)
     got = {
         r.user_id: ([r[f"t{i}"] for i in range(4)], [r[f"ever{i}"] for i in range(4)])
         for r in times.collect()
@@ -98,22 +98,31 @@ def skewed(spark):
     return rows.cache()
 
 
-def test_only_the_hot_user_is_heavy(spark, skewed):
+def test_only_the_hot_user_is_heavy(skewed):
     rows = step_events(skewed, STEPS)
-    heavy = heavy_keys(rows, ["user_id"], small_input_bytes=0)
-    hot = spark.range(1, 2).select(key_hash(["id"]).alias("h")).head().h
-    assert heavy == [hot]
-    assert heavy_keys(rows, ["user_id"]) == []  # small inputs are never sketched
-
-
-def test_a_hot_user_gives_the_same_result_on_either_plan(skewed):
-    split = step_times(skewed, STEPS, small_input_bytes=0)
-    plain = step_times(skewed, STEPS, small_input_bytes=1 << 60)
-    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
-    # and whatever the list of heavy users says
-    everyone = heavy_keys(step_events(skewed, STEPS), ["user_id"], small_input_bytes=0) + [1, 2]
-    listed = step_times(skewed, STEPS, heavy=everyone)
-    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, plain.collect()))
+    heavy = heavy_keys(rows, ["user_id"], rows_per_task=1000).collect()
+    assert [r.user_id for r in heavy] == [1] and heavy[0].slices > 1
+    assert heavy_keys(rows, ["user_id"]).count() == 0
+
+
+@pytest.mark.parametrize("within", [None, 3600, 3 * 3600])
+def test_a_hot_user_gives_the_same_result_on_either_plan(skewed, within):
+    plain = step_times(skewed, STEPS, rows_per_task=1 << 60, within_seconds=within)
+    expected = sorted(map(tuple, plain.collect()), key=str)
+    for rows_per_task in (0, 4, 1000):  # every user, some users, the hot user
+        split = step_times(skewed, STEPS, rows_per_task=rows_per_task, within_seconds=within)
+        assert sorted(map(tuple, split.collect()), key=str) == expected
+
+
+def test_a_wider_window_than_the_times_reach_is_refused(skewed):
+    times = step_times(skewed, STEPS, within_seconds=3600)
+    sw.funnel_from_times(times, STEPS, window_hours=1)
+    with pytest.raises(ValueError, match="too short"):
+        sw.funnel_from_times(times, STEPS, window_hours=2)
+    with pytest.raises(ValueError, match="too short"):
+        sw.compare(skewed, STEPS, window_hours=1, window_from="previous", times=times)
+    with pytest.raises(ValueError, match="too short"):
+        sw.overcount_reasons(skewed, STEPS, window_hours=1, times=times)
 
 
 def test_windows_widen(skewed):

@@ -35,7 +35,7 @@ def test_windows_and_anchors(funnel_events, small, window_hours, window_from, ex
         STEPS,
         window_hours=window_hours,
         window_from=window_from,
-        small_input_bytes=small,
+        rows_per_task=small,
     )
     assert got == expected
 
@@ -119,7 +119,7 @@ def test_edges(edge_events, small, window_from):
         window_hours=24,
         window_from=window_from,
         by=["channel"],
-        small_input_bytes=small,
+        rows_per_task=small,
     ).collect()
     got = {r.channel: [] for r in rows}
     for row in rows:
@@ -169,7 +169,7 @@ def test_nobody_entered(funnel_events):
 
 def test_empty_table(table):
     assert users(table(), STEPS) == [0, 0, 0]
-    assert users(table(), STEPS, small_input_bytes=0) == [0, 0, 0]
+    assert users(table(), STEPS, rows_per_task=0) == [0, 0, 0]
     assert column(sw.naive_funnel(table(), STEPS), "users") == [0, 0, 0]
 
 
@@ -240,7 +240,7 @@ def segmented(table):
 @pytest.mark.parametrize("small", PATHS)
 def test_each_segment_equals_its_filtered_call(segmented, small):
     whole = sw.funnel(
-        segmented, ["a", "b"], window_hours=24, by=["channel"], small_input_bytes=small
+        segmented, ["a", "b"], window_hours=24, by=["channel"], rows_per_task=small
     ).collect()
     channels = column(sw.distinct_values(segmented, "channel"), "channel")
     assert channels == ["organic", "paid", "social"]
@@ -311,8 +311,3 @@ def test_more_steps_than_bits_in_a_mask(table):
     rows = [("u", hours(i), step) for i, step in enumerate(steps[:100])]
     counts = column(sw.naive_funnel(table(*rows, ("v", hours(0), "s129")), steps), "users")
     assert counts == [1] * 100 + [0] * 29 + [1]
-
-
-def test_a_list_of_heavy_users_is_bounded(funnel_events):
-    with pytest.raises(ValueError, match="heavy users"):
-        sw.step_times(funnel_events, STEPS, heavy=list(range(2001)))

@@ -75,14 +75,27 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(o_orderpriority,1-URGENT)" in plan
 
 
-def test_heavy_users_are_never_shuffled_row_by_row(clicks):
-    times = sw.step_times(clicks, STEPS, heavy=[1, 2, 3])
-    plan = plan_of(times)
-    assert plan.count("BroadcastHashJoin") == 3
+@pytest.mark.parametrize("count", [2, 4])
+def test_heavy_users_are_scanned_once(spark, clicks, count):
+    heavy = spark.createDataFrame([(1,), (2,)], "user_id long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(sw.step_times(clicks, STEPS[:count], heavy=heavy))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 2  # light users, heavy users
+    assert plan.count("ReusedExchange") >= count - 1
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
-    # one exchange of events (the light users); the rounds exchange partial minima only
-    sort_based = re.findall(r"Window \[min", plan)
-    assert len(sort_based) == 4
+
+
+def test_a_cube_repeats_events_behind_their_exchange(clicks):
+    plan = plan_of(sw.funnel_cube(clicks, STEPS, ["platform"], rows_per_task=1 << 60))
+    assert plan.rindex("Generate explode") < plan.rindex("Exchange hashpartitioning(user_id")
+
+
+def test_the_global_horizon_needs_no_second_scan(clicks):
+    plan = plan_of(sw.retention(clicks, activity_event="purchase", by=["platform"], horizon="global"))
+    assert plan.count("FileScan") == 1
 
 
 def test_matrix_needs_no_job_to_find_its_columns(clicks, spark):

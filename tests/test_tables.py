@@ -69,13 +69,13 @@ def test_to_events_maps_any_source(spark):
 def test_first_events_survive_late_and_repeated_batches(spark, funnel_events, table, tmp_path):
     path, compacted = str(tmp_path / "first"), str(tmp_path / "compacted")
     early = F.col("event_ts") < datetime(2026, 1, 6)
-    sw.add_first_events(funnel_events.filter(~early), path, 1)
-    sw.add_first_events(funnel_events.filter(early), path, 0)
-    sw.add_first_events(funnel_events.filter(~early), path, 1)
+    sw.add_first_events(funnel_events.filter(~early), path, 1, "a")
+    sw.add_first_events(funnel_events.filter(early), path, 0, "a")
+    sw.add_first_events(funnel_events.filter(~early), path, 1, "a")
     expected = sorted(map(tuple, sw.first_events(funnel_events).collect()))
     assert sorted(map(tuple, sw.read_first_events(spark, path).collect())) == expected
     sw.compact_first_events(spark, path, compacted)
-    sw.add_first_events(table(("clean", hours(-1), "signup")), compacted, 1)
+    sw.add_first_events(table(("clean", hours(-1), "signup")), compacted, 0, "a")
     merged = sw.read_first_events(spark, compacted)
     assert merged.filter("user_id = 'clean' AND event_name = 'signup'").head().event_ts == hours(-1)
     assert merged.count() == len(expected)
@@ -98,11 +98,15 @@ def test_streamed_first_events_equal_the_batch_result(spark, funnel_events, tmp_
     for part in (late, ~late):  # the older events arrive in the second run
         funnel_events.filter(part).coalesce(1).write.mode("append").parquet(source)
         sw.stream_first_events(reader.parquet(source), path, checkpoint).awaitTermination()
+    # a stream begun anew on the same table counts from 0 and replaces nothing
+    other = str(tmp_path / "more")
+    funnel_events.limit(1).write.parquet(other)
+    sw.stream_first_events(reader.parquet(other), path, str(tmp_path / "new")).awaitTermination()
     got = sw.read_first_events(spark, path)
     assert sorted(map(tuple, got.collect())) == sorted(
         map(tuple, sw.first_events(funnel_events).collect())
     )
-    assert len(list((tmp_path / "first").glob("batch=*"))) == 2
+    assert len(list((tmp_path / "first").glob("producer=*/batch=*"))) == 3
 
 
 def test_cube_is_stored_by_level(spark, funnel_events, tmp_path):
