@@ -27,7 +27,7 @@ from .operators.retention import (
 )
 from .operators.segments import cohort_contrast, mix_shift, segment_mix, segment_summary
 from .session import get_spark
-from .sources.schema import EVENT_SCHEMA, FILTERABLE, FUNNEL_STEPS, events_from_rows, to_events
+from .sources.schema import EVENT_SCHEMA, FILTERABLE, events_from_rows, to_events
 from .sources.tables import build_event_table, open_event_table
 from .streaming.first_events import stream_first_events
 
@@ -36,7 +36,6 @@ __version__ = "0.1.0"
 __all__ = [
     "EVENT_SCHEMA",
     "FILTERABLE",
-    "FUNNEL_STEPS",
     "add_first_events",
     "apply_filters",
     "as_matrix",

@@ -16,11 +16,10 @@ def check_choice(name: str, value: str, allowed: Sequence[str]) -> None:
 
 def check_steps(steps: Sequence[str]) -> None:
     names = list(steps)
-    if not names[1:]:
+    if len(names) < 2:
         raise ValueError(f"steps must list at least two event names, got {names!r}")
-    repeated = {name for name in names if names.count(name) > 1}
-    if repeated:
-        raise ValueError(f"steps must be distinct; repeated: {sorted(map(str, repeated))}")
+    if len(set(names)) < len(names):
+        raise ValueError(f"steps must be distinct, got {names!r}")
     unusable = [name for name in names if not isinstance(name, str) or name == ""]
     if unusable:
         raise ValueError(f"steps must be non-empty strings, got {unusable!r}")

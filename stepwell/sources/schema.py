@@ -18,9 +18,8 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
-# The columns a caller may filter on, and the default vocabulary in funnel order.
+# The dimensions of the canonical event table.
 FILTERABLE = ("channel", "platform", "event_name")
-FUNNEL_STEPS = ("signup", "lesson_start", "lesson_complete", "quiz_pass", "subscribe")
 
 
 def events_from_rows(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
