@@ -12,7 +12,7 @@ from stepwell.llm import bpe, mixing, quality, simhash
 from stepwell.llm.queries import TARGETS
 from stepwell.plans.scratch import materialize
 
-#: No stage but the language-model and hash-based ones remains to express in SQL: see the tests.
+#: SQL expresses neither the n-gram model nor the byte-pair merges; tests/llm checks each stage.
 ORACLE_SQL = None
 
 

@@ -142,7 +142,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFra
         "window",
         F.col("stretch") * 2 + (F.floor((F.col("before") + F.col("tokens") - 1) / room) > F.col("stretch")).cast("int"),
     )
-    own = at.select("conv_id", "window", "ordinal", "role", "text", (~F.lit(True)).alias("repeated"))
+    own = at.select("conv_id", "window", "ordinal", "role", "text", F.lit(False).alias("repeated"))
     used = own
     if history:
         begun = (
