@@ -8,7 +8,9 @@ Decoding joins the raw bytes of the ids; they are turned into text only where as
 
 Defined cases: a null text counts as empty and has no ids; strings that look like special tokens
 are ordinary text; rows, ids and extra columns are taken as they are, ties do not arise, an empty
-table gives an empty result. A stretch without a safe boundary is merged whole, however long.
+table gives an empty result. A stretch without a safe boundary is merged whole, however long; over
+``STRETCH_CHARS`` its matches are found by the regex module, as the library's own matcher runs out of
+stack on them.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import small_batches, text_or_empty
 
 RANKS = "byte_bpe_50k.tiktoken"
 SAFE_BOUNDARY = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
-PIECE_CHARS = 1 << 16
+PIECE_CHARS, STRETCH_CHARS = 1 << 16, 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -56,10 +58,17 @@ def pieces(text: str, at_least: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def _encode_piece(piece: str, ranks_path: str | None) -> list[int]:
+    own = encoder(ranks_path)
+    if len(piece) <= STRETCH_CHARS:
+        return own.encode_ordinary(piece)
+    matches = regex.finditer(own._pat_str, piece)
+    return [token for match in matches for token in own._encode_single_piece(match.group())]
+
+
 def encode(text: str, ranks_path: str | None = None) -> np.ndarray:
     """Token ids as little-endian unsigned 32-bit integers."""
-    own = encoder(ranks_path)
-    parts = [np.array(own.encode_ordinary(piece), "<u4") for piece in pieces(text)]
+    parts = [np.array(_encode_piece(piece, ranks_path), "<u4") for piece in pieces(text)]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 

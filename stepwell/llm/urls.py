@@ -4,8 +4,8 @@ An entry is ``(host, path, verdict)``. It fits its host and all subdomains when
 starts with the entry's path. Entries are stored as one file: their 64-bit xxHash keys in order,
 then the strings. Spark hands the file to every executor, whose workers memory-map it, probe it
 with a vectorised binary search, and confirm the stored string, so a collision of keys never
-decides. A url is probed with each of its parent domains and each path length that occurs among
-the entries.
+decides. A url is probed with its parent domains of each number of labels, and its path's beginnings
+of each length, that occur among the entries.
 
 The longest fitting rule wins (host and path together; of equal ones the longer host). Where no
 rule fits, the method itself decides: block if the host or a parent of it is on the blocked list,
@@ -59,10 +59,10 @@ class DigestArray:
 
     def __init__(self, file: str):
         with open(file, "rb") as start:
-            self.count, longest = np.frombuffer(start.read(16), "<u8").tolist()
-            lengths = np.frombuffer(start.read(8 * longest), "<u8")
-            self.path_lengths = lengths.tolist()
-        at = 16 + 8 * longest
+            self.count, n_lengths, n_labels = np.frombuffer(start.read(24), "<u8").tolist()
+            self.path_lengths = np.frombuffer(start.read(8 * n_lengths), "<u8").tolist()
+            self.label_counts = np.frombuffer(start.read(8 * n_labels), "<u8").tolist()
+        at = 8 * (3 + n_lengths + n_labels)
         if self.count:
             self.keys = np.memmap(file, "<u8", "r", at, (self.count,))
             self.ends = np.memmap(file, "<u8", "r", at + 8 * self.count, (self.count + 1,))
@@ -73,9 +73,11 @@ class DigestArray:
         last = {(h.lower(), p): v for h, p, v in entries}
         rows = sorted((_key(h, p), json.dumps([h, p, v]).encode()) for (h, p), v in last.items())
         lengths = sorted({len(p) for _, p in last})
+        labels = sorted({h.count(".") + 1 for h, _ in last})
         parts = [
-            np.array([len(rows), len(lengths)], "<u8"),
+            np.array([len(rows), len(lengths), len(labels)], "<u8"),
             np.array(lengths, "<u8"),
+            np.array(labels, "<u8"),
             np.array([k for k, _ in rows], "<u8"),
             np.cumsum([0, *(len(s) for _, s in rows)], dtype=np.int64).astype("<u8"),
         ]
@@ -120,10 +122,13 @@ def _opened(name: str) -> DigestArray:
     return DigestArray(SparkFiles.get(name))
 
 
-def candidates(host: str, path: str, path_lengths: Sequence[int]) -> list[tuple[str, str]]:
+def candidates(
+    host: str, path: str, path_lengths: Sequence[int], label_counts: Sequence[int]
+) -> list[tuple[str, str]]:
     """Every (parent domain, path prefix) that an entry could have, best first."""
-    labels = host.split(".")
-    parents = [".".join(labels[i:]) for i in range(len(labels))] if host else []
+    last = host.rsplit(".", max(label_counts, default=0)) if host else []
+    whole = host.count(".") + 1  # labels; the first item of ``last`` may hold several
+    parents = [host if n == whole else ".".join(last[-n:]) for n in label_counts if last and n <= whole]
     lengths = [n for n in path_lengths if n <= len(path)]
     pairs = [(p, path[:n]) for p in parents for n in lengths]
     return sorted(pairs, key=lambda x: (len(x[0]) + len(x[1]), len(x[0])), reverse=True)
@@ -140,10 +145,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], blocked_hosts: Sequence[str])
         rule_array, host_array = _opened(rule_file), _opened(list_file)
         owner, asked, host_owner, host_asked = [], [], [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            tried = candidates(host, path, rule_array.path_lengths)
+            tried = candidates(host, path, rule_array.path_lengths, rule_array.label_counts)
             owner += [i] * len(tried)
             asked += tried
-            parents = candidates(host, "", [0])
+            parents = candidates(host, "", [0], host_array.label_counts)
             host_owner += [i] * len(parents)
             host_asked += parents
         rule: list[str | None] = [None] * len(hosts)
@@ -164,16 +169,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule], blocked_hosts: Sequence[str])
 def judge_by_join(pages: DataFrame, rules: DataFrame, blocked_hosts: DataFrame) -> DataFrame:
     """The rows of :func:`judge` for lists of any size: ``rules`` (host, path, verdict), each
     (host, path) once, and ``blocked_hosts`` (host). Distinct (host, path) pairs are expanded to
-    their candidates, which meet the entries in a shuffled join; only distinct rule path lengths
-    reach the driver, at most the longest path's length."""
-    lengths = sorted(
-        r[0] for r in rules.select(F.length("path")).distinct().collect()
-    )
+    their candidates, which meet the entries in a shuffled join; only the distinct path lengths and
+    numbers of labels of the entries reach the driver, at most the longest entry's length."""
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    entry_hosts = rules.select("host").unionByName(blocked_hosts.select("host"))
+    counts = sorted(r[0] for r in entry_hosts.select(F.size(F.split("host", r"\."))).distinct().collect())
     at = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     parents = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.filter(F.array(*[F.lit(n) for n in counts] or [F.lit(1)]), lambda n: n <= F.size(labels)),
+        lambda n: F.array_join(F.slice(labels, -n, n), "."),
     )
     pairs = at.select("host", "path").distinct().filter("host != ''")
     tried = pairs.select("host", "path", F.explode(parents).alias("parent"))

@@ -25,6 +25,16 @@ def test_round_trip(text):
     assert bpe.decode(ids).decode() == text
 
 
+@pytest.mark.parametrize("text", ["a" * 300_000, " \n" * 150_000 + "x", "^" * 300_000, "\u00a0" * 300_000 + "1"])
+def test_long_stretches_encode_like_the_library(text):
+    assert bpe.encode(text).tolist() == bpe.encoder().encode_ordinary(text)
+
+
+def test_stretches_beyond_the_librarys_stack():
+    text = "ab" + " " * 1_500_000 + "x"
+    assert bpe.decode(bpe.encode(text)).decode() == text
+
+
 def test_digests(spark, docs):
     table = docs(*ODD)
     rows = bpe.token_digests(table).collect()

@@ -8,6 +8,7 @@ URLS = [
     "https://example.org/en/2", "http://x.com/fr/1", "http://x.com/de", "http://x.com/de/", "http://notorg/x",
     "http://org", "http://org/", "ftp://q?a://b.com/fr/", "http://www.adult-x.example.com/en/", "a://b://c.com/fr/",
     "http://xadult-x.example.com/", "http://\u00c9.com/de/\u00e9", "http://free-bets.example.net#/x", "http://a.com/fr/" * 400,
+    "http://" + "a." * 200_000 + "com/de/x", "http://" + "." * 1000 + "org/", "http://org./", "http://.org/a",
 ]
 
 
