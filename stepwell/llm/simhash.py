@@ -11,6 +11,12 @@ pairs: it emits a spanning forest of its verified links, found by a search that
 fingerprint from the rest once it is reached, so a dense bucket costs about its size and keeps
 every connection. Buckets stream through a task in key order.
 
+A segment value may be shared by very many distinct fingerprints, e.g. those of pages made from one
+template. Buckets in reach of a value with over ``HOT_VALUE`` of them are split by the other segment:
+two fingerprints equal in this segment agree in one half of the other but for one bit; if they
+differ in one bit here, at most two are left, and they agree in one third of the other. So no link
+is lost, and the rows of a bucket are bounded whatever the input.
+
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; with fewer words than a shingle, the whole sequence is the shingle. Repeated rows
 and ids are kept as they are, one result row per input row; a null id never names a component
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
@@ -33,6 +39,7 @@ from .common import components, join_hot, small_batches, text_or_empty
 SEGMENTS, BITS = 2, 32
 SEED = 42
 CHUNK = 1 << 15
+HOT_VALUE = 4096
 
 
 def fingerprint(text: str, words_per_shingle: int = 3) -> int:
@@ -104,23 +111,46 @@ def _links_of_batch(key: np.ndarray, fp: np.ndarray, member: np.ndarray, max_bit
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
-def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
+def _split(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``rows`` (key, fp, member) of hot buckets, keyed by parts of the other segment as well."""
+    half = BITS // 2
+    other = F.expr(f"shiftrightunsigned(fp, {BITS} * (1 - cast(shiftright(key, {BITS}) as int)))")
+
+    def part(number: int, at: int, bits: int, flip: int, member: Column) -> Column:
+        value = F.shiftright(other, at).bitwiseAND(F.lit((1 << bits) - 1)).bitwiseXOR(F.lit(flip))
+        return F.struct((value + ((number + 1) << half)).alias("part"), member.alias("member"))
+
+    ball = [0, *(1 << j for j in range(half))] if max_bits >= 2 else [0]
+    halves = [part(h, h * half, half, flip, F.lit(flip == 0)) for h in (0, 1) for flip in ball]
+    thirds = [part(2 + i, 11 * i, min(11, BITS - 11 * i), 0, F.col("member")) for i in range(3)]
+    parts = F.when(F.col("member"), F.array(*halves, *thirds)).otherwise(F.array(*thirds))
+    return rows.select("key", "fp", F.explode(parts).alias("p")).select(
+        (F.col("key") + F.col("p.part") * (1 << (BITS + 1))).alias("key"), "fp", "p.member"
+    )
+
+
+def links(distinct: DataFrame, max_bits: int = 3, hot_value: int = HOT_VALUE) -> DataFrame:
     """Links ``(a, b)`` that connect all fingerprints ``fp`` within ``max_bits`` of each other."""
     if not 0 <= max_bits < 2 * SEGMENTS:
         raise ValueError(f"max_bits must lie between 0 and {2 * SEGMENTS - 1}")
     ball = [0, *(1 << j for j in range(BITS))] if max_bits >= SEGMENTS else [0]
-    flip = F.explode(F.array(*[F.lit(m).cast("long") for m in ball])).alias("flip")
+    flips = F.array(*[F.lit(m).cast("long") for m in ball])
     segment = F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])).alias("segment")
     value = F.expr(f"shiftrightunsigned(fp, segment * {BITS}) & {(1 << BITS) - 1}L")
-    probes = (
-        distinct.select("fp", segment).select("fp", "segment", flip)
-        .select(
-            (value.bitwiseXOR(F.col("flip")) + F.col("segment").cast("long") * (1 << BITS)).alias("key"),
-            "fp",
-            (F.col("flip") == 0).alias("member"),
-        )
-        .repartition("key").sortWithinPartitions("key")
+    members = distinct.select("fp", segment).select(
+        "fp", (value + F.col("segment").cast("long") * (1 << BITS)).alias("own")
+    )
+    probes = members.select("fp", "own", F.explode(flips).alias("flip")).select(
+        F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "fp", (F.col("flip") == 0).alias("member")
+    )
+    hot = materialize(
+        members.groupBy("own").count().filter(F.col("count") > hot_value)
+        .select(F.explode(F.transform(flips, lambda x: F.col("own").bitwiseXOR(x))).alias("key")).distinct()
     )
+    if not hot.isEmpty():
+        crowded = _split(probes.join(hot, "key", "left_semi"), max_bits)
+        probes = probes.join(hot, "key", "left_anti").unionByName(crowded)
+    probes = probes.repartition("key").sortWithinPartitions("key")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the bucket not yet complete

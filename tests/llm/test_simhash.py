@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from stepwell.llm import simhash
 
@@ -97,3 +98,23 @@ def test_a_bucket_across_batches(spark):
     for a, b in links:
         group[root(a)] = root(b)
     assert len({root(v) for v in values}) == 1
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 2, 3])
+def test_split_buckets_keep_every_connection(spark, max_bits):
+    rng = np.random.default_rng(max_bits)
+    values = {int(x) for x in rng.integers(0, 1 << 62, 200, dtype=np.int64)}
+    for base in (77 << 32, 5, (1 << 62) + 9):  # many share a segment or nearly share it
+        shift = 0 if base > 1 << 31 else 32
+        near = [base ^ (int(x) << shift) for x in rng.integers(0, 1 << 31, 150, dtype=np.int64)]
+        values.update(near)
+        for v in near:
+            flips = rng.choice(63, rng.integers(0, 4), replace=False)
+            values.add(v ^ sum(1 << int(b) for b in flips))
+    rows = [(v, v) for v in sorted(values)]
+    table = spark.createDataFrame([(v,) for v, _ in rows], "fp long")
+    expected = dict(zip([v for v, _ in rows], brute(rows, max_bits), strict=True))
+    for hot_value in (3, simhash.HOT_VALUE):
+        found = simhash.components(simhash.links(table, max_bits, hot_value)).collect()
+        got = dict.fromkeys(expected) | {r.node: r.root for r in found}
+        assert {v: v if r is None else r for v, r in got.items()} == expected
