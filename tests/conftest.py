@@ -49,28 +49,38 @@ def table(spark):
     return make
 
 
+#: Three weeks of sign-ups without any in the middle one; user -> (sign-up, lessons), month-day hour.
+MEMBERS = {
+    "ann": ("02-17 08", ["02-17 20", "02-24 07", "03-03 07"]),
+    "ben": ("02-18 12", ["03-04 12"]),
+    "cat": ("02-22 23", ["02-23 01"]),  # two hours, but the next week
+    "dan": ("02-19 15", []),
+    "eve": ("03-02 00", ["03-02 18", "03-10 09"]),
+    "fay": ("03-08 22", []),
+}
+
 RETENTION_ROWS = [
-    ("u1", at("05 10:00"), "signup"),
-    ("u1", at("06 10:00"), "lesson_start"),
-    ("u1", at("14 10:00"), "lesson_start"),
-    ("u2", at("06 10:00"), "signup"),
-    ("u2", at("15 10:00"), "lesson_start"),
-    ("u3", at("07 10:00"), "signup"),
-    ("u4", at("12 10:00"), "signup"),
-    ("u4", at("13 10:00"), "lesson_start"),
-    ("u4", at("20 10:00"), "lesson_start"),
+    (user, datetime.strptime(f"2026-{text}", "%Y-%m-%d %H"), name)
+    for user, (joined, lessons) in MEMBERS.items()
+    for name, text in [("signup", joined), *(("lesson_start", x) for x in lessons)]
 ]
 
+SHOP = ["visit", "basket", "order"]
+#: shopper -> (channel, what they did at which hour); each has a story of their own.
+SHOPPERS = {
+    "ada": ("email", "visit 0, basket 3, order 7"),
+    "bo": ("email", "visit 10, basket 60, order 61"),  # slow in the middle
+    "cy": ("search", "visit 20, order 22, basket 25, order 200"),  # orders before and long after
+    "dee": ("search", "basket 1, visit 30, basket 36"),  # a basket on either side of the visit
+    "eli": ("search", "order 5"),  # never visits
+    "flo": ("search", "visit 40, visit 44"),
+    "gus": ("email", "visit 50, basket 50, order 51"),  # a basket at the instant of the visit
+}
+
 FUNNEL_ROWS = [
-    ("clean", at("05 09:00"), "signup"),
-    ("clean", at("05 11:00"), "lesson_start"),
-    ("clean", at("05 12:00"), "lesson_complete"),
-    ("late", at("05 09:00"), "signup"),
-    ("late", at("15 09:00"), "lesson_start"),
-    ("late", at("15 12:00"), "lesson_complete"),
-    ("jumbled", at("05 09:00"), "signup"),
-    ("jumbled", at("06 09:00"), "lesson_complete"),
-    ("paid", at("05 09:00"), "signup"),
+    (user, hours(int(event.split()[1])), event.split()[0], channel)
+    for user, (channel, story) in SHOPPERS.items()
+    for event in story.split(", ")
 ]
 
 

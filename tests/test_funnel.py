@@ -4,13 +4,12 @@ import math
 from datetime import timedelta
 
 import pytest
-from conftest import MONDAY, column, hours
+from conftest import MONDAY, SHOP, column, hours
 
 import stepwell as sw
 
-STEPS = ["signup", "lesson_start", "lesson_complete"]
 ABC = ["a", "b", "c"]
-WEEK, MONTH = 24 * 7, 24 * 30
+TWO_DAYS, LONG = 48, 300
 #: Both ways of finding the chain: every user in windows, every user in rounds.
 PATHS = [pytest.param(1 << 60, id="windows"), pytest.param(0, id="rounds")]
 
@@ -23,16 +22,16 @@ def users(events, steps, **options):
 @pytest.mark.parametrize(
     ("window_hours", "window_from", "expected"),
     [
-        (MONTH, "entry", [4, 2, 2]),
-        (WEEK, "entry", [4, 1, 1]),
-        (24 * 11, "entry", [4, 2, 2]),
-        (24, "previous", [4, 1, 1]),
+        (LONG, "entry", [6, 4, 3]),
+        (TWO_DAYS, "entry", [6, 3, 1]),
+        (50, "entry", [6, 4, 1]),
+        (50, "previous", [6, 4, 2]),
     ],
 )
 def test_windows_and_anchors(funnel_events, small, window_hours, window_from, expected):
     got = users(
         funnel_events,
-        STEPS,
+        SHOP,
         window_hours=window_hours,
         window_from=window_from,
         rows_per_task=small,
@@ -41,39 +40,40 @@ def test_windows_and_anchors(funnel_events, small, window_hours, window_from, ex
 
 
 def test_rates_and_medians(funnel_events):
-    rows = sw.funnel(funnel_events, STEPS, window_hours=MONTH).collect()
+    """Baskets come 3, 5, 6 and 50 hours after entry, orders 7, 51 and 180."""
+    rows = sw.funnel(funnel_events, SHOP, window_hours=LONG).collect()
     assert [r.step_index for r in rows] == [0, 1, 2]
-    assert [r.step_name for r in rows] == STEPS
-    assert [r.step_conversion for r in rows] == [1.0, 0.5, 1.0]
-    assert [r.overall_conversion for r in rows] == [1.0, 0.5, 0.5]
-    assert [r.dropped for r in rows] == [0, 2, 0]
-    assert [r.median_hours for r in rows] == [0.0, 121.0, 123.0]
+    assert [r.step_name for r in rows] == SHOP
+    assert [r.step_conversion for r in rows] == [1.0, 4 / 6, 3 / 4]
+    assert [r.overall_conversion for r in rows] == [1.0, 4 / 6, 3 / 6]
+    assert [r.dropped for r in rows] == [0, 2, 1]
+    assert [r.median_hours for r in rows] == [0.0, 5.5, 51.0]
 
 
 def test_naive_counts_ignore_order_and_time(funnel_events):
-    rows = sw.naive_funnel(funnel_events, STEPS).collect()
-    assert [r.users for r in rows] == [4, 2, 3]
-    assert [r.step_conversion for r in rows] == [1.0, 0.5, 1.5]
-    assert [r.overall_conversion for r in rows] == [1.0, 0.5, 0.75]
-    assert [r.dropped for r in rows] == [0, 2, -1]
+    rows = sw.naive_funnel(funnel_events, SHOP).collect()
+    assert [r.users for r in rows] == [6, 5, 5]
+    assert [r.step_conversion for r in rows] == [1.0, 5 / 6, 1.0]
+    assert [r.overall_conversion for r in rows] == [1.0, 5 / 6, 5 / 6]
+    assert [r.dropped for r in rows] == [0, 1, 0]
     assert [r.median_hours for r in rows] == [None, None, None]
 
 
 def test_compare(funnel_events):
-    rows = sw.compare(funnel_events, STEPS, window_hours=WEEK).collect()
-    assert [r.users_ordered for r in rows] == [4, 1, 1]
-    assert [r.users_naive for r in rows] == [4, 2, 3]
-    assert [r.overcount for r in rows] == [0, 1, 2]
-    assert [r.overall_conversion_ordered for r in rows] == [1.0, 0.25, 0.25]
-    assert [r.overall_conversion_naive for r in rows] == [1.0, 0.5, 0.75]
+    rows = sw.compare(funnel_events, SHOP, window_hours=TWO_DAYS).collect()
+    assert [r.users_ordered for r in rows] == [6, 3, 1]
+    assert [r.users_naive for r in rows] == [6, 5, 5]
+    assert [r.overcount for r in rows] == [0, 2, 4]
+    assert [r.overall_conversion_ordered for r in rows] == [1.0, 3 / 6, 1 / 6]
+    assert [r.overall_conversion_naive for r in rows] == [1.0, 5 / 6, 5 / 6]
 
 
 def test_overcount_reasons(funnel_events):
-    """``late`` is too late at both steps; ``jumbled`` never started what it completed."""
-    rows = sw.overcount_reasons(funnel_events, STEPS, window_hours=WEEK).collect()
-    assert [r.counted for r in rows] == [4, 1, 1]
-    assert [r.out_of_window for r in rows] == [0, 1, 1]
-    assert [r.out_of_order for r in rows] == [0, 0, 1]
+    """Too late: ``bo`` twice, ``cy``'s order. Out of order: ``gus`` twice, ``eli``'s order."""
+    rows = sw.overcount_reasons(funnel_events, SHOP, window_hours=TWO_DAYS).collect()
+    assert [r.counted for r in rows] == [6, 3, 1]
+    assert [r.out_of_window for r in rows] == [0, 1, 2]
+    assert [r.out_of_order for r in rows] == [0, 1, 2]
 
 
 def test_step_zero_ignored_by_users_who_never_entered(table):
@@ -159,7 +159,7 @@ def test_medians(table):
 
 
 def test_nobody_entered(funnel_events):
-    rows = sw.funnel(funnel_events, STEPS, filters={"channel": ["paid"]}).collect()
+    rows = sw.funnel(funnel_events, SHOP, filters={"channel": ["radio"]}).collect()
     assert [r.users for r in rows] == [0, 0, 0]
     assert [r.step_conversion for r in rows] == [1.0, 1.0, 1.0]
     assert [r.overall_conversion for r in rows] == [0.0, 0.0, 0.0]
@@ -168,9 +168,9 @@ def test_nobody_entered(funnel_events):
 
 
 def test_empty_table(table):
-    assert users(table(), STEPS) == [0, 0, 0]
-    assert users(table(), STEPS, rows_per_task=0) == [0, 0, 0]
-    assert column(sw.naive_funnel(table(), STEPS), "users") == [0, 0, 0]
+    assert users(table(), SHOP) == [0, 0, 0]
+    assert users(table(), SHOP, rows_per_task=0) == [0, 0, 0]
+    assert column(sw.naive_funnel(table(), SHOP), "users") == [0, 0, 0]
 
 
 def test_naive_step_after_an_empty_one_is_infinite(table):
@@ -181,20 +181,20 @@ def test_naive_step_after_an_empty_one_is_infinite(table):
 
 
 def test_filters(funnel_events):
-    organic = {"channel": ["organic"]}
-    assert users(funnel_events, STEPS, window_hours=MONTH, filters=organic) == [4, 2, 2]
-    empty_list = {"channel": [], "platform": ["web", "ios"]}
-    assert users(funnel_events, STEPS, window_hours=MONTH, filters=empty_list) == [4, 2, 2]
-    without_start = {"event_name": ["signup", "lesson_complete"]}
-    assert users(funnel_events, STEPS, window_hours=MONTH, filters=without_start) == [4, 0, 0]
-    with pytest.raises(ValueError, match="Not a filterable column"):
-        sw.funnel(funnel_events, STEPS, filters={"user_id; DROP TABLE events": ["x"]})
+    by_mail = {"channel": ["email"]}
+    assert users(funnel_events, SHOP, window_hours=LONG, filters=by_mail) == [3, 2, 2]
+    empty_list = {"channel": [], "platform": ["web", "kiosk"]}
+    assert users(funnel_events, SHOP, window_hours=LONG, filters=empty_list) == [6, 4, 3]
+    without_basket = {"event_name": ["visit", "order"]}
+    assert users(funnel_events, SHOP, window_hours=LONG, filters=without_basket) == [6, 0, 0]
+    for column_name in ("shoe_size", "channel) --", "user_id"):
+        with pytest.raises(ValueError, match="Not a filterable column"):
+            sw.funnel(funnel_events, SHOP, filters={column_name: ["44"]})
 
 
 def test_hostile_value_is_only_a_value(funnel_events):
-    hostile = {"channel": ["organic' OR '1'='1"]}
-    assert users(funnel_events, STEPS, filters=hostile) == [0, 0, 0]
-    assert funnel_events.count() == 9
+    for value in ("email') --", "%", "em\\ail", "`channel`", ""):
+        assert users(funnel_events, SHOP, filters={"channel": [value]}) == [0, 0, 0]
 
 
 def test_hostile_step_name_is_only_a_value(table):
@@ -206,15 +206,16 @@ def test_hostile_step_name_is_only_a_value(table):
 @pytest.mark.parametrize(
     ("steps", "options", "message"),
     [
-        (["signup"], {}, "at least two"),
-        (["a", "a"], {}, "distinct"),
-        (["a", ""], {}, "non-empty"),
-        (["a", 1], {}, "non-empty strings"),
-        (["a", "b"], {"window_hours": 0}, "positive"),
-        (["a", "b"], {"window_hours": -1}, "positive"),
-        (["a", "b"], {"window_from": "sideways"}, "window_from"),
-        (["a"], {"window_hours": 0, "window_from": "sideways"}, "at least two"),
-        (["a", "b"], {"window_hours": 0, "window_from": "sideways"}, "positive"),
+        (["visit"], {}, "at least two"),
+        ([], {}, "at least two"),
+        (["visit", "order", "visit"], {}, "distinct"),
+        (["visit", ""], {}, "non-empty"),
+        (["visit", 1], {}, "non-empty strings"),
+        (["visit", "order"], {"window_hours": 0}, "positive"),
+        (["visit", "order"], {"window_hours": -0.5}, "positive"),
+        (["visit", "order"], {"window_from": "latest"}, "window_from"),
+        (["visit"], {"window_hours": 0, "window_from": "latest"}, "at least two"),
+        (["visit", "order"], {"window_hours": 0, "window_from": "latest"}, "positive"),
     ],
 )
 def test_validation(funnel_events, steps, options, message):
@@ -283,13 +284,13 @@ def test_cube_levels_equal_filtered_calls(segmented):
 
 
 def test_one_table_of_times_serves_many_windows(funnel_events):
-    times = sw.step_times(funnel_events, STEPS).cache()
-    month = sw.funnel_from_times(times, STEPS, window_hours=MONTH)
-    week = sw.funnel_from_times(times, STEPS, window_hours=WEEK)
-    assert column(month, "users") == [4, 2, 2]
-    assert column(week, "users") == [4, 1, 1]
-    both = sw.compare(funnel_events, STEPS, window_hours=WEEK, times=times)
-    assert column(both, "overcount") == [0, 1, 2]
+    times = sw.step_times(funnel_events, SHOP).cache()
+    long = sw.funnel_from_times(times, SHOP, window_hours=LONG)
+    short = sw.funnel_from_times(times, SHOP, window_hours=TWO_DAYS)
+    assert column(long, "users") == [6, 4, 3]
+    assert column(short, "users") == [6, 3, 1]
+    both = sw.compare(funnel_events, SHOP, window_hours=TWO_DAYS, times=times)
+    assert column(both, "overcount") == [0, 2, 4]
 
 
 def test_an_attribute_of_the_user_joins_the_times(spark, segmented):

@@ -3,25 +3,28 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import at, column
+from conftest import SHOP, at, column
 from pyspark.sql import functions as F
 
 import stepwell as sw
 
 W0, W1 = datetime(2026, 1, 5), datetime(2026, 1, 12)
+FEB16, MAR2 = datetime(2026, 2, 16), datetime(2026, 3, 2)
 
 
 def test_long_form(retention_events):
-    long = sw.retention(retention_events, max_periods=3)
+    long = sw.retention(retention_events, max_periods=4)
     assert [tuple(r) for r in long.collect()] == [
-        (W0, 3, 0, True, 1, 1 / 3),
-        (W0, 3, 1, True, 2, 2 / 3),
-        (W0, 3, 2, True, 0, 0.0),
-        (W0, 3, 3, False, None, None),
-        (W1, 1, 0, True, 1, 1.0),
-        (W1, 1, 1, True, 1, 1.0),
-        (W1, 1, 2, False, None, None),
-        (W1, 1, 3, False, None, None),
+        (FEB16, 4, 0, True, 1, 0.25),
+        (FEB16, 4, 1, True, 2, 0.5),
+        (FEB16, 4, 2, True, 2, 0.5),
+        (FEB16, 4, 3, True, 0, 0.0),
+        (FEB16, 4, 4, False, None, None),
+        (MAR2, 2, 0, True, 1, 0.5),
+        (MAR2, 2, 1, True, 1, 0.5),
+        (MAR2, 2, 2, False, None, None),
+        (MAR2, 2, 3, False, None, None),
+        (MAR2, 2, 4, False, None, None),
     ]
     assert [f.dataType.simpleString() for f in long.schema] == [
         "timestamp_ntz",
@@ -34,33 +37,40 @@ def test_long_form(retention_events):
 
 
 def test_blended_curve_weighs_by_size(retention_events):
-    curve = sw.blended_curve(sw.retention(retention_events, max_periods=3))
+    curve = sw.blended_curve(sw.retention(retention_events, max_periods=4))
     assert [tuple(r) for r in curve.collect()] == [
-        (0, 2, 4, 2, 0.5),
-        (1, 2, 4, 3, 0.75),
-        (2, 1, 3, 0, 0.0),
+        (0, 2, 6, 2, 2 / 6),
+        (1, 2, 6, 3, 0.5),
+        (2, 1, 4, 2, 0.5),
+        (3, 1, 4, 0, 0.0),
     ]
 
 
 def test_matrix(retention_events):
-    long = sw.retention(retention_events, max_periods=3)
-    matrix = sw.as_matrix(long, max_periods=3)
-    assert matrix.columns == ["cohort_period", "0", "1", "2", "3"]
+    long = sw.retention(retention_events, max_periods=4)
+    matrix = sw.as_matrix(long, max_periods=4)
+    assert matrix.columns == ["cohort_period", "0", "1", "2", "3", "4"]
     assert [tuple(r) for r in matrix.collect()] == [
-        (W0, 1 / 3, 2 / 3, 0.0, None),
-        (W1, 1.0, 1.0, None, None),
+        (FEB16, 0.25, 0.5, 0.5, 0.0, None),
+        (MAR2, 0.5, 0.5, None, None, None),
     ]
-    counts = sw.as_matrix(long, "active_users", max_periods=3)
-    assert [tuple(r)[1:] for r in counts.collect()] == [(1, 2, 0, None), (1, 1, None, None)]
+    counts = sw.as_matrix(long, "active_users", max_periods=4)
+    assert [tuple(r)[1:] for r in counts.collect()] == [(1, 2, 2, 0, None), (1, 1, None, None, None)]
 
 
 def test_month_grain(retention_events):
     rows = sw.retention(retention_events, period="month", max_periods=2).collect()
-    assert [tuple(r) for r in rows] == [
-        (datetime(2026, 1, 1), 4, 0, True, 3, 0.75),
-        (datetime(2026, 1, 1), 4, 1, False, None, None),
-        (datetime(2026, 1, 1), 4, 2, False, None, None),
+    assert [tuple(r)[1:] for r in rows if r.cohort_period == datetime(2026, 2, 1)] == [
+        (4, 0, True, 2, 0.5),
+        (4, 1, True, 2, 0.5),
+        (4, 2, False, None, None),
+    ]
+    assert [tuple(r)[1:] for r in rows if r.cohort_period == datetime(2026, 3, 1)] == [
+        (2, 0, True, 1, 0.5),
+        (2, 1, False, None, None),
+        (2, 2, False, None, None),
     ]
+    assert len(rows) == 6
 
 
 def test_months_count_across_years(table):
@@ -75,13 +85,13 @@ def test_months_count_across_years(table):
 def test_sizes(retention_events):
     long = sw.retention(retention_events, max_periods=3)
     assert [tuple(r) for r in sw.cohort_sizes(long).collect()] == [
-        ("2026-01-05", 3),
-        ("2026-01-12", 1),
+        ("2026-02-16", 4),
+        ("2026-03-02", 2),
     ]
 
 
 def test_filter_that_empties_the_table(retention_events):
-    assert sw.retention(retention_events, filters={"platform": ["ios"]}).count() == 0
+    assert sw.retention(retention_events, filters={"platform": ["kiosk"]}).count() == 0
 
 
 def test_empty_table(table):
@@ -94,11 +104,11 @@ def test_zero_periods(retention_events):
 
 def test_arguments(retention_events):
     with pytest.raises(ValueError, match="period must be one of"):
-        sw.retention(retention_events, period="week'); DROP TABLE events; --")
+        sw.retention(retention_events, period="fortnight")
     with pytest.raises(ValueError, match="max_periods"):
         sw.retention(retention_events, max_periods=-1)
     with pytest.raises(ValueError, match="Not a filterable column"):
-        sw.retention(retention_events, filters={"user_id": ["u1"]})
+        sw.retention(retention_events, filters={"shoe_size": ["44"]})
 
 
 def test_activity_before_the_anchor(table):
@@ -185,16 +195,16 @@ def test_consecutive_returns(table):
 
 def test_anchor_and_activity_may_be_the_same_event(retention_events):
     rows = sw.retention(retention_events, activity_event="signup", max_periods=1)
-    assert column(rows, "active_users") == [3, 0, 1, 0]
+    assert column(rows, "active_users") == [4, 0, 2, 0]
 
 
 def test_wilson_interval(retention_events):
-    rows = sw.with_confidence(sw.retention(retention_events, max_periods=3), z=2.0).collect()
-    # 1 of 3, z = 2: centre 1 / 3 + 2 / 3 = 1, margin 2 * sqrt(2 / 27 + 1 / 9), over 1 + 4 / 3
-    margin = 2 * (2 / 27 + 1 / 9) ** 0.5
-    assert rows[0].ci_low == pytest.approx((1 - margin) / (7 / 3))
-    assert rows[0].ci_high == pytest.approx((1 + margin) / (7 / 3))
-    assert rows[3].ci_low is None
+    rows = sw.with_confidence(sw.retention(retention_events, max_periods=4), z=2.0).collect()
+    # 1 of 4, z = 2: centre 1 / 4 + 2 / 4, margin 2 * sqrt(3 / 64 + 4 / 64), all over 1 + 4 / 4
+    margin = 2 * (7 / 64) ** 0.5
+    assert rows[0].ci_low == pytest.approx((0.75 - margin) / 2)
+    assert rows[0].ci_high == pytest.approx((0.75 + margin) / 2)
+    assert rows[4].ci_low is None
 
 
 @pytest.fixture(scope="module")
@@ -272,10 +282,9 @@ def test_cube_levels_equal_filtered_calls(two_channels):
 
 
 def test_kpi_row(funnel_events, retention_events, table):
-    steps = ["signup", "lesson_start", "lesson_complete"]
     kpis = sw.kpi_row(
-        sw.funnel(funnel_events, steps), sw.retention(retention_events, max_periods=3)
+        sw.funnel(funnel_events, SHOP), sw.retention(retention_events, max_periods=3)
     )
-    assert [tuple(r) for r in kpis.collect()] == [(4, 1, 0.25, 0.75)]
-    nobody = sw.kpi_row(sw.funnel(table(), steps), sw.retention(table()))
+    assert [tuple(r) for r in kpis.collect()] == [(6, 2, 2 / 6, 0.5)]
+    nobody = sw.kpi_row(sw.funnel(table(), SHOP), sw.retention(table()))
     assert [tuple(r) for r in nobody.collect()] == [(0, 0, 0.0, None)]

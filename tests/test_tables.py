@@ -3,27 +3,25 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
-from conftest import FUNNEL_ROWS, at, column, hours
+from conftest import FUNNEL_ROWS, SHOP, at, column, hours
 from pyspark.sql import functions as F
 
 import stepwell as sw
 from stepwell.sources.tables import scratch_path
 
-STEPS = ["signup", "lesson_start", "lesson_complete"]
-
 
 def test_schema(table):
     assert table().schema == sw.EVENT_SCHEMA
-    assert table(*FUNNEL_ROWS).count() == 9
+    assert table(*FUNNEL_ROWS).count() == 19
 
 
 def test_build_and_open(spark, funnel_events, tmp_path):
     path = str(tmp_path / "events")
-    assert sw.build_event_table(funnel_events, path) == 9
-    assert sw.build_event_table(funnel_events, path) == 9  # rebuilt, not appended
+    assert sw.build_event_table(funnel_events, path) == 19
+    assert sw.build_event_table(funnel_events, path) == 19  # rebuilt, not appended
     events = sw.open_event_table(spark, path)
     assert events.columns == sw.EVENT_SCHEMA.names
-    assert column(sw.funnel(events, STEPS), "users") == [4, 1, 1]
+    assert column(sw.funnel(events, SHOP), "users") == [6, 4, 2]
     typed = sw.open_event_table(spark, path, schema=sw.EVENT_SCHEMA)
     assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, funnel_events.collect()))
 
@@ -31,8 +29,8 @@ def test_build_and_open(spark, funnel_events, tmp_path):
 def test_reporting_window_prunes_directories(spark, funnel_events, tmp_path):
     path = str(tmp_path / "events")
     sw.build_event_table(funnel_events, path)
-    recent = sw.open_event_table(spark, path, start=date(2026, 1, 6), end=date(2026, 1, 15))
-    assert column(recent, "user_id") == ["jumbled"]
+    recent = sw.open_event_table(spark, path, start=date(2026, 1, 6), end=date(2026, 1, 7))
+    assert sorted(column(recent, "user_id")) == ["cy", "dee", "dee", "flo", "flo"]
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     read = {row.path for row in recent.select(F.input_file_name().alias("path")).collect()}
@@ -75,9 +73,9 @@ def test_first_events_survive_late_and_repeated_batches(spark, funnel_events, ta
     expected = sorted(map(tuple, sw.first_events(funnel_events).collect()))
     assert sorted(map(tuple, sw.read_first_events(spark, path).collect())) == expected
     sw.compact_first_events(spark, path, compacted)
-    sw.add_first_events(table(("clean", hours(-1), "signup")), compacted, 0, "a")
+    sw.add_first_events(table(("ada", hours(-1), "visit")), compacted, 0, "a")
     merged = sw.read_first_events(spark, compacted)
-    assert merged.filter("user_id = 'clean' AND event_name = 'signup'").head().event_ts == hours(-1)
+    assert merged.filter("user_id = 'ada' AND event_name = 'visit'").head().event_ts == hours(-1)
     assert merged.count() == len(expected)
 
 
@@ -111,10 +109,10 @@ def test_streamed_first_events_equal_the_batch_result(spark, funnel_events, tmp_
 
 def test_cube_is_stored_by_level(spark, funnel_events, tmp_path):
     path = str(tmp_path / "cube")
-    cube = sw.funnel_cube(funnel_events, STEPS, ["channel", "platform"])
+    cube = sw.funnel_cube(funnel_events, SHOP, ["channel", "platform"])
     sw.write_cube(cube, path)
     stored = spark.read.parquet(path)
-    assert stored.count() == cube.count() == 12
+    assert stored.count() == cube.count() == 18
     assert (tmp_path / "cube" / "level=all").is_dir()
 
 
@@ -169,21 +167,18 @@ def test_quality_counts_nulls_and_empty_tables(spark, table):
 
 
 def test_histogram(funnel_events):
-    assert [tuple(r) for r in sw.event_histogram(funnel_events).collect()] == [
-        ("signup", 4),
-        ("lesson_complete", 3),
-        ("lesson_start", 2),
-    ]
+    got = [tuple(r) for r in sw.event_histogram(funnel_events).collect()]
+    assert got[0] == ("visit", 7)
+    assert sorted(got[1:]) == [("basket", 6), ("order", 6)]
 
 
 def test_populations(funnel_events):
-    late = sw.late_activators(funnel_events, anchor="signup", activity="lesson_start")
-    assert [tuple(r) for r in late.collect()] == [("late", at("05 09:00"), at("15 09:00"))]
-    assert sw.late_activators(
-        funnel_events, anchor="signup", activity="lesson_start", hours=240
-    ).count() == 0
-    skipped = sw.did_without(funnel_events, did="lesson_complete", never="lesson_start")
-    assert [tuple(r) for r in skipped.collect()] == [("jumbled", 1)]
+    late = sw.late_activators(funnel_events, anchor="visit", activity="basket", hours=49)
+    assert [tuple(r) for r in late.collect()] == [("bo", hours(10), hours(60))]
+    on_time = sw.late_activators(funnel_events, anchor="visit", activity="basket", hours=50)
+    assert on_time.count() == 0
+    skipped = sw.did_without(funnel_events, did="order", never="basket")
+    assert [tuple(r) for r in skipped.collect()] == [("eli", 1)]
 
 
 def test_display(spark):
