@@ -297,24 +297,30 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol_of = _Symbols()
-        known = frequent.value
-        log_of = {w: math.log10(c + 1) for w, c in known.items()}
+        log_of = {w: math.log10(c + 1) for w, c in frequent.value.items()}
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 words = tokens(text)
-                symbols = np.array([symbol_of[w] for w in words], "<u2")
-                times = Counter(words)
-                rare = [w for w in times if w not in log_of]
+                symbols = np.fromiter(map(symbol_of.__getitem__, words), "<u2", len(words))
+                logs, n_known, rare, rare_times = [], 0, [], []
+                for word, times in Counter(words).items():
+                    log = log_of.get(word)
+                    if log is None:
+                        rare.append(word)
+                        rare_times.append(times)
+                    elif log:  # zero for words that the training part does not have
+                        logs.append(log * times)
+                        n_known += times
                 rows.append(
                     (
                         len(words),
                         symbols.tobytes(),
                         int(np.bincount(symbols[:-1]).argmax()) if len(words) > 1 else 0,
-                        math.fsum(log_of[w] * n for w, n in times.items() if w in log_of),
-                        sum(n for w, n in times.items() if known.get(w)),
+                        math.fsum(logs),
+                        n_known,
                         rare,
-                        [times[w] for w in rare],
+                        rare_times,
                     )
                 )
             columns = ["n_tokens", "symbols", "top", "log_counts", "n_known", "rare", "times"]
