@@ -48,10 +48,11 @@ def farthest_seconds(count: int, window_hours: float, window_from: str) -> int:
 
 
 def step_events(events: DataFrame, steps: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """The events of the funnel, with the step number in place of the name."""
+    """The events of the funnel, with the step number in place of the name. A NULL is no user."""
     steps = list(steps)
     number = F.array_position(F.lit(steps), F.col("event_name")) - 1
-    return events.filter(F.col("event_name").isin(steps)).select(
+    of_steps = F.col("event_name").isin(steps) & F.col("user_id").isNotNull()
+    return events.filter(of_steps).select(
         *by, "user_id", "event_ts", number.cast("int").alias("step")
     )
 

@@ -31,19 +31,19 @@ def user_periods(
 ) -> DataFrame:
     """One row per (segment, user, period) with the flags ``anchored`` and ``active``.
 
-    Events of other names matter for the horizon only. They lose their user here, so each
-    task folds them into one row per period before the shuffle.
+    Events of other names, and of no user, matter for the horizon only. They lose their user
+    here, so each task folds them into one row per period before the shuffle.
     """
     name = F.col("event_name")
-    relevant = name.isin(signup_event, activity_event)
+    relevant = name.isin(signup_event, activity_event) & F.col("user_id").isNotNull()
     return (
         events.select(
             *by,
             relevant.alias("relevant"),
             F.when(relevant, F.col("user_id")).alias("user_id"),
             period_start(F.col("event_ts"), period).alias("period"),
-            (name == signup_event).alias("is_anchor"),
-            (name == activity_event).alias("is_activity"),
+            (relevant & (name == signup_event)).alias("is_anchor"),
+            (relevant & (name == activity_event)).alias("is_activity"),
         )
         .groupBy(*by, "relevant", "user_id", "period")
         .agg(F.max("is_anchor").alias("anchored"), F.max("is_activity").alias("active"))

@@ -12,15 +12,26 @@ from pyspark.sql import types as T
 
 from ..plans.scratch import shared_root
 
+#: The columns that no event table lacks.
+REQUIRED = ("user_id", "event_ts", "event_name")
+
 
 def build_event_table(events: DataFrame, path: str) -> int:
     """(Re)write the table at ``path`` and return its row count.
 
     Rows are brought together by date, with busy dates split over many files and quiet ones
     merged. Files are sorted by event name and user, so that a filter on the event name
-    skips row groups.
+    skips row groups. A missing column is an error, and so is a NULL in the columns that every
+    event has: the write fails on the first one.
     """
-    dated = events.withColumn("event_date", F.col("event_ts").cast("date"))
+    missing = [c for c in REQUIRED if c not in events.columns]
+    if missing:
+        raise ValueError(f"An event table needs the columns {', '.join(missing)}")
+    checked = {
+        c: F.coalesce(c, F.raise_error(F.lit(f"{c} is NULL")).cast(events.schema[c].dataType))
+        for c in REQUIRED
+    }
+    dated = events.withColumns(checked).withColumn("event_date", F.col("event_ts").cast("date"))
     (
         dated.hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "event_name", "user_id", "event_ts")

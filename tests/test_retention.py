@@ -144,6 +144,16 @@ def test_any_event_of_any_user_moves_the_horizon(table):
     assert column(sw.retention(events, max_periods=3), "observed") == [True, True, True, False]
 
 
+def test_a_null_is_no_user_but_moves_the_horizon(spark):
+    events = spark.createDataFrame(
+        [("u", at("06 10:00"), "signup"), (None, at("06 10:00"), "signup"),
+         (None, at("13 10:00"), "lesson_start")],
+        "user_id string, event_ts timestamp_ntz, event_name string",
+    )
+    rows = sw.retention(events, max_periods=2).collect()
+    assert [tuple(r)[1:5] for r in rows] == [(1, 0, True, 0), (1, 1, True, 0), (1, 2, False, None)]
+
+
 def test_a_filter_moves_the_horizon(table):
     events = table(
         ("u", at("06 10:00"), "signup", "organic", "ios"),

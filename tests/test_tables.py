@@ -26,6 +26,24 @@ def test_build_and_open(spark, funnel_events, tmp_path):
     assert sorted(map(tuple, typed.collect())) == sorted(map(tuple, funnel_events.collect()))
 
 
+def test_build_refuses_holes(spark, table, tmp_path):
+    path = str(tmp_path / "events")
+    with pytest.raises(ValueError, match="event_name"):
+        sw.build_event_table(table().drop("event_name"), path)
+    holes = table(("u", hours(0), "visit")).withColumn("event_ts", F.lit(None).cast("timestamp_ntz"))
+    with pytest.raises(Exception, match="event_ts is NULL"):
+        sw.build_event_table(holes, path)
+
+
+def test_a_null_is_no_user(spark):
+    events = spark.createDataFrame(
+        [("u", hours(0), "visit"), (None, hours(0), "visit"), (None, hours(1), "order")],
+        "user_id string, event_ts timestamp_ntz, event_name string",
+    )
+    assert column(sw.funnel(events, ["visit", "order"]), "users") == [1, 0]
+    assert column(sw.naive_funnel(events, ["visit", "order"]), "users") == [1, 0]
+
+
 def test_reporting_window_prunes_directories(spark, funnel_events, tmp_path):
     path = str(tmp_path / "events")
     sw.build_event_table(funnel_events, path)
