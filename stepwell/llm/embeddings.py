@@ -1,12 +1,12 @@
 """Embedding near-duplicates by spherical-cap filters with structured random product codes.
 
-A filter is a direction on the sphere; it holds the vectors whose cosine with it exceeds a
-threshold, a spherical cap. Two near vectors share some cap with high probability, unrelated ones
-rarely. So that many directions need no long scan, they form a product code: the coordinates are
-cut into blocks, each block has its own small random code, and a direction is one code word per
-block. The cosine with a direction is a sum over blocks; a vector is list-decoded to all
-directions above the threshold by extending partial sums block by block and dropping those that
-even the best remaining words cannot lift over it.
+A filter is a direction on the sphere, and a vector lies in the filters of its nearest directions,
+always the same number of them. Two near vectors share some filter with high probability,
+unrelated ones rarely. So that many directions need no long scan, they form a product code: the
+coordinates, after a random rotation, are cut into blocks, each block has its own small random
+code, and a direction is one code word per block. The cosine with a direction is a sum over
+blocks; a vector is list-decoded to its best directions by extending the best partial sums block
+by block.
 
 Vectors are joined on filters, and pairs inside a filter are verified with double precision. A
 filter never emits its pairs. For each member it emits the copies it links to, counting a pair
@@ -14,8 +14,11 @@ only in the smallest filter both share, and a spanning forest of the links. A fi
 members is cut into blocks of ``BLOCK`` and pairs of blocks are separate tasks.
 
 The code grows with the number of distinct vectors: a filter holds ``MEMBERS`` unrelated vectors
-on average and a vector lies in ``LISTED`` filters on average, which sets threshold and number of
-words for every size by the same rule (see :func:`plan`).
+on average, and the shortest lists are taken that find ``RECALL`` of the pairs at exactly the wanted
+cosine (nearer ones are found more often), measured on random pairs. Under the rotation that
+recall depends on a pair's cosine only, not on the data. Where no list is long enough, as in few
+dimensions, filters grow until one is. Up to ``EXACT`` vectors, or where filters would save
+nothing, all pairs are compared (see :func:`plan`).
 
 Defined cases: a vector that is null, empty, zero or holds a null or non-finite component, and a
 vector whose id is null, links with nothing and is its own component. Vectors of different lengths
@@ -40,8 +43,12 @@ from ..plans.scratch import materialize
 from .common import components, join_hot
 
 MEMBERS = 64
-LISTED = 12
+LISTED = (16, 24, 32, 48, 64)
+WORDS = 4096
+RECALL, PAIRS = 0.999, 4000
+EXACT = 4096
 BLOCK = 2048
+STEP = 1000
 SEED = 20
 
 
@@ -50,7 +57,8 @@ class Code:
     dim: int
     blocks: int
     words: int
-    threshold: float
+    threshold: float = -math.inf
+    listed: int = 0
 
     def books(self) -> list[tuple[np.ndarray, slice]]:
         """Per block its unit code words and the coordinates it covers."""
@@ -63,8 +71,49 @@ class Code:
             books.append((words, slice(a, b)))
         return books
 
+    def rotation(self) -> np.ndarray:
+        rng = np.random.default_rng([SEED, self.dim])
+        return np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
+
+    def nearest(self, unit: np.ndarray, books) -> np.ndarray:
+        """For each row of ``unit``, the sorted numbers of its ``listed`` best filters (of all, if fewer)."""
+        number, total = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1))
+        for words, at in books:
+            scores = unit[:, at] @ words.T
+            top = min(self.listed, self.words)
+            word = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+            best = np.take_along_axis(scores, word, 1)
+            order = np.argsort(-best, axis=1, kind="stable")
+            word, best = np.take_along_axis(word, order, 1), np.take_along_axis(best, order, 1)
+            # both sides are in descending order: (i, j) is beaten by (i + 1) * (j + 1) - 1 others
+            i, j = np.nonzero(np.outer(np.arange(total.shape[1]) + 1, np.arange(top) + 1) <= self.listed)
+            sums = total[:, i] + best[:, j]
+            keep = np.argsort(-sums, axis=1, kind="stable")[:, : self.listed]
+            number = np.take_along_axis(number[:, i] * self.words + word[:, j], keep, 1)
+            total = np.take_along_axis(sums, keep, 1)
+        return np.sort(number, axis=1)
+
+    def finds(self, cosine: float, least: float, pairs: int = PAIRS) -> bool:
+        """Whether at least the share ``least`` of random pairs at this cosine share a filter."""
+        rng = np.random.default_rng([SEED, self.dim, pairs])
+        books, missed, step = self.books(), 0, 250
+        for _ in range(0, pairs, step):
+            x, z = rng.standard_normal((2, step, self.dim))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            z -= (z * x).sum(axis=1, keepdims=True) * x
+            z /= np.linalg.norm(z, axis=1, keepdims=True)
+            y = cosine * x + math.sqrt(max(1 - cosine * cosine, 0)) * z
+            a, b = self.nearest(x, books), self.nearest(y, books)
+            missed += step - int((a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).sum())
+            if missed > (1 - least) * pairs:
+                return False
+        return True
+
     def decode(self, unit: np.ndarray, books) -> list[np.ndarray]:
-        """For each row of ``unit``, the sorted numbers of all filters over the threshold."""
+        """For each row of ``unit``, the sorted numbers of its filters: the ``listed`` best, or if
+        that is 0 all over the threshold."""
+        if self.listed:
+            return list(self.nearest(unit @ self.rotation(), books))
         scores = [unit[:, at] @ words.T for words, at in books]
         best = np.cumsum([s.max(axis=1) for s in scores][::-1], axis=0)[::-1]
         row = np.arange(len(unit))
@@ -79,13 +128,20 @@ class Code:
         return [np.sort(x) for x in np.split(number, cuts)]
 
 
-def plan(vectors: int, dim: int) -> Code:
-    """Code for so many distinct vectors of ``dim`` components."""
-    share = min(0.05, MEMBERS / max(vectors, 1))  # of unrelated vectors in a filter
-    filters = LISTED / share
-    blocks = min(dim, 2 if filters <= 1e6 else 3 if filters <= 1e9 else 4)
-    words = max(2, math.ceil(filters ** (1 / blocks)))
-    return Code(dim, blocks, words, NormalDist().inv_cdf(1 - share) / math.sqrt(dim))
+def plan(vectors: int, dim: int, min_cosine: float = 0.95) -> Code:
+    """Code for so many distinct vectors of ``dim`` components; one single filter compares all pairs."""
+    members = MEMBERS
+    while vectors > EXACT and dim > 1 and members < vectors:
+        for listed in LISTED:
+            filters = vectors * listed / members
+            blocks = next(b for b in range(1, 64) if filters <= WORDS**b)
+            if filters <= listed**2 or blocks > dim:
+                continue  # as many comparisons as all pairs are
+            code = Code(dim, blocks, math.ceil(filters ** (1 / blocks)), listed=listed)
+            if code.finds(min_cosine, RECALL):
+                return code
+        members *= 2
+    return Code(dim, 1, 1, listed=1)
 
 
 def _typed(vectors: DataFrame) -> DataFrame:
@@ -117,13 +173,14 @@ def link_classes(found: DataFrame, min_cosine: float) -> DataFrame:
     and filter the copies it links to there, and a link of the spanning forest (or null)."""
     spark = found.sparkSession
     sizes = {r.dim: r["count"] for r in found.groupBy(F.size("embedding").alias("dim")).count().collect()}
-    codes = {dim: plan(count, dim) for dim, count in sizes.items()}
+    codes = {dim: plan(count, dim, min_cosine) for dim, count in sizes.items()}
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         books = {dim: code.books() for dim, code in codes.items()}
         for batch in batches:
             for dim, rows in batch.groupby(batch["embedding"].map(len)):
-                filters = codes[dim].decode(_units(rows["embedding"]), books[dim])
+                unit = _units(rows["embedding"])
+                filters = [f for at in range(0, len(unit), STEP) for f in codes[dim].decode(unit[at : at + STEP], books[dim])]
                 yield pd.DataFrame({"class_id": rows["class_id"].to_numpy(), "dim": dim, "filters": filters})
 
     lists = materialize(found.mapInPandas(listed, "class_id long, dim int, filters array<long>"))
@@ -150,10 +207,7 @@ def link_classes(found: DataFrame, min_cosine: float) -> DataFrame:
         if i == j:
             near = np.triu(near, 1)
         a, b = np.nonzero(near)
-        lists_a, lists_b = left["filters"].to_numpy(), right["filters"].to_numpy()
-        first = np.fromiter(
-            (_first_common(lists_a[x], lists_b[y]) == number for x, y in zip(a, b, strict=True)), bool, a.size
-        )
+        first = _first_here(np.stack(left["filters"].to_numpy()), np.stack(right["filters"].to_numpy()), a, b, number)
         a, b = a[first], b[first]
         ids_a, ids_b = left["class_id"].to_numpy(), right["class_id"].to_numpy()
         copies_a, copies_b = left["copies"].to_numpy(), right["copies"].to_numpy()
@@ -169,8 +223,14 @@ def link_classes(found: DataFrame, min_cosine: float) -> DataFrame:
     return rows.groupBy("dim", "filter", "i", "j").applyInPandas(verify, "class_id long, other long, linked long")
 
 
-def _first_common(a: np.ndarray, b: np.ndarray) -> int:
-    return np.intersect1d(a, b, assume_unique=True)[0]
+def _first_here(left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
+    """Whether the pairs (a, b) of rows share no filter smaller than ``number``."""
+    left = np.where(left < number, left, -1)
+    first = np.ones(a.size, bool)
+    for at in range(0, a.size, STEP):
+        x, y = left[a[at : at + STEP]], right[b[at : at + STEP]]
+        first[at : at + STEP] = ~(x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    return first
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:

@@ -76,3 +76,24 @@ def test_decoding_lists_exactly_the_caps_that_hold_a_vector():
             if sum(x[at] @ w[c] for (w, at), c in zip(books, (i, j, k), strict=True)) > 0.4
         ]
         assert found.tolist() == every
+
+
+def test_recall_stays_as_the_table_grows():
+    rng = np.random.default_rng(4)
+    for dim, vectors in ((64, 20_000), (64, 2_000_000), (64, 20_000_000), (16, 100_000), (4, 100_000), (2, 100_000)):
+        code = embeddings.plan(vectors, dim)
+        x, z = rng.standard_normal((2, 500, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        y = 0.955 * x + np.sqrt(1 - 0.955**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        books = code.books()
+        lists = list(zip(code.decode(x, books), code.decode(y, books), strict=True))
+        assert all(len(a) and len(b) for a, b in lists)
+        assert sum(bool(np.intersect1d(a, b).size) for a, b in lists) >= 0.99 * len(lists)
+
+
+def test_few_dimensions_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vectors = [np.float32(v).tolist() for dim in (1, 2, 3, 5, 16) for v in rng.standard_normal((60, dim))]
+    ids = list(range(len(vectors)))
+    assert rows_of(spark, ids, vectors) == brute(ids, vectors)
