@@ -6,6 +6,11 @@ at once. A document is then sampled with a probability proportional to its cell'
 calibrated so that the largest is one: expected token shares equal the targets and nothing is
 drawn twice.
 
+A few tokens cannot carry a large share of a large sample. So no weight exceeds ``1 / LEAST``, and
+about ``LEAST`` of the tokens stay at least: a category that holds less than its share of those
+keeps all it has, and the others of its dimension divide the rest by their targets. Where the
+exact shares leave more than that, the bound changes nothing.
+
 Targets list categories; every value they don't list, and null, falls into ``OTHER``. So the
 number of cells is bounded by the targets, never by the data. One partial aggregation over the
 documents gives the cells' tokens. Up to ``MAX_CELLS`` cells the raking itself is arithmetic on
@@ -36,6 +41,7 @@ Targets = Mapping[str, Mapping[str, float]]
 OTHER = "other"
 MAX_CELLS = 100_000
 ROUNDS, TOLERANCE = 200, 1e-10
+LEAST = 0.1
 
 
 def topic_of(text: Column) -> Column:
@@ -74,7 +80,24 @@ def _shares(found: Mapping[str, float], wanted: Mapping[str, float]) -> dict[str
     rest = rest if rest > 1e-9 else found.get(OTHER, 0) / max(total, 1)
     shares = {c: float(wanted.get(c, rest)) for c in present}
     scale = sum(shares.values())
-    return {c: s / scale for c, s in shares.items()} if scale else dict.fromkeys(present, 0.0)
+    if not scale:
+        return dict.fromkeys(present, 0.0)
+    return _carried({c: s / scale for c, s in shares.items()}, {c: found[c] / total / LEAST for c in present})
+
+
+def _carried(shares: Mapping[str, float], room: Mapping[str, float]) -> dict[str, float]:
+    """``shares`` with none above its ``room``; what that leaves is divided among the others."""
+    full: set[str] = set()
+    while True:
+        free = sum(s for c, s in shares.items() if c not in full)
+        scale = (1 - sum(room[c] for c in full)) / free if free > 0 else 0.0
+        over = {c for c, s in shares.items() if c not in full and s * scale > room[c]}
+        if not over:
+            break
+        full |= over
+    out = {c: room[c] if c in full else s * scale for c, s in shares.items()}
+    total = sum(out.values())
+    return {c: s / total for c, s in out.items()}
 
 
 def rake(cells: pd.DataFrame, targets: Targets, rounds: int = ROUNDS) -> np.ndarray:
@@ -93,7 +116,7 @@ def rake(cells: pd.DataFrame, targets: Targets, rounds: int = ROUNDS) -> np.ndar
             has = np.bincount(codes, tokens * weight, len(shares)) / total
             factor = np.divide(shares, has, out=np.ones_like(has), where=has > 0)
             worst = max(worst, float(np.abs(has - shares).max(initial=0.0)))
-            weight *= factor[codes]
+            weight = np.minimum(weight * factor[codes], 1 / LEAST)
         if worst < TOLERANCE:
             break
     return weight
@@ -121,7 +144,8 @@ def rake_by_join(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> Da
             table = cells.sparkSession.createDataFrame(factors, "category string, factor double")
             now = (
                 now.join(table, now[at] == table["category"])
-                .withColumn("weight", F.col("weight") * F.col("factor")).drop("category", "factor")
+                .withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.lit(1 / LEAST)))
+                .drop("category", "factor")
             )
         now = checkpointed(now)
         if worst < TOLERANCE:

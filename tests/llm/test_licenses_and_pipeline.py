@@ -5,8 +5,10 @@ import hashlib
 import corpus_pipeline
 import pytest
 from catalog.check import connect, differences
-from stepwell.llm import licenses
-from stepwell.llm.queries import llm_oracles, llm_queries
+from pyspark.sql import functions as F
+from stepwell.llm import licenses, mixing
+from stepwell.llm.queries import TARGETS, llm_oracles, llm_queries
+from stepwell.plans.scratch import materialize
 
 from .conftest import ODD
 
@@ -56,3 +58,12 @@ def test_stages_one_by_one(spark):
     }
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, last))
+
+
+def test_the_mix_stage_of_the_pipeline_leaves_a_corpus(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = materialize(corpus_pipeline.keep_good(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+    docs = materialize(corpus_pipeline.drop_near_duplicates(spark, docs, sf))
+    rows = mixing.sampled(docs, TARGETS)
+    total, kept = rows.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).head()
+    assert kept >= 0.09 * total

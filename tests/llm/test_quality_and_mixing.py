@@ -120,3 +120,14 @@ def test_mixing_odd_rows(spark, docs):
     counts = Counter(r.doc_id for r in mixed.collect())
     assert counts[1] in (0, 2)  # repeated rows share their fate
     assert mixing.mixed(table.limit(0), targets).count() == 0
+
+
+def test_a_starved_category_does_not_set_the_scale(spark):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 30), "en", "b", 1, 1, "k", "f") for i in range(2000)]
+    table = spark.createDataFrame([(9999, "one few", "fr", "a", 1, 1, "k", "f"), *rows], DOCS)
+    for max_cells in (1000, 0):
+        kept = mixing.sampled(table, TARGETS, max_cells=max_cells).filter("kept")
+        ids = {r.doc_id for r in kept.select("doc_id").collect()}
+        assert 9999 in ids
+        assert len(ids) >= 150
