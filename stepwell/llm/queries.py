@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, hmm, licenses, merkle, mixing, quality, simhash, syncmers, urls
+from . import (
+    alignment, bpe, chat, embeddings, hmm, licenses, merkle, mixing, quality, simhash, syncmers, urls,
+)
 
 #: Target shares of the training mix; what is not listed takes the rest.
 TARGETS = {
@@ -101,6 +103,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_scores(table(spark, sf_dir, "documents"))
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     hosts = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
@@ -131,7 +137,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scan, op2_syncmer_fingerprints, op3_chat_windows, op4_mixing, op5_simhash,
         op6_quality, op7_hmm_score, op8_byte_bpe, op9_embedding_dedup, op10_url_filter,
-        op11_merkle_manifest,
+        op11_merkle_manifest, op13_tokenizer_alignment,
     ]
     return {f.__name__: f for f in found}
 
