@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
-from .common import small_batches, text_or_empty
+from .common import ranges, small_batches, text_or_empty
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A block ends with the batch that reaches one of these.
@@ -225,12 +225,6 @@ class Aligned:
         self.pairs_at = np.r_[0, np.cumsum(np.bincount(stretch[starts], minlength=n))]
 
 
-def _ranges(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the slices ``at[i] : at[i + 1]`` for every i of ``which``, and their lengths."""
-    size = at[which + 1] - at[which]
-    return np.arange(size.sum()) + np.repeat(at[which] - np.cumsum(size) + size, size), size
-
-
 def align_block(own: Pair, texts: list[str]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     """Per text its figures with ``at`` and ``links`` (its distinct pairs, by their place in the
     block's list, and their links); the block's distinct pairs, and in how many texts each stands."""
@@ -256,7 +250,7 @@ def align_block(own: Pair, texts: list[str]) -> tuple[pd.DataFrame, np.ndarray,
     base = max(len(number), 1)
     held, times = np.unique(doc * base + stretch, return_counts=True)
     doc, stretch = held // base, held % base
-    index, size = _ranges(aligned.pairs_at, stretch)
+    index, size = ranges(aligned.pairs_at, stretch)
     pairs, place = np.unique(aligned.code, return_inverse=True)
     base = max(pairs.size, 1)
     key = np.repeat(doc, size) * base + place[index]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def ranges(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the slices ``at[i] : at[i + 1]`` for every i of ``which``, and their lengths."""
+    size = at[which + 1] - at[which]
+    return np.arange(size.sum()) + np.repeat(at[which] - np.cumsum(size) + size, size), size
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, copies: str) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which has one row per ``key`` and in ``copies`` the
     number of ``rows`` of that key.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    alignment, bpe, chat, embeddings, hmm, licenses, merkle, mixing, quality, simhash, syncmers, urls,
+    alignment, bpe, chat, embeddings, hmm, languages, licenses, merkle, mixing, quality, simhash, syncmers, urls,
 )
 
 #: Target shares of the training mix; what is not listed takes the rest.
@@ -103,6 +103,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = languages.predicted(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages", "shares")
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_scores(table(spark, sf_dir, "documents"))
 
@@ -137,7 +142,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_license_scan, op2_syncmer_fingerprints, op3_chat_windows, op4_mixing, op5_simhash,
         op6_quality, op7_hmm_score, op8_byte_bpe, op9_embedding_dedup, op10_url_filter,
-        op11_merkle_manifest, op13_tokenizer_alignment,
+        op11_merkle_manifest, op12_language_id, op13_tokenizer_alignment,
     ]
     return {f.__name__: f for f in found}
 
