@@ -28,3 +28,9 @@ def periods_between(start: Column, end: Column, period: str) -> Column:
 def whole_seconds_between(start: str, end: str) -> str:
     """SQL: seconds between two instants, each first cut to its whole second."""
     return f"(unix_timestamp({end}) - unix_timestamp({start}))"
+
+
+def micros(ts: str) -> str:
+    """SQL: microseconds since 1970 on the clock of a zone-less time, as a long."""
+    since = f"CAST({ts} AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    return f"CAST(1000000 * CAST(CAST({since} AS INTERVAL SECOND) AS DECIMAL(20, 6)) AS BIGINT)"

@@ -8,8 +8,8 @@ comparison is arithmetic on that row.
 
 ``step_times`` shuffles each event once, by user, and chains window minima over that one
 partitioning; no join per step. Users with too many rows for one task (see ``plans.skew``)
-are spread over tasks by time instead, once, and each step is one partial aggregation over
-those slices, joined with the small state of these users.
+are spread over tasks by time instead, once, and the slices' summaries are composed
+(see ``plans.chains``).
 """
 
 from __future__ import annotations
@@ -22,15 +22,14 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import overall_conversion, step_conversion
 from ..functions.time import whole_seconds_between
-from ..plans.medians import mark_median
+from ..plans.chains import MAX_BROADCAST, times_by_slices
+from ..plans.medians import with_medians
 from ..plans.skew import ROWS_PER_TASK, heavy_keys
 from .filters import Filters, apply_filters
 from .validation import check_steps, check_window
 
 #: Fixed value: the window if none is given.
 DEFAULT_WINDOW_HOURS = 24 * 7
-#: Heavy users whose keys and state (one short row each) are broadcast at most.
-MAX_BROADCAST = 100_000
 #: Tasks per heavy user where the caller names heavy users without their ``slices``.
 DEFAULT_SLICES = 64
 
@@ -77,7 +76,7 @@ def step_times(
     a wider window asked of it later is an error. Set
     ``colocated`` when ``events`` is already partitioned by ``user_id`` (a bucketed table, the
     result of a join on the user): then no event moves at all. ``heavy`` takes a table found
-    earlier by ``plans.skew.heavy_keys``; else a job counts the rows of every user first.
+    earlier by ``plans.skew.heavy_keys``; else a job sketches the most frequent users first.
     """
     check_steps(steps)
     # The user first: rows are sorted by the first key's leading bytes, and segment names
@@ -85,25 +84,22 @@ def step_times(
     entity, count = ["user_id", *by], len(steps)
     rows = step_events(apply_filters(events, filters), steps, by)
     if heavy is None:
-        heavy = heavy_keys(rows, entity, rows_per_task)
+        heavy = heavy_keys(rows, rows_per_task=rows_per_task)
     many = heavy.count()
     light = rows
     if many:
         slices = F.col("slices") if "slices" in heavy.columns else F.lit(DEFAULT_SLICES)
-        known = heavy.select(*[F.col(c).alias(f"_{c}") for c in entity], slices.alias("_slices"))
+        heavy = heavy.select("user_id", slices.alias("slices"))
+        known = heavy.select(F.col("user_id").alias("_user_id"))
         known = F.broadcast(known) if many <= MAX_BROADCAST else known
-        light = rows.join(known, same_keys(entity), "left_anti")
+        light = rows.join(known, F.col("user_id") == F.col("_user_id"), "left_anti")
     # Spelled out, so that only the columns of ``rows`` cross the exchange: the arguments of
-    # the windows are then made behind it. By the whole key: a user who is heavy only over
-    # many segments taken together is spread over as many tasks.
+    # the windows are then made behind it.
     placed = light if colocated else light.repartition(*entity)
     times = _times_by_window(placed, entity, count, within_seconds)
     if many:
-        slice_of = F.pmod(F.xxhash64("event_ts"), F.col("_slices"))
-        spread = rows.join(known, same_keys(entity)).repartition(*entity, slice_of)
-        times = times.unionByName(
-            _times_by_rounds(spread.select(rows.columns), entity, count, within_seconds, many)
-        )
+        sliced = times_by_slices(rows, entity, count, heavy, _fired(count))
+        times = times.unionByName(_within(sliced, count, within_seconds))
     limit = {} if within_seconds is None else {"within_seconds": within_seconds}
     return times.select(
         *by,
@@ -124,9 +120,9 @@ def check_reach(times: DataFrame, farthest: int | None) -> None:
         )
 
 
-def _time_of(step: int, after: str | None = None, limit: str = "") -> Column:
+def _time_of(step: int, after: str | None = None) -> Column:
     """Aggregate: the first event of ``step``, strictly after the time in column ``after``."""
-    later = f" AND event_ts > {after}{limit}" if after else ""
+    later = f" AND event_ts > {after}" if after else ""
     return F.expr(f"min(CASE WHEN step = {step}{later} THEN event_ts END)")
 
 
@@ -175,30 +171,13 @@ def _times_by_window(
     return rows.groupBy(*entity).agg(*[F.max(name).alias(name) for name in kept])
 
 
-def _times_by_rounds(
-    rows: DataFrame, entity: list[str], count: int, within_seconds: int | None, many: int
-) -> DataFrame:
-    """``rows`` are spread over slices of a user; every round reads the same exchange, and its
-    minima are combined inside each slice before one row per user and slice is shuffled.
-
-    The state has one row for each of ``many`` users, and is broadcast while they are few.
-    """
-    limit = ""
-    if within_seconds is not None:
-        limit = f" AND event_ts <= _t0 + make_dt_interval(0, 0, 0, {within_seconds})"
-    state = rows.groupBy(*entity).agg(
-        _time_of(0).alias("t0"),
-        *[aggregate.alias(name) for name, aggregate in _fired(count).items()],
-    )
-    for i in range(1, count):
-        known = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
-        state = (
-            rows.join(F.broadcast(known) if many <= MAX_BROADCAST else known, same_keys(entity))
-            .groupBy(*known.columns)
-            .agg(_time_of(i, f"_t{i - 1}", limit).alias(f"t{i}"))
-            .select(*[F.col(f"_{c}").alias(c) for c in state.columns], f"t{i}")
-        )
-    return state
+def _within(times: DataFrame, count: int, within_seconds: int | None) -> DataFrame:
+    """Forget times later than ``within_seconds`` after entry."""
+    if within_seconds is None:
+        return times
+    limit = f"t0 + make_dt_interval(0, 0, 0, {within_seconds})"
+    late = {f"t{i}": F.expr(f"CASE WHEN t{i} <= {limit} THEN t{i} END") for i in range(1, count)}
+    return times.withColumns(late)
 
 
 def same_keys(keys: Sequence[str]) -> Column:
@@ -259,14 +238,10 @@ def step_counts(
     if medians:
         # Equal durations are combined first: at most one row per (step, second).
         per_second = per_user.groupBy(*keys, "seconds").agg(*tally)
-        per_step = (
-            mark_median(per_second, keys, "seconds", "users")
-            .groupBy(*keys)
-            .agg(
-                *[F.expr(f"sum({n}) AS {n}") for n in counted],
-                F.expr("avg(at_median) / 3600D AS median"),
-            )
-        )
+        farthest = farthest_seconds(count, window_hours, window_from)
+        per_step = with_medians(
+            per_second, keys, "seconds", "users", counted, below=farthest
+        ).withColumn("median", F.expr("median / 3600D"))
     else:
         per_step = per_user.groupBy(*keys).agg(*tally, F.lit(None).cast("double").alias("median"))
     return per_step.groupBy(*by).agg(

@@ -77,17 +77,44 @@ def test_filters_reach_the_scan(spark):
     assert "EqualTo(o_orderpriority,1-URGENT)" in plan
 
 
-@pytest.mark.parametrize("count", [2, 4])
-def test_heavy_users_are_scanned_once(spark, clicks, count):
-    heavy = spark.createDataFrame([(1,), (2,)], "user_id long")
+def heavy_plan(spark, clicks, steps) -> str:
+    heavy = spark.createDataFrame([(1, 3), (2, 5)], "user_id long, slices long")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = plan_of(sw.step_times(clicks, STEPS[:count], heavy=heavy))
+        return plan_of(sw.step_times(clicks, steps, heavy=heavy))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("FileScan") == 2  # light users, heavy users
-    assert plan.count("ReusedExchange") >= count - 1
-    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_heavy_users_cost_the_same_rounds_for_any_number_of_steps(spark, clicks):
+    shapes = set()
+    for steps in (STEPS[:2], STEPS, [*STEPS, "error", "x", "y", "z"]):
+        plan = heavy_plan(spark, clicks, steps)
+        assert plan.count("FileScan") == 2  # light users, heavy users
+        assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+        shapes.add((plan.count("Exchange hashpartitioning"), plan.count("BroadcastExchange")))
+    assert len(shapes) == 1
+
+
+def test_finding_heavy_users_is_one_job_of_bounded_shuffle(spark, clicks):
+    from stepwell.operators.funnel import step_events
+    from stepwell.plans import skew
+
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    skew.heavy_keys(step_events(clicks, STEPS))
+    assert len(set(tracker.getJobIdsForGroup(None)) - before) <= 2  # adaptive execution: shuffle, result
+    found = step_events(clicks, STEPS).groupBy("user_id").count().filter("count > 60").collect()
+    got = skew.heavy_keys(step_events(clicks, STEPS), rows_per_task=60).collect()
+    assert {(r.user_id, -(-r["count"] // 60)) for r in found} == {(r.user_id, r.slices) for r in got}
+
+
+def test_medians_of_wide_windows_need_no_window_per_step(clicks):
+    narrow = plan_of(sw.funnel(clicks, STEPS, window_hours=72))
+    wide = plan_of(sw.funnel(clicks, STEPS, window_hours=24 * 365))
+    by_step = re.compile(r"windowspecdefinition\(step")
+    assert by_step.search(narrow) and not by_step.search(wide)
+    assert wide.count("FileScan") <= 2  # one, once adaptive execution has reused the exchange
 
 
 def test_a_cube_repeats_events_behind_their_exchange(clicks):
