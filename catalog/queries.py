@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import stepwell as sw
-from stepwell.operators.funnel import step_times
+from stepwell.operators.funnel import ACCURACY, step_facts, step_times
 from stepwell.sources.adapters import (
     clickstream_events,
     fulfilment_events,
@@ -23,6 +23,7 @@ CLICK_STEPS = ["signup", "view", "click", "purchase"]
 ORDER_STEPS = ["O", "F", "P"]
 SHIP_STEPS = ["order", "ship", "return"]
 YEAR_HOURS = 24 * 365
+EIGHT_STEPS = [f"{name}_{place}" for name in CLICK_STEPS for place in ("ios", "web")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,11 @@ def _funnels() -> dict[str, Query]:
         "funnel_some_heavy_users": _on(  # about half the users have more rows than this
             _clicks(), sw.funnel, CLICK_STEPS, window_hours=72, rows_per_task=53
         ),
+        "funnel_heavy_eight_steps": _on(
+            _named_clicks, sw.funnel, EIGHT_STEPS, window_hours=240, rows_per_task=0
+        ),
+        "funnel_quantiles": _on(_clicks(), _quantiles_within, [], 72),
+        "funnel_quantiles_rolled_up": _on(_clicks(), _quantiles_within, ["platform"], 240),
         "funnel_filtered": _on(
             _clicks(channel=True), sw.funnel, CLICK_STEPS, window_hours=72, filters=some
         ),
@@ -133,6 +139,34 @@ def _funnels() -> dict[str, Query]:
     }
 
 
+def _named_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """Events named by what happened and where, which makes 15 names."""
+    events = clickstream_events(spark, sf)
+    return events.withColumn("event_name", F.concat_ws("_", "event_name", "platform"))
+
+
+def _quantiles_within(events: DataFrame, by: list[str], hours: int) -> DataFrame:
+    """Quantiles from sketches (made per ``by``, then merged) and whether each lies within the
+    sketches' rank error of the exact durations."""
+    times = step_times(events, CLICK_STEPS, by=by)
+    sketches = sw.duration_sketches(times, CLICK_STEPS, window_hours=hours, by=by)
+    merged = sw.merge_durations(sketches)
+    found = sw.duration_quantiles(merged, CLICK_STEPS, [0.1, 0.5, 0.9])
+    exact = step_facts(times, len(CLICK_STEPS), hours, "entry").filter("in_time")
+    seconds = F.round(F.col("hours") * 3600).cast("long")
+    ranked = found.join(exact, F.col("step") == F.col("step_index")).groupBy(
+        "step_index", "step_name", "users", "probability"
+    ).agg(
+        F.avg((F.col("seconds") < seconds).cast("double")).alias("below"),
+        F.avg((F.col("seconds") <= seconds).cast("double")).alias("upto"),
+    )
+    error = 4 / ACCURACY
+    within = (F.col("below") - error <= F.col("probability")) & (
+        F.col("probability") <= F.col("upto") + error
+    )
+    return ranked.select("step_index", "step_name", "users", "probability", within.alias("within"))
+
+
 def _by_user_channel(spark: SparkSession, sf: str) -> DataFrame:
     """The channel belongs to the user, so it joins one row per user and not every event."""
     times = step_times(clickstream_events(spark, sf), CLICK_STEPS)

@@ -1,6 +1,12 @@
 """Cohort retention and conversion funnels on Spark DataFrames."""
 
 from .operators.cubes import funnel_cube, retention_cube, with_levels, write_cube
+from .operators.durations import (
+    duration_quantiles,
+    duration_sketches,
+    funnel_quantiles,
+    merge_durations,
+)
 from .operators.filters import apply_filters, distinct_values
 from .operators.first_events import (
     add_first_events,
@@ -47,6 +53,8 @@ __all__ = [
     "compare",
     "did_without",
     "distinct_values",
+    "duration_quantiles",
+    "duration_sketches",
     "event_histogram",
     "event_quality",
     "events_from_rows",
@@ -55,9 +63,11 @@ __all__ = [
     "funnel",
     "funnel_cube",
     "funnel_from_times",
+    "funnel_quantiles",
     "get_spark",
     "kpi_row",
     "late_activators",
+    "merge_durations",
     "mix_shift",
     "naive_funnel",
     "open_event_table",

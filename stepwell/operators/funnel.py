@@ -26,10 +26,12 @@ from ..plans.chains import MAX_BROADCAST, times_by_slices
 from ..plans.medians import with_medians
 from ..plans.skew import ROWS_PER_TASK, heavy_keys
 from .filters import Filters, apply_filters
-from .validation import check_steps, check_window
+from .validation import check_choice, check_steps, check_window
 
 #: Fixed value: the window if none is given.
 DEFAULT_WINDOW_HOURS = 24 * 7
+#: Size parameter of duration sketches: rank error about 2 / ACCURACY.
+ACCURACY = 1024
 #: Tasks per heavy user where the caller names heavy users without their ``slices``.
 DEFAULT_SLICES = 64
 
@@ -204,6 +206,28 @@ def reached(count: int, window_hours: float, window_from: str) -> list[str]:
     return ["t0 IS NOT NULL", *[" AND ".join(gaps[:i]) for i in range(1, count)]]
 
 
+def step_facts(
+    times: DataFrame, count: int, window_hours: float, window_from: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (user, step) of a ``step_times`` table: ``by``..., step, in_time (reached in
+    order and in time), ever, in_order, seconds (from entry, NULL unless in time)."""
+    in_time = reached(count, window_hours, window_from)
+    facts = ", ".join(
+        f"named_struct('step', {i}, 'in_time', {in_time[i]}, 'ever', ever{i},"
+        f" 'in_order', t{i} IS NOT NULL, 'seconds', {whole_seconds_between('t0', f't{i}')})"
+        for i in range(count)
+    )
+    return (
+        times.select(*by, F.expr(f"explode(array({facts})) AS fact"))
+        .select(*by, "fact.*")
+        .withColumn("seconds", F.expr("CASE WHEN in_time THEN seconds END"))
+    )
+
+
+#: How a median is found.
+MEDIANS = ("exact", "sketch", "none")
+
+
 def step_counts(
     times: DataFrame,
     count: int,
@@ -211,37 +235,33 @@ def step_counts(
     window_hours: float,
     window_from: str,
     by: Sequence[str] = (),
-    medians: bool = True,
+    median: str = "exact",
 ) -> DataFrame:
     """One row per segment; ``by_step`` maps a step number to its counts.
 
     users: reached in order and in time; naive: ever fired; ordered: reached in order at any
-    time; median: hours from entry (NULL without ``medians``, or when nobody got there).
+    time; median: hours from entry (NULL with ``median="none"``, or when nobody got there).
+    ``"sketch"`` takes it from a sketch of the durations: nothing is ordered or counted per second.
     """
     keys = [*by, "step"]
-    in_time = reached(count, window_hours, window_from)
-    facts = ", ".join(
-        f"named_struct('step', {i}, 'in_time', {in_time[i]}, 'ever', ever{i},"
-        f" 'in_order', t{i} IS NOT NULL, 'seconds', {whole_seconds_between('t0', f't{i}')})"
-        for i in range(count)
-    )
-    per_user = (
-        times.select(*by, F.expr(f"explode(array({facts})) AS fact"))
-        .select(*by, "fact.*")
-        .withColumn("seconds", F.expr("CASE WHEN in_time THEN seconds END"))
-    )
+    per_user = step_facts(times, count, window_hours, window_from, by)
     counted = ["users", "naive", "ordered"]
     tally = [
         F.expr(f"count_if({flag}) AS {name}")
         for flag, name in zip(("in_time", "ever", "in_order"), counted, strict=True)
     ]
-    if medians:
+    if median == "exact":
         # Equal durations are combined first: at most one row per (step, second).
         per_second = per_user.groupBy(*keys, "seconds").agg(*tally)
         farthest = farthest_seconds(count, window_hours, window_from)
         per_step = with_medians(
             per_second, keys, "seconds", "users", counted, below=farthest
         ).withColumn("median", F.expr("median / 3600D"))
+    elif median == "sketch":
+        sketch = F.expr(f"kll_sketch_agg_bigint(seconds, {ACCURACY}) AS sketch")
+        middle = "CASE WHEN users > 0 THEN kll_sketch_get_quantile_bigint(sketch, 0.5D) / 3600D END"
+        sketched = per_user.groupBy(*keys).agg(*tally, sketch)
+        per_step = sketched.select(*keys, *counted, F.expr(f"{middle} AS median"))
     else:
         per_step = per_user.groupBy(*keys).agg(*tally, F.lit(None).cast("double").alias("median"))
     return per_step.groupBy(*by).agg(
@@ -315,6 +335,7 @@ def funnel(
     window_from: str = "entry",
     filters: Filters = None,
     by: Sequence[str] = (),
+    median: str = "exact",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Step-ordered, time-windowed funnel, one row per (segment, step).
@@ -322,10 +343,12 @@ def funnel(
     Columns: ``by``..., step_index, step_name, users, median_hours, step_conversion,
     overall_conversion, dropped. Each step must come strictly after the one before and at
     most ``window_hours`` after the first step (``window_from="entry"``) or the step before
-    (``"previous"``).
+    (``"previous"``). ``median="sketch"`` gives an approximate ``median_hours`` (see
+    ``operators.durations``), ``"none"`` leaves it NULL.
     """
     check_steps(steps)
     check_window(window_hours, window_from)
+    check_choice("median", median, MEDIANS)
     times = step_times(
         events,
         steps,
@@ -340,6 +363,7 @@ def funnel(
         window_hours=window_hours,
         window_from=window_from,
         by=by,
+        median=median,
         segments=apply_filters(events, filters),
     )
 
@@ -351,6 +375,7 @@ def funnel_from_times(
     window_hours: float = DEFAULT_WINDOW_HOURS,
     window_from: str = "entry",
     by: Sequence[str] = (),
+    median: str = "exact",
     segments: DataFrame | None = None,
 ) -> DataFrame:
     """:func:`funnel` from a ``step_times`` table.
@@ -362,13 +387,14 @@ def funnel_from_times(
     check_steps(steps)
     check_window(window_hours, window_from)
     check_reach(times, farthest_seconds(len(steps), window_hours, window_from))
+    check_choice("median", median, MEDIANS)
     counts = step_counts(
-        times, len(steps), window_hours=window_hours, window_from=window_from, by=by
+        times, len(steps), window_hours=window_hours, window_from=window_from, by=by, median=median
     )
-    median = "CASE WHEN step_index = 0 THEN 0D ELSE median END"
+    median_hours = "CASE WHEN step_index = 0 THEN 0D ELSE median END"
     return (
         each_step(with_all_segments(counts, segments, by), steps, by)
-        .select(*_funnel_columns(by, "users", median))
+        .select(*_funnel_columns(by, "users", median_hours))
         .orderBy(*by, "step_index")
     )
 
@@ -425,7 +451,7 @@ def _both_counts(
             rows_per_task=rows_per_task,
         )
     counts = step_counts(
-        times, count, window_hours=window_hours, window_from=window_from, by=by, medians=False
+        times, count, window_hours=window_hours, window_from=window_from, by=by, median="none"
     )
     return each_step(with_all_segments(counts, apply_filters(events, filters), by), steps, by)
 

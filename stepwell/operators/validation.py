@@ -35,3 +35,8 @@ def check_retention(period: str, max_periods: int) -> None:
     check_choice("period", period, PERIODS)
     if max_periods < 0:
         raise ValueError(f"max_periods must be >= 0, got {max_periods!r}")
+
+
+def check_probabilities(probabilities: Sequence[float]) -> None:
+    if not probabilities or not all(0 <= p <= 1 for p in probabilities):
+        raise ValueError(f"probabilities must lie between 0 and 1, got {list(probabilities)!r}")
