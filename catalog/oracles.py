@@ -392,6 +392,7 @@ SELECT step_index, step_name, users, round_even(median_hours, 2) AS median_hours
 FROM ({entry}) f""",
         "funnel_cube": funnel(_cube_of(CLICKS), CLICK_STEPS, 168, by=CUBE),
         "naive_funnel": naive(CLICKS, CLICK_STEPS),
+        "naive_funnel_cube": naive(_cube_of(CLICKS), CLICK_STEPS, by=CUBE),
         "naive_funnel_by_priority": naive(ORDERS, ["P", "O", "F"], by=["platform"]),
         "funnel_compare_72h": compare(CLICKS, CLICK_STEPS, 72),
         "orders_compare": compare(ORDERS, ORDER_STEPS, year, "previous"),
@@ -450,6 +451,7 @@ GROUP BY 1""",
         "retention_consecutive": _long(*WEEK, consecutive=True),
         "retention_consecutive_month": _long(*MONTH, consecutive=True),
         "retention_ci": _confidence(),
+        "cohort_cube_stored": _long(_cube_of(CLICKS), "week", "signup", "purchase", 4, by=CUBE),
         "cohort_cube": _long(_cube_of(CLICKS), "week", "signup", "purchase", 4, by=CUBE),
         "fulfilment_retention": _long(FULFILMENT, "month", "order", "return", 24),
         "distinct_channels": f"SELECT channel FROM ({CLICKS}) e GROUP BY channel",

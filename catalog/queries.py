@@ -110,6 +110,7 @@ def _funnels() -> dict[str, Query]:
             window_hours=168,
         ),
         "naive_funnel": _on(_clicks(), sw.naive_funnel, CLICK_STEPS),
+        "naive_funnel_cube": _naive_cube,
         "naive_funnel_by_priority": _on(
             _orders(), sw.naive_funnel, ["P", "O", "F"], by=["platform"]
         ),
@@ -167,6 +168,17 @@ def _quantiles_within(events: DataFrame, by: list[str], hours: int) -> DataFrame
     return ranked.select("step_index", "step_name", "users", "probability", within.alias("within"))
 
 
+def _stored_sets(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "user-sets")
+    events = clickstream_events(spark, sf, channel=True)
+    sw.user_sets(events, ["channel", "platform"], "week").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _naive_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return sw.naive_funnel_cube(_stored_sets(spark, sf), CLICK_STEPS, ["channel", "platform"])
+
+
 def _by_user_channel(spark: SparkSession, sf: str) -> DataFrame:
     """The channel belongs to the user, so it joins one row per user and not every event."""
     times = step_times(clickstream_events(spark, sf), CLICK_STEPS)
@@ -235,6 +247,11 @@ def _retention() -> dict[str, Query]:
     def shift(spark: SparkSession, sf: str) -> DataFrame:
         return sw.mix_shift(by_channel(spark, sf), "channel", in_1996(), period_index=1)
 
+    def stored_cube(spark: SparkSession, sf: str) -> DataFrame:
+        """The cube from stored sets of users instead of events."""
+        sets = _stored_sets(spark, sf)
+        return sw.cohort_cube(sets, ["channel", "platform"], activity_event="purchase", max_periods=4)
+
     return {
         "retention_week": week,
         "retention_month": month,
@@ -277,6 +294,7 @@ def _retention() -> dict[str, Query]:
             activity_event="purchase",
             max_periods=4,
         ),
+        "cohort_cube_stored": stored_cube,
         "fulfilment_retention": _on(
             _fulfilment(),
             sw.retention,

@@ -32,6 +32,7 @@ from .operators.retention import (
     with_confidence,
 )
 from .operators.segments import cohort_contrast, mix_shift, segment_mix, segment_summary
+from .operators.user_sets import cohort_cube, naive_funnel_cube, number_users, user_sets
 from .session import get_spark
 from .sources.schema import EVENT_SCHEMA, FILTERABLE, events_from_rows, to_events
 from .sources.tables import build_event_table, open_event_table
@@ -48,6 +49,7 @@ __all__ = [
     "blended_curve",
     "build_event_table",
     "cohort_contrast",
+    "cohort_cube",
     "cohort_sizes",
     "compact_first_events",
     "compare",
@@ -70,6 +72,8 @@ __all__ = [
     "merge_durations",
     "mix_shift",
     "naive_funnel",
+    "naive_funnel_cube",
+    "number_users",
     "open_event_table",
     "overcount_reasons",
     "read_first_events",
@@ -80,6 +84,7 @@ __all__ = [
     "step_times",
     "stream_first_events",
     "to_events",
+    "user_sets",
     "with_confidence",
     "with_levels",
     "write_cube",

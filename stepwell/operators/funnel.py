@@ -310,7 +310,7 @@ def each_step(counts: DataFrame, steps: Sequence[str], by: Sequence[str]) -> Dat
     )
 
 
-def _funnel_columns(by: Sequence[str], field: str, median_hours: str) -> list[Column]:
+def funnel_columns(by: Sequence[str], field: str, median_hours: str) -> list[Column]:
     entered, previous = f"of_entry.{field}", f"of_previous.{field}"
     return [
         *[F.col(c) for c in by],
@@ -394,7 +394,7 @@ def funnel_from_times(
     median_hours = "CASE WHEN step_index = 0 THEN 0D ELSE median END"
     return (
         each_step(with_all_segments(counts, segments, by), steps, by)
-        .select(*_funnel_columns(by, "users", median_hours))
+        .select(*funnel_columns(by, "users", median_hours))
         .orderBy(*by, "step_index")
     )
 
@@ -408,10 +408,19 @@ def naive_funnel(
     inside each task, before the only large shuffle.
     """
     check_steps(steps)
-    base = apply_filters(events, filters)
     count = len(steps)
     fired = [aggregate.alias(name) for name, aggregate in _fired(count).items()]
-    users = step_events(base, steps, by).groupBy(*by, "user_id").agg(*fired)
+    # Other events lose their user and fold to one row per segment in each task, so segments
+    # without any step come from the same pass.
+    number = F.array_position(F.lit(list(steps)), F.col("event_name")) - 1
+    counts_as = F.col("event_name").isin(list(steps)) & F.col("user_id").isNotNull()
+    base = apply_filters(events, filters)
+    rows = (base if by else base.filter(counts_as)).select(
+        *by,
+        F.when(counts_as, F.col("user_id")).alias("user_id"),
+        F.when(counts_as, number).cast("int").alias("step"),
+    )
+    users = rows.groupBy(*by, "user_id").agg(*fired)
     totals = (
         users.select(*by, *_ever(count))
         .groupBy(*by)
@@ -423,10 +432,9 @@ def naive_funnel(
         for i in range(count)
     )
     by_step = F.expr(f"map({entries})")
-    counts = with_all_segments(totals.select(*by, by_step.alias("by_step")), base, by)
     return (
-        each_step(counts, steps, by)
-        .select(*_funnel_columns(by, "naive", "CAST(NULL AS DOUBLE)"))
+        each_step(totals.select(*by, by_step.alias("by_step")), steps, by)
+        .select(*funnel_columns(by, "naive", "CAST(NULL AS DOUBLE)"))
         .orderBy(*by, "step_index")
     )
 

@@ -83,6 +83,15 @@ def retention(
         returns,
     )
 
+    return retention_of_cells(cells, by, period, max_periods, horizon)
+
+
+def retention_of_cells(
+    cells: DataFrame, by: Sequence[str], period: str, max_periods: int, horizon: str
+) -> DataFrame:
+    """The result of :func:`retention` from counted cells: ``by``..., cohort, period, starters
+    and active, one row for each. Cells with a NULL cohort count for the horizon only."""
+    by = list(by)
     k = periods_between(F.col("cohort"), F.col("period"), period)
     in_spine = k.between(0, max_periods)
     per_cohort = cells.groupBy(*by, "cohort").agg(
