@@ -474,6 +474,7 @@ WHERE p.activity_ts > a.anchor_ts + INTERVAL 36 HOUR""",
         "first_events": _first_events(CLICKS),
         "first_events_incremental": _first_events(CLICKS),
         "first_events_compacted": _first_events(ORDERS),
+        "first_events_rewritten": _first_events(ORDERS),
         "first_events_stream": _first_events(CLICKS),
         "naive_from_first_events": naive(ORDERS, ORDER_STEPS),
         "event_table": f"""

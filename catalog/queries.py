@@ -330,6 +330,19 @@ def _tables() -> dict[str, Query]:
         sw.add_first_events(events.filter(~middle), target, 1, "daily")
         return sw.read_first_events(spark, target)
 
+    def rewritten(spark: SparkSession, sf: str) -> DataFrame:
+        """Compacted in place between batches, old versions forgotten, the last batch repeated."""
+        path = scratch_path(spark, "first")
+        events = order_events(spark, sf)
+        early = F.col("event_ts") < datetime(1995, 1, 1)
+        sw.add_first_events(events.filter(~early), path, 0, "load")
+        sw.compact_first_events(spark, path)
+        sw.add_first_events(events.filter(early), path, 1, "load")
+        sw.add_first_events(events.filter(early), path, 1, "load")
+        sw.compact_first_events(spark, path)
+        sw.forget_first_events(spark, path, keep=1)
+        return sw.read_first_events(spark, path)
+
     def streamed(spark: SparkSession, sf: str) -> DataFrame:
         path, checkpoint = scratch_path(spark, "first"), scratch_path(spark, "stream")
         schema = read_table(spark, sf, "events").schema
@@ -376,6 +389,7 @@ def _tables() -> dict[str, Query]:
         "first_events": _on(_clicks(), sw.first_events),
         "first_events_incremental": incremental,
         "first_events_compacted": compacted,
+        "first_events_rewritten": rewritten,
         "first_events_stream": streamed,
         "naive_from_first_events": naive_from_first,
         "event_table": built,

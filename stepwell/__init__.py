@@ -12,6 +12,7 @@ from .operators.first_events import (
     add_first_events,
     compact_first_events,
     first_events,
+    forget_first_events,
     read_first_events,
 )
 from .operators.funnel import (
@@ -61,6 +62,7 @@ __all__ = [
     "event_quality",
     "events_from_rows",
     "first_events",
+    "forget_first_events",
     "for_display",
     "funnel",
     "funnel_cube",

@@ -7,6 +7,7 @@ from conftest import FUNNEL_ROWS, SHOP, at, column, hours
 from pyspark.sql import functions as F
 
 import stepwell as sw
+from stepwell.plans import versions
 from stepwell.sources.tables import scratch_path
 
 
@@ -97,6 +98,62 @@ def test_first_events_survive_late_and_repeated_batches(spark, funnel_events, ta
     assert merged.count() == len(expected)
 
 
+def test_readers_never_see_less_while_a_table_is_rewritten(spark, funnel_events, table, tmp_path, monkeypatch):
+    path = str(tmp_path / "first")
+    half = F.col("event_ts") < datetime(2026, 1, 6)
+    sw.add_first_events(funnel_events.filter(half), path, 0, "a")
+    sw.add_first_events(funnel_events.filter(~half), path, 1, "a")
+    whole = sorted(map(tuple, sw.first_events(funnel_events).collect()))
+    state = lambda version=None: sorted(map(tuple, sw.read_first_events(spark, path, version).collect()))
+    pinned, publish, seen = versions.versions(spark, path)[-1], versions.publish, []
+
+    def watched(*args):  # everything is written, nothing is published
+        seen.append(state())
+        return publish(*args)
+
+    monkeypatch.setattr(versions, "publish", watched)
+    sw.add_first_events(funnel_events.filter(~half), path, 1, "a")  # a retry
+    sw.compact_first_events(spark, path)
+    assert seen == [whole, whole] and state() == state(pinned) == whole
+    assert [e["producer"] for e in versions.entries(spark, path)] == ["_base"]
+    sw.add_first_events(table(("zoe", hours(1), "visit")), path, 2, "a")
+    assert len(state()) == len(whole) + 1
+    assert sw.forget_first_events(spark, path, keep=1) == 3
+    assert len(state()) == len(whole) + 1
+    with pytest.raises(FileNotFoundError, match="No version"):
+        state(pinned)
+    with pytest.raises(FileNotFoundError, match="Add a batch"):
+        sw.read_first_events(spark, str(tmp_path / "nowhere"))
+
+
+def test_two_writers_of_one_version(spark, table, tmp_path):
+    path = str(tmp_path / "first")
+    sw.add_first_events(table(("u", hours(0), "a")), path, 0, "x")
+
+    def slow(now):
+        if len(now) == 1:  # another writer is faster, once
+            sw.add_first_events(table(("v", hours(0), "a")), path, 0, "y")
+        return [*now, {"producer": "z", "batch": "0", "folder": now[0]["folder"]}]
+
+    assert versions.publish(spark, path, slow) == 2
+    assert [e["producer"] for e in versions.entries(spark, path)] == ["x", "y", "z"]
+    assert sw.read_first_events(spark, path).count() == 2
+
+
+def test_a_batch_added_during_compaction_stays(spark, table, tmp_path, monkeypatch):
+    path, publish = str(tmp_path / "first"), versions.publish
+    sw.add_first_events(table(("u", hours(0), "a")), path, 0, "x")
+
+    def late(spark, where, change):
+        monkeypatch.setattr(versions, "publish", publish)
+        sw.add_first_events(table(("v", hours(0), "a")), path, 1, "x")
+        return publish(spark, where, change)
+
+    monkeypatch.setattr(versions, "publish", late)
+    sw.compact_first_events(spark, path)
+    assert sw.read_first_events(spark, path).count() == 2
+
+
 def test_first_events_serve_naive_but_not_ordered_funnels(table):
     events = table(
         ("u", hours(5), "c"), ("u", hours(6), "a"), ("u", hours(10), "b"), ("u", hours(12), "c")
@@ -122,7 +179,8 @@ def test_streamed_first_events_equal_the_batch_result(spark, funnel_events, tmp_
     assert sorted(map(tuple, got.collect())) == sorted(
         map(tuple, sw.first_events(funnel_events).collect())
     )
-    assert len(list((tmp_path / "first").glob("producer=*/batch=*"))) == 3
+    assert [v for v in versions.versions(spark, path)] == [0, 1, 2]
+    assert len({e["producer"] for e in versions.entries(spark, path)}) == 2
 
 
 def test_cube_is_stored_by_level(spark, funnel_events, tmp_path):
