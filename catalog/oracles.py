@@ -481,5 +481,11 @@ WHERE p.activity_ts > a.anchor_ts + INTERVAL 36 HOUR""",
 SELECT platform, count(*) AS events, min(event_ts) AS first_ts, max(event_ts) AS last_ts,
        (SELECT count(*) FROM events) AS table_rows
 FROM ({CLICKS}) e GROUP BY platform""",
+        "event_table_late_load": """
+SELECT strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS events FROM events GROUP BY ALL""",
+        "event_table_load_checks": f"""
+SELECT "check", checked, violations FROM ({_quality()}) q
+WHERE "check" NOT IN ('anchor_comes_first', 'exactly_one_anchor')""",
+        "funnel_bucketed": entry,
         "reporting_window_funnel": funnel(CLICKS, CLICK_STEPS, 48, where=week_in_january),
     }

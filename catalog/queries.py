@@ -366,6 +366,33 @@ def _tables() -> dict[str, Query]:
             F.lit(rows).cast("long").alias("table_rows"),
         )
 
+    def late(spark: SparkSession, sf: str) -> DataFrame:
+        """Every tenth event comes late, and that batch twice."""
+        path = scratch_path(spark, "events")
+        events = clickstream_events(spark, sf)
+        is_late = F.pmod(F.crc32(F.col("user_id").cast("string")), F.lit(10)) == 0
+        sw.build_event_table(events.filter(~is_late), path)
+        for _ in range(2):
+            sw.add_events(events.filter(is_late), path, "late")
+        rows = F.count(F.lit(1)).alias("events")
+        table = sw.open_event_table(spark, path)
+        day = F.date_format("event_ts", "yyyy-MM-dd")
+        return table.groupBy(day.alias("event_date")).agg(rows)
+
+    def load_checks(spark: SparkSession, sf: str) -> DataFrame:
+        """The row checks of ``event_quality``, counted while the table is written."""
+        path = scratch_path(spark, "events")
+        events = clickstream_events(spark, sf)
+        load = sw.load_event_table(events, path, vocabulary=vocabulary, horizon=horizon)
+        rows = [(check, load.rows, n) for check, n in load.violations.items()]
+        return spark.createDataFrame(rows, "check string, checked long, violations long")
+
+    def bucketed(spark: SparkSession, sf: str) -> DataFrame:
+        path = scratch_path(spark, "bucketed")
+        name = "events_" + path.rsplit("/", 1)[-1].replace("-", "_")
+        sw.build_bucketed_table(clickstream_events(spark, sf), name, path, 8)
+        return sw.funnel(sw.open_bucketed_table(spark, name), CLICK_STEPS, window_hours=72)
+
     def reporting_window(spark: SparkSession, sf: str) -> DataFrame:
         path = scratch_path(spark, "events")
         sw.build_event_table(clickstream_events(spark, sf), path)
@@ -393,6 +420,9 @@ def _tables() -> dict[str, Query]:
         "first_events_stream": streamed,
         "naive_from_first_events": naive_from_first,
         "event_table": built,
+        "event_table_late_load": late,
+        "event_table_load_checks": load_checks,
+        "funnel_bucketed": bucketed,
         "reporting_window_funnel": reporting_window,
     }
 

@@ -36,7 +36,15 @@ from .operators.segments import cohort_contrast, mix_shift, segment_mix, segment
 from .operators.user_sets import cohort_cube, naive_funnel_cube, number_users, user_sets
 from .session import get_spark
 from .sources.schema import EVENT_SCHEMA, FILTERABLE, events_from_rows, to_events
-from .sources.tables import build_event_table, open_event_table
+from .plans.scratch import clear_scratch
+from .sources.tables import (
+    add_events,
+    build_bucketed_table,
+    build_event_table,
+    load_event_table,
+    open_bucketed_table,
+    open_event_table,
+)
 from .streaming.first_events import stream_first_events
 
 __version__ = "0.1.0"
@@ -44,11 +52,14 @@ __version__ = "0.1.0"
 __all__ = [
     "EVENT_SCHEMA",
     "FILTERABLE",
+    "add_events",
     "add_first_events",
     "apply_filters",
     "as_matrix",
     "blended_curve",
+    "build_bucketed_table",
     "build_event_table",
+    "clear_scratch",
     "cohort_contrast",
     "cohort_cube",
     "cohort_sizes",
@@ -71,11 +82,13 @@ __all__ = [
     "get_spark",
     "kpi_row",
     "late_activators",
+    "load_event_table",
     "merge_durations",
     "mix_shift",
     "naive_funnel",
     "naive_funnel_cube",
     "number_users",
+    "open_bucketed_table",
     "open_event_table",
     "overcount_reasons",
     "read_first_events",

@@ -25,6 +25,7 @@ from ..functions.time import whole_seconds_between
 from ..plans.chains import MAX_BROADCAST, times_by_slices
 from ..plans.medians import with_medians
 from ..plans.skew import ROWS_PER_TASK, heavy_keys
+from ..sources.tables import is_colocated
 from .filters import Filters, apply_filters
 from .validation import check_choice, check_steps, check_window
 
@@ -65,7 +66,7 @@ def step_times(
     filters: Filters = None,
     by: Sequence[str] = (),
     within_seconds: int | None = None,
-    colocated: bool = False,
+    colocated: bool | None = None,
     heavy: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
@@ -76,14 +77,15 @@ def step_times(
     evaluate many windows. ``within_seconds`` leaves out events later than that after entry,
     which drops most of them early when windows are short; the table remembers the limit, and
     a wider window asked of it later is an error. Set
-    ``colocated`` when ``events`` is already partitioned by ``user_id`` (a bucketed table, the
-    result of a join on the user): then no event moves at all. ``heavy`` takes a table found
+    ``colocated`` when ``events`` is already partitioned by ``user_id`` (the result of a join on the
+    user; tables of ``open_bucketed_table`` tell by themselves): then no event moves at all. ``heavy`` takes a table found
     earlier by ``plans.skew.heavy_keys``; else a job sketches the most frequent users first.
     """
     check_steps(steps)
     # The user first: rows are sorted by the first key's leading bytes, and segment names
     # would leave nearly all of them tied.
     entity, count = ["user_id", *by], len(steps)
+    colocated = is_colocated(events) if colocated is None else colocated
     rows = step_events(apply_filters(events, filters), steps, by)
     if heavy is None:
         heavy = heavy_keys(rows, rows_per_task=rows_per_task)

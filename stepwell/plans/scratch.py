@@ -43,3 +43,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None):
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete every intermediate table of this application. Results not yet written or collected
+    may still read them, so call it between jobs or at the end."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{spark.sparkContext.applicationId}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(place, True)

@@ -7,7 +7,8 @@ from conftest import FUNNEL_ROWS, SHOP, at, column, hours
 from pyspark.sql import functions as F
 
 import stepwell as sw
-from stepwell.plans import versions
+from stepwell.operators.funnel import step_times
+from stepwell.plans import scratch, versions
 from stepwell.sources.tables import scratch_path
 
 
@@ -198,7 +199,74 @@ def test_scratch_folder_is_the_one_the_cluster_names(spark):
     class Cluster:
         conf = {"spark.checkpoint.dir": "hdfs://shared/checkpoints"}
 
-    assert scratch_path(Cluster, "x").startswith("hdfs://shared/checkpoints/stepwell-x-")
+        class sparkContext:  # noqa: N801
+            applicationId = "app-1"  # noqa: N815
+
+    assert scratch_path(Cluster, "x").startswith("hdfs://shared/checkpoints/app-1/")
+
+
+def test_scratch_tables_are_deleted_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_root", lambda spark: str(tmp_path))
+    kept = scratch.materialize(spark.range(3))
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert sw.clear_scratch(spark) and list(tmp_path.iterdir()) == []
+    assert not sw.clear_scratch(spark)
+
+
+def files_by_date(path):
+    return {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_late_events_touch_their_dates_only(spark, funnel_events, table, tmp_path):
+    path = tmp_path / "events"
+    built = sw.load_event_table(funnel_events, str(path))
+    before = files_by_date(path)
+    late = table(("zoe", at("05 10:00"), "visit"), ("zoe", at("06 11:00"), "basket"), ("new", at("30 00:00"), "visit"))
+    for _ in range(2):  # the batch comes twice
+        assert sw.add_events(late, str(path), "late-1").rows == 3
+        now = sw.open_event_table(spark, str(path))
+        assert now.count() == built.rows + 3
+        assert sorted(map(tuple, now.collect())) == sorted(map(tuple, funnel_events.union(late).collect()))
+    after = files_by_date(path)
+    assert {f: after[f] for f in before} == before
+    changed = {f.parent.parent.name for f in after if f not in before}
+    assert changed == {"event_date=2026-01-05", "event_date=2026-01-06", "event_date=2026-01-30"}
+    # a corrected batch replaces the rows of its dates
+    sw.add_events(late.filter("event_name = 'basket'").withColumn("user_id", F.lit("yan")), str(path), "late-1")
+    users = sw.open_event_table(spark, str(path)).filter("event_name = 'basket'").select("user_id").collect()
+    assert ("yan",) in users and ("zoe",) not in users
+    for wrong in ("base", "a/b", ""):
+        with pytest.raises(ValueError, match="Not a name of a load"):
+            sw.add_events(late, str(path), wrong)
+
+
+def test_checks_are_counted_while_loading(spark, table, tmp_path):
+    events = table(
+        ("a", hours(0), "signup"), ("a", hours(1), "lesson_start"), ("b", hours(900), "banner")
+    ).withColumn("platform", F.when(F.col("user_id") == "b", F.col("platform")))
+    vocabulary, horizon = ["signup", "lesson_start"], datetime(2026, 2, 1)
+    load = sw.load_event_table(events, str(tmp_path / "t"), vocabulary=vocabulary, horizon=horizon)
+    expected = {r.check: r.violations for r in sw.event_quality(events, vocabulary, horizon, "signup").collect()}
+    assert load.rows == 3 and load.violations == {c: expected[c] for c in load.violations}
+    assert (load.violations["platform_not_null"], load.violations["known_event_name"]) == (2, 1)
+    assert set(expected) - set(load.violations) == {"anchor_comes_first", "exactly_one_anchor"}
+
+
+def test_bucketed_events_do_not_move(spark, funnel_events, tmp_path):
+    sw.build_bucketed_table(funnel_events, "bucketed_events", str(tmp_path / "b"), 4)
+    try:
+        events = sw.open_bucketed_table(spark, "bucketed_events")
+        plan = step_times(events, SHOP)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("FileScan") == 1
+        filtered = step_times(events, SHOP, filters={"platform": ["web"]})
+        assert "Exchange" not in filtered._jdf.queryExecution().executedPlan().toString()
+        assert sw.funnel(events, SHOP).collect() == sw.funnel(funnel_events, SHOP).collect()
+        with pytest.raises(ValueError, match="not bucketed"):
+            funnel_events.write.saveAsTable("plain_events")
+            sw.open_bucketed_table(spark, "plain_events")
+    finally:
+        spark.sql("DROP TABLE IF EXISTS bucketed_events")
+        spark.sql("DROP TABLE IF EXISTS plain_events")
 
 
 def test_quality(table):
