@@ -392,6 +392,17 @@ SELECT step_index, step_name, users, round_even(median_hours, 2) AS median_hours
 FROM ({entry}) f""",
         "funnel_cube": funnel(_cube_of(CLICKS), CLICK_STEPS, 168, by=CUBE),
         "naive_funnel": naive(CLICKS, CLICK_STEPS),
+        "naive_funnel_by_channel": naive(
+            CLICKS, CLICK_STEPS, by=["channel"], where="platform = 'ios'"
+        ),
+        "orders_compare_by_channel": f"""
+SELECT o.channel, o.platform, o.step_index, o.step_name, o.users AS users_ordered,
+       o.overall_conversion AS overall_conversion_ordered, n.users AS users_naive,
+       n.overall_conversion AS overall_conversion_naive, n.users - o.users AS overcount
+FROM ({funnel(ORDERS, ORDER_STEPS, year, by=["channel", "platform"])}) o
+JOIN ({naive(ORDERS, ORDER_STEPS, by=["channel", "platform"])}) n
+  ON o.channel IS NOT DISTINCT FROM n.channel AND o.platform IS NOT DISTINCT FROM n.platform
+     AND o.step_index = n.step_index""",
         "naive_funnel_cube": naive(_cube_of(CLICKS), CLICK_STEPS, by=CUBE),
         "naive_funnel_by_priority": naive(ORDERS, ["P", "O", "F"], by=["platform"]),
         "funnel_compare_72h": compare(CLICKS, CLICK_STEPS, 72),
@@ -416,6 +427,9 @@ FROM ({entry}) f""",
         "blended_curve": _blended(retention_ctes(*MONTH)),
         "retention_filtered": _long(*MONTH, where="platform = '1-URGENT'"),
         "retention_by_channel": _long(*MONTH, by=["channel"]),
+        "retention_filtered_by_user": _long(
+            CLICKS, "week", "signup", "purchase", 5, where="channel IN ('BUILDING', 'MACHINERY')"
+        ),
         "retention_global_horizon": _long(
             CLICKS, "week", "signup", "click", 3, by=["channel", "platform"], horizon="global"
         ),

@@ -40,6 +40,13 @@ def _fulfilment(channel: bool = False):
     return lambda spark, sf: fulfilment_events(spark, sf, channel=channel)
 
 
+def _by_users(events, operator, *args, **options) -> Query:
+    """The same with the customers' segments as attributes of the users."""
+    return lambda spark, sf: operator(
+        events(spark, sf), *args, users=user_channels(spark, sf), **options
+    )
+
+
 def _on(events, operator, *args, **options) -> Query:
     """The query that applies ``operator`` to an event table."""
     return lambda spark, sf: operator(events(spark, sf), *args, **options)
@@ -84,8 +91,8 @@ def _funnels() -> dict[str, Query]:
         ),
         "funnel_quantiles": _on(_clicks(), _quantiles_within, [], 72),
         "funnel_quantiles_rolled_up": _on(_clicks(), _quantiles_within, ["platform"], 240),
-        "funnel_filtered": _on(
-            _clicks(channel=True), sw.funnel, CLICK_STEPS, window_hours=72, filters=some
+        "funnel_filtered": _by_users(
+            _clicks(), sw.funnel, CLICK_STEPS, window_hours=72, filters=some
         ),
         "funnel_step_filtered_out": _on(
             _clicks(),
@@ -94,8 +101,8 @@ def _funnels() -> dict[str, Query]:
             window_hours=168,
             filters={"event_name": ["signup", "view", "purchase"], "platform": []},
         ),
-        "funnel_by_channel": _on(
-            _clicks(channel=True), sw.funnel, CLICK_STEPS, window_hours=72, by=["channel"]
+        "funnel_by_channel": _by_users(
+            _clicks(), sw.funnel, CLICK_STEPS, window_hours=72, by=["channel"]
         ),
         "funnel_by_platform": _on(
             _clicks(), sw.funnel, CLICK_STEPS, window_hours=168, by=["platform"]
@@ -110,6 +117,12 @@ def _funnels() -> dict[str, Query]:
             window_hours=168,
         ),
         "naive_funnel": _on(_clicks(), sw.naive_funnel, CLICK_STEPS),
+        "naive_funnel_by_channel": _by_users(
+            _clicks(), sw.naive_funnel, CLICK_STEPS, by=["channel"], filters={"platform": ["ios"]}
+        ),
+        "orders_compare_by_channel": _by_users(
+            _orders(), sw.compare, ORDER_STEPS, window_hours=YEAR_HOURS, by=["channel", "platform"]
+        ),
         "naive_funnel_cube": _naive_cube,
         "naive_funnel_by_priority": _on(
             _orders(), sw.naive_funnel, ["P", "O", "F"], by=["platform"]
@@ -127,8 +140,8 @@ def _funnels() -> dict[str, Query]:
             _orders(), sw.funnel, ORDER_STEPS, window_hours=YEAR_HOURS, window_from="previous"
         ),
         "ship_funnel": _on(_fulfilment(), sw.funnel, SHIP_STEPS, window_hours=24 * 60),
-        "ship_funnel_by_channel": _on(
-            _fulfilment(channel=True),
+        "ship_funnel_by_channel": _by_users(
+            _fulfilment(),
             sw.funnel,
             SHIP_STEPS,
             window_hours=24 * 60,
@@ -226,7 +239,7 @@ def _matrix_report(matrix: DataFrame) -> DataFrame:
 
 def _retention() -> dict[str, Query]:
     month, week = _on(_orders(), _month_retention), _on(_clicks(), _week_retention)
-    by_channel = _on(_orders(channel=True), _month_retention, by=["channel"])
+    by_channel = _by_users(_orders(), _month_retention, by=["channel"])
     # columns need a running session, so they are made when the query is
     def in_1996():
         return F.year("cohort_period") == 1996
@@ -263,8 +276,11 @@ def _retention() -> dict[str, Query]:
             _orders(), _month_retention, filters={"platform": ["1-URGENT"]}
         ),
         "retention_by_channel": by_channel,
-        "retention_global_horizon": _on(
-            _clicks(channel=True),
+        "retention_filtered_by_user": _by_users(
+            _clicks(), _week_retention, filters={"channel": ["BUILDING", "MACHINERY"]}
+        ),
+        "retention_global_horizon": _by_users(
+            _clicks(),
             sw.retention,
             signup_event="signup",
             activity_event="click",
@@ -404,7 +420,9 @@ def _tables() -> dict[str, Query]:
     vocabulary = ["signup", "view", "click", "purchase"]
     horizon = datetime(2024, 1, 29)
     return {
-        "distinct_channels": _on(_clicks(channel=True), sw.distinct_values, "channel"),
+        "distinct_channels": lambda spark, sf: sw.distinct_attribute(
+            clickstream_events(spark, sf), "channel", user_channels(spark, sf)
+        ),
         "distinct_platforms": _on(_clicks(), sw.distinct_values, "platform"),
         "distinct_event_names": _on(_fulfilment(), sw.distinct_values, "event_name"),
         "event_quality": _on(_clicks(), sw.event_quality, vocabulary, horizon, "signup"),

@@ -36,6 +36,7 @@ from .operators.segments import cohort_contrast, mix_shift, segment_mix, segment
 from .operators.user_sets import cohort_cube, naive_funnel_cube, number_users, user_sets
 from .session import get_spark
 from .sources.schema import EVENT_SCHEMA, FILTERABLE, events_from_rows, to_events
+from .operators.users import distinct_attribute
 from .plans.scratch import clear_scratch
 from .sources.tables import (
     add_events,
@@ -66,6 +67,7 @@ __all__ = [
     "compact_first_events",
     "compare",
     "did_without",
+    "distinct_attribute",
     "distinct_values",
     "duration_quantiles",
     "duration_sketches",

@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import ROWS_PER_TASK, heavy_keys
 from .filters import apply_filters
 from .funnel import (
     DEFAULT_WINDOW_HOURS,
@@ -58,20 +59,27 @@ def funnel_cube(
     check_window(window_hours, window_from)
     by = ["level", *dimensions]
     base = apply_filters(events, options.pop("filters", None))
-    # by user first, levels after: the exchange carries each event once, not once per level
-    placed = (
-        base.filter(F.col("event_name").isin(list(steps)))
-        .select("user_id", "event_ts", "event_name", *dimensions)
-        .repartition("user_id")
+    rows = base.filter(F.col("event_name").isin(list(steps)) & F.col("user_id").isNotNull()).select(
+        "user_id", "event_ts", "event_name", *dimensions
     )
+    within = farthest_seconds(len(steps), window_hours, window_from)
+    heavy = heavy_keys(rows, rows_per_task=options.pop("rows_per_task", ROWS_PER_TASK))
+    if options:
+        raise TypeError(f"funnel_cube has no {', '.join(options)}")
+    light = rows.join(F.broadcast(heavy), "user_id", "left_anti") if heavy.count() else rows
+    # by user first, levels after: the exchange carries each event once, not once per level
     times = step_times(
-        with_levels(placed, dimensions),
+        with_levels(light.repartition("user_id"), dimensions),
         steps,
         by=by,
-        within_seconds=farthest_seconds(len(steps), window_hours, window_from),
+        within_seconds=within,
         colocated=True,
-        **options,
+        heavy=heavy.limit(0),
     )
+    if heavy.count():
+        hot = rows.join(F.broadcast(heavy.select("user_id")), "user_id", "left_semi")
+        split = {"by": by, "within_seconds": within, "heavy": heavy}
+        times = times.unionByName(step_times(with_levels(hot, dimensions), steps, **split))
     segments = with_levels(base.select(*dimensions).distinct(), dimensions)
     return funnel_from_times(
         times, steps, window_hours=window_hours, window_from=window_from, by=by, segments=segments

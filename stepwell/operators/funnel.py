@@ -15,7 +15,6 @@ are spread over tasks by time instead, once, and the slices' summaries are compo
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +26,7 @@ from ..plans.medians import with_medians
 from ..plans.skew import ROWS_PER_TASK, heavy_keys
 from ..sources.tables import is_colocated
 from .filters import Filters, apply_filters
+from .users import attributes_of, filter_users, with_attributes
 from .validation import check_choice, check_steps, check_window
 
 #: Fixed value: the window if none is given.
@@ -184,13 +184,6 @@ def _within(times: DataFrame, count: int, within_seconds: int | None) -> DataFra
     return times.withColumns(late)
 
 
-def same_keys(keys: Sequence[str]) -> Column:
-    """Join condition ``key <=> _key`` for every key (NULL matches NULL)."""
-    return reduce(
-        lambda left, right: left & right, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    )
-
-
 # ------------------------------------------------------------------------- per segment
 
 
@@ -280,9 +273,10 @@ def with_all_segments(
     """Add the segments of ``base`` that have no step event at all."""
     if not by or base is None:
         return counts
-    segments = base.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
-    return segments.join(counts, same_keys(by), "left").select(
-        *[F.col(f"_{c}").alias(c) for c in by], "by_step"
+    kind = counts.schema["by_step"].dataType
+    segments = base.select(*by).distinct().withColumn("by_step", F.lit(None).cast(kind))
+    return counts.unionByName(segments).groupBy(*by).agg(
+        F.first("by_step", ignorenulls=True).alias("by_step")
     )
 
 
@@ -337,6 +331,7 @@ def funnel(
     window_from: str = "entry",
     filters: Filters = None,
     by: Sequence[str] = (),
+    users: DataFrame | None = None,
     median: str = "exact",
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
@@ -345,19 +340,21 @@ def funnel(
     Columns: ``by``..., step_index, step_name, users, median_hours, step_conversion,
     overall_conversion, dropped. Each step must come strictly after the one before and at
     most ``window_hours`` after the first step (``window_from="entry"``) or the step before
-    (``"previous"``). ``median="sketch"`` gives an approximate ``median_hours`` (see
+    (``"previous"``). ``filters`` and ``by`` may name attributes of ``users`` (see
+    ``operators.users``); all its segments are reported. ``median="sketch"`` gives an approximate ``median_hours`` (see
     ``operators.durations``), ``"none"`` leaves it NULL.
     """
     check_steps(steps)
     check_window(window_hours, window_from)
     check_choice("median", median, MEDIANS)
-    times = step_times(
+    times, segments = segmented_times(
         events,
         steps,
-        filters=filters,
-        by=by,
-        within_seconds=farthest_seconds(len(steps), window_hours, window_from),
-        rows_per_task=rows_per_task,
+        filters,
+        by,
+        users,
+        farthest_seconds(len(steps), window_hours, window_from),
+        rows_per_task,
     )
     return funnel_from_times(
         times,
@@ -366,8 +363,38 @@ def funnel(
         window_from=window_from,
         by=by,
         median=median,
-        segments=apply_filters(events, filters),
+        segments=segments,
+    )
+
+
+def segmented_times(
+    events: DataFrame,
+    steps: Sequence[str],
+    filters: Filters,
+    by: Sequence[str],
+    users: DataFrame | None,
+    within_seconds: int | None,
+    rows_per_task: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``step_times`` by columns of events and attributes of ``users``, and a table whose ``by``
+    columns hold all segments."""
+    attributes = attributes_of(events, by, users)
+    own = [c for c in by if c not in attributes]
+    base, users, joined = filter_users(events, filters, users)
+    times = step_times(
+        base,
+        steps,
+        by=own,
+        within_seconds=within_seconds,
+        colocated=True if joined else None,
+        rows_per_task=rows_per_task,
     )
+    if not attributes:
+        return times, base
+    segments = users
+    if own:
+        segments = with_attributes(base.select("user_id", *own).distinct(), users, attributes)
+    return with_attributes(times, users, attributes), segments
 
 
 def funnel_from_times(
@@ -402,7 +429,12 @@ def funnel_from_times(
 
 
 def naive_funnel(
-    events: DataFrame, steps: Sequence[str], *, filters: Filters = None, by: Sequence[str] = ()
+    events: DataFrame,
+    steps: Sequence[str],
+    *,
+    filters: Filters = None,
+    by: Sequence[str] = (),
+    users: DataFrame | None = None,
 ) -> DataFrame:
     """Users who ever fired each event, in any order and at any time.
 
@@ -416,15 +448,17 @@ def naive_funnel(
     # without any step come from the same pass.
     number = F.array_position(F.lit(list(steps)), F.col("event_name")) - 1
     counts_as = F.col("event_name").isin(list(steps)) & F.col("user_id").isNotNull()
-    base = apply_filters(events, filters)
-    rows = (base if by else base.filter(counts_as)).select(
-        *by,
+    attributes = attributes_of(events, by, users)
+    own = [c for c in by if c not in attributes]
+    base, users, _ = filter_users(events, filters, users)
+    rows = (base if own else base.filter(counts_as)).select(
+        *own,
         F.when(counts_as, F.col("user_id")).alias("user_id"),
         F.when(counts_as, number).cast("int").alias("step"),
     )
-    users = rows.groupBy(*by, "user_id").agg(*fired)
+    folded = with_attributes(rows.groupBy(*own, "user_id").agg(*fired), users, attributes)
     totals = (
-        users.select(*by, *_ever(count))
+        folded.select(*by, *_ever(count))
         .groupBy(*by)
         .agg(*[F.expr(f"count_if(ever{i}) AS n{i}") for i in range(count)])
     )
@@ -434,15 +468,18 @@ def naive_funnel(
         for i in range(count)
     )
     by_step = F.expr(f"map({entries})")
+    counts = totals.select(*by, by_step.alias("by_step"))
+    if attributes and not own:
+        counts = with_all_segments(counts, users, by)
     return (
-        each_step(totals.select(*by, by_step.alias("by_step")), steps, by)
+        each_step(counts, steps, by)
         .select(*funnel_columns(by, "naive", "CAST(NULL AS DOUBLE)"))
         .orderBy(*by, "step_index")
     )
 
 
 def _both_counts(
-    events, steps, window_hours, window_from, filters, by, times, rows_per_task, bounded
+    events, steps, window_hours, window_from, filters, by, users, times, rows_per_task, bounded
 ) -> DataFrame:
     """``each_step`` rows that carry ordered and naive counts from one pass."""
     check_steps(steps)
@@ -451,19 +488,15 @@ def _both_counts(
     farthest = farthest_seconds(count, window_hours, window_from) if bounded else None
     if times is not None:
         check_reach(times, farthest)
+        segments = apply_filters(events, filters)
     else:
-        times = step_times(
-            events,
-            steps,
-            filters=filters,
-            by=by,
-            within_seconds=farthest,
-            rows_per_task=rows_per_task,
+        times, segments = segmented_times(
+            events, steps, filters, by, users, farthest, rows_per_task
         )
     counts = step_counts(
         times, count, window_hours=window_hours, window_from=window_from, by=by, median="none"
     )
-    return each_step(with_all_segments(counts, apply_filters(events, filters), by), steps, by)
+    return each_step(with_all_segments(counts, segments, by), steps, by)
 
 
 def compare(
@@ -474,12 +507,13 @@ def compare(
     window_from: str = "entry",
     filters: Filters = None,
     by: Sequence[str] = (),
+    users: DataFrame | None = None,
     times: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Ordered and naive counts side by side, and by how much the naive one is too high."""
     rows = _both_counts(
-        events, steps, window_hours, window_from, filters, by, times, rows_per_task, True
+        events, steps, window_hours, window_from, filters, by, users, times, rows_per_task, True
     )
     return rows.select(
         *by,
@@ -503,6 +537,7 @@ def overcount_reasons(
     window_from: str = "entry",
     filters: Filters = None,
     by: Sequence[str] = (),
+    users: DataFrame | None = None,
     times: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
@@ -513,7 +548,7 @@ def overcount_reasons(
     came later).
     """
     rows = _both_counts(
-        events, steps, window_hours, window_from, filters, by, times, rows_per_task, False
+        events, steps, window_hours, window_from, filters, by, users, times, rows_per_task, False
     )
     return rows.select(
         *by,

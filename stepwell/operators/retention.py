@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import wilson_bound
 from ..functions.time import period_start, periods_between
-from .filters import Filters, apply_filters
+from .filters import Filters
+from .users import attributes_of, filter_users, with_attributes
 from .validation import check_choice, check_retention
 
 # How a return counts, and over what the last seen period is taken.
@@ -27,12 +28,19 @@ HORIZONS = ("segment", "global")
 
 
 def user_periods(
-    events: DataFrame, *, period: str, signup_event: str, activity_event: str, by: Sequence[str]
+    events: DataFrame,
+    *,
+    period: str,
+    signup_event: str,
+    activity_event: str,
+    by: Sequence[str],
+    keep_users: bool = False,
 ) -> DataFrame:
     """One row per (segment, user, period) with the flags ``anchored`` and ``active``.
 
     Events of other names, and of no user, matter for the horizon only. They lose their user
-    here, so each task folds them into one row per period before the shuffle.
+    here, so each task folds them into one row per period before the shuffle; with ``keep_users``
+    they keep it, to be told apart by its attributes, and fold to one row per user and period.
     """
     name = F.col("event_name")
     relevant = name.isin(signup_event, activity_event) & F.col("user_id").isNotNull()
@@ -40,7 +48,7 @@ def user_periods(
         events.select(
             *by,
             relevant.alias("relevant"),
-            F.when(relevant, F.col("user_id")).alias("user_id"),
+            F.when(relevant | F.lit(keep_users), F.col("user_id")).alias("user_id"),
             period_start(F.col("event_ts"), period).alias("period"),
             (relevant & (name == signup_event)).alias("is_anchor"),
             (relevant & (name == activity_event)).alias("is_activity"),
@@ -59,6 +67,7 @@ def retention(
     max_periods: int = 8,
     filters: Filters = None,
     by: Sequence[str] = (),
+    users: DataFrame | None = None,
     horizon: str = "segment",
     returns: str = "unbounded",
 ) -> DataFrame:
@@ -67,22 +76,24 @@ def retention(
     Columns: ``by``..., cohort_period, cohort_size, period_index, observed, active_users,
     retention. With ``by``, every segment equals a call filtered to it; ``horizon="global"``
     takes the last period over all segments instead. ``returns="consecutive"`` counts a user
-    in period k only when active in every period 0 .. k.
+    in period k only when active in every period 0 .. k. ``filters`` and ``by`` may name attributes
+    of ``users`` (see ``operators.users``), which join one row per user and period.
     """
     check_retention(period, max_periods)
     check_choice("horizon", horizon, HORIZONS)
     check_choice("returns", returns, RETURN_RULES)
     by = list(by)
-    base = apply_filters(events, filters)
-    cells = _cohort_cells(
-        user_periods(
-            base, period=period, signup_event=signup_event, activity_event=activity_event, by=by
-        ),
-        by,
-        period,
-        returns,
+    attributes = attributes_of(events, by, users)
+    base, users, _ = filter_users(events, filters, users)
+    periods = user_periods(
+        base,
+        period=period,
+        signup_event=signup_event,
+        activity_event=activity_event,
+        by=[c for c in by if c not in attributes],
+        keep_users=bool(attributes),
     )
-
+    cells = _cohort_cells(with_attributes(periods, users, attributes), by, period, returns)
     return retention_of_cells(cells, by, period, max_periods, horizon)
 
 
