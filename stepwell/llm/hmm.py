@@ -59,15 +59,33 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
-class _Symbols(dict):
-    """Symbol of a word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD_WORDS:
-            self.clear()
-        found = zlib.crc32(word[-SUFFIX:]) % (SYMBOLS - 1) + 1 if word else 0
-        self[word] = found
-        return found
+def symbol(word: bytes) -> int:
+    return zlib.crc32(word[-SUFFIX:]) % (SYMBOLS - 1) + 1 if word else 0
+
+
+class _Words:
+    """Numbers of words with what a task looks up by them: the frequent ones first, then those it
+    has met, forgotten when they get too many."""
+
+    def __init__(self, frequent: dict[bytes, int]):
+        self.frequent = len(frequent)
+        self.first = dict(zip(frequent, range(len(frequent)), strict=True))
+        self.logs = np.array([math.log10(c + 1) for c in frequent.values()] + [0.0])  # the last: any other
+        self.symbols = np.fromiter(map(symbol, frequent), np.uint16, len(frequent))
+        self.number = dict(self.first)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.number)
+        if len(self.number) + len(new) > HELD_WORDS + self.frequent:
+            self.number, self.symbols = dict(self.first), self.symbols[: self.frequent]
+            new = set(words).difference(self.number)
+        if new:
+            at = len(self.number)
+            self.number.update(zip(new, range(at, at + len(new)), strict=True))
+            if at + len(new) > self.symbols.size:
+                self.symbols = np.resize(self.symbols, max(2 * self.symbols.size, at + len(new)))
+            self.symbols[at : at + len(new)] = [symbol(w) for w in new]
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
 def _symbol_column(word: Column) -> Column:
@@ -83,20 +101,19 @@ def count_words(docs: DataFrame) -> DataFrame:
         train: Counter = Counter()
         held: Counter = Counter()
 
-        def flush() -> pd.DataFrame:
-            words = list(train.keys() | held.keys())
-            t = np.fromiter((train[w] for w in words), np.int64, len(words))
-            h = np.fromiter((held[w] for w in words), np.int64, len(words))
-            train.clear()
-            held.clear()
-            return pd.DataFrame({"word": pd.Series(words, dtype=object), "train": t, "total": t + h})
+        def flush() -> Iterator[pd.DataFrame]:
+            for counts, in_train in ((train, 1), (held, 0)):
+                total = np.fromiter(counts.values(), np.int64, len(counts))
+                words = pd.Series(list(counts), dtype=object)
+                yield pd.DataFrame({"word": words, "train": total * in_train, "total": total})
+                counts.clear()
 
         for batch in batches:
             for text, out in zip(batch["text"], batch["held_out"], strict=True):
                 (held if out else train).update(tokens(text))
                 if len(train) + len(held) > HELD_WORDS:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     parts = docs.select("text", "held_out").mapInPandas(count, "word binary, train long, total long")
     return parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
@@ -143,20 +160,19 @@ def _expected(model: Hmm, rows: np.ndarray, lengths: np.ndarray, begins: np.ndar
         alpha[t, :m] = now / scale[t, :m, None]
     beta = np.ones((n, k))
     move = np.zeros((k, k))
-    found = np.zeros((SYMBOLS, k))
     start = np.zeros(k)
     for t in range(longest - 1, -1, -1):
         m = active[t]
-        gamma = alpha[t, :m] * beta[:m]
-        for s in range(k):
-            found[:, s] += np.bincount(rows[:m, t], gamma[:, s], SYMBOLS)
-        if t == 0:
-            start = gamma[begins[:m]].sum(axis=0)
-        else:
+        if t:
             ahead = emit[rows[:m, t]] * beta[:m] / scale[t, :m, None]
             move += alpha[t - 1, :m].T @ ahead
+        alpha[t, :m] *= beta[:m]  # from here on the share of each state at this place
+        if t:
             beta[:m] = ahead @ model.move.T
-    return [start, move * model.move, found.T]
+    start = alpha[0, begins].sum(axis=0)
+    at = rows[:, :longest].T.ravel()  # places beyond a sequence's end have no share
+    found = np.array([np.bincount(at, alpha[:, :, s].ravel(), SYMBOLS) for s in range(k)])
+    return [start, move * model.move, found]
 
 
 def log_likelihoods(model: Hmm, texts: list[np.ndarray], length: int = SEQUENCE) -> np.ndarray:
@@ -233,8 +249,8 @@ def train(rows: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> Hmm:
     def first(batch: pd.DataFrame, vector: np.ndarray) -> None:
         for data, top in zip(batch["symbols"], batch["top"], strict=True):
             state = state_of.get(top, top % k)
-            symbols, n = np.unique(np.frombuffer(data, "<u2"), return_counts=True)
-            vector[symbols.astype(np.int64) + state * SYMBOLS] += n
+            counts = np.bincount(np.frombuffer(data, "<u2"), minlength=SYMBOLS)
+            vector[state * SYMBOLS : (state + 1) * SYMBOLS] += counts
 
     emit = _sum_over_tasks(rows, first, k * SYMBOLS).reshape(k, SYMBOLS)
     model = _model(np.ones(k), np.eye(k) * 50 * k + 1, emit, prior)
@@ -296,31 +312,24 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     weight[by_symbol["symbol"]] += by_symbol["n"].to_numpy(float) + by_symbol["words"].to_numpy(float)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol_of = _Symbols()
-        log_of = {w: math.log10(c + 1) for w, c in frequent.value.items()}
+        known = _Words(frequent.value)
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 words = tokens(text)
-                symbols = np.fromiter(map(symbol_of.__getitem__, words), "<u2", len(words))
-                logs, n_known, rare, rare_times = [], 0, [], []
-                for word, times in Counter(words).items():
-                    log = log_of.get(word)
-                    if log is None:
-                        rare.append(word)
-                        rare_times.append(times)
-                    elif log:  # zero for words that the training part does not have
-                        logs.append(log * times)
-                        n_known += times
+                numbers = known.numbers(words)
+                symbols = known.symbols[numbers].astype("<u2")
+                logs = known.logs[np.minimum(numbers, known.frequent)]
+                rare = Counter([words[i] for i in np.flatnonzero(numbers >= known.frequent)])
                 rows.append(
                     (
                         len(words),
                         symbols.tobytes(),
                         int(np.bincount(symbols[:-1]).argmax()) if len(words) > 1 else 0,
-                        math.fsum(logs),
-                        n_known,
-                        rare,
-                        rare_times,
+                        float(logs.sum()),
+                        int(np.count_nonzero(logs)),  # zero for words that the training part does not have
+                        list(rare),
+                        list(rare.values()),
                     )
                 )
             columns = ["n_tokens", "symbols", "top", "log_counts", "n_known", "rare", "times"]
