@@ -164,7 +164,7 @@ def fit(docs: DataFrame) -> Model:
     names = sorted(listed.collect(), key=lambda r: (-r["count"], r.lang))
     number = {r.lang: i for i, r in enumerate(names)}
     share = max(MIN_SHARE, len(names) / MAX_ENTRIES)
-    counts = materialize(count_trigrams(known.join(listed.select("lang"), "lang", "left_semi")))
+    counts = materialize(count_trigrams(known.join(F.broadcast(listed.select("lang")), "lang", "left_semi")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     whole = counts.agg(F.sum("n")).head()[0] or 0
     own = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
