@@ -341,7 +341,7 @@ def funnel(
     overall_conversion, dropped. Each step must come strictly after the one before and at
     most ``window_hours`` after the first step (``window_from="entry"``) or the step before
     (``"previous"``). ``filters`` and ``by`` may name attributes of ``users`` (see
-    ``operators.users``); all its segments are reported. ``median="sketch"`` gives an approximate ``median_hours`` (see
+    ``operators.users``). ``median="sketch"`` gives an approximate ``median_hours`` (see
     ``operators.durations``), ``"none"`` leaves it NULL.
     """
     check_steps(steps)
@@ -391,10 +391,8 @@ def segmented_times(
     )
     if not attributes:
         return times, base
-    segments = users
-    if own:
-        segments = with_attributes(base.select("user_id", *own).distinct(), users, attributes)
-    return with_attributes(times, users, attributes), segments
+    present = base.select("user_id", *own).distinct()  # one row per user and task is shuffled
+    return with_attributes(times, users, attributes), with_attributes(present, users, attributes)
 
 
 def funnel_from_times(
@@ -451,9 +449,11 @@ def naive_funnel(
     attributes = attributes_of(events, by, users)
     own = [c for c in by if c not in attributes]
     base, users, _ = filter_users(events, filters, users)
-    rows = (base if own else base.filter(counts_as)).select(
+    # ... and so do those of users' attributes, for which other events keep their user
+    counted = F.lit(bool(attributes)) | counts_as
+    rows = (base if by else base.filter(counts_as)).select(
         *own,
-        F.when(counts_as, F.col("user_id")).alias("user_id"),
+        F.when(counted, F.col("user_id")).alias("user_id"),
         F.when(counts_as, number).cast("int").alias("step"),
     )
     folded = with_attributes(rows.groupBy(*own, "user_id").agg(*fired), users, attributes)
@@ -468,11 +468,8 @@ def naive_funnel(
         for i in range(count)
     )
     by_step = F.expr(f"map({entries})")
-    counts = totals.select(*by, by_step.alias("by_step"))
-    if attributes and not own:
-        counts = with_all_segments(counts, users, by)
     return (
-        each_step(counts, steps, by)
+        each_step(totals.select(*by, by_step.alias("by_step")), steps, by)
         .select(*funnel_columns(by, "naive", "CAST(NULL AS DOUBLE)"))
         .orderBy(*by, "step_index")
     )
