@@ -1,9 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from stepwell.llm import mixing, quality
@@ -11,12 +11,17 @@ from stepwell.llm import mixing, quality
 from .conftest import DOCS, ODD
 
 
+def plain_symbols(text):
+    return "\2" * quality.ORDER + (text or "").replace("\0", "\2") + "\2"
+
+
 def plain_kneser_ney(texts):
-    """Interpolated modified Kneser-Ney, gram by gram."""
-    size, order = 1 << quality.BITS, quality.ORDER
-    levels = [Counter(g for t in texts for g in quality.n_grams(t).tolist())]
-    for n in range(order - 1, 0, -1):
-        levels.append(Counter(g & ((1 << quality.BITS * n) - 1) for g in levels[-1]))
+    """Interpolated modified Kneser-Ney, gram by gram: p(symbol after its context)."""
+    levels = [Counter()]
+    for text in map(plain_symbols, texts):
+        levels[0].update(text[i + 1 - quality.ORDER : i + 1] for i in range(quality.ORDER, len(text)))
+    for _ in range(quality.ORDER - 1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
     levels.reverse()
     discounts, contexts = [], []
     for level in levels:
@@ -27,33 +32,90 @@ def plain_kneser_ney(texts):
         discounts.append(d)
         seen = {}
         for g, c in level.items():
-            seen.setdefault(g >> quality.BITS, []).append(c)
+            seen.setdefault(g[:-1], []).append(c)
         contexts.append(seen)
 
-    def p(gram, n):
-        if n == 0:
-            return 1 / size
-        below = p(gram & ((1 << quality.BITS * (n - 1)) - 1), n - 1)
-        counts = contexts[n - 1].get(gram >> quality.BITS)
+    def p(gram):
+        if not gram:
+            return 1 / quality.CODE_POINTS
+        below = p(gram[1:])
+        counts = contexts[len(gram) - 1].get(gram[:-1])
         if not counts:
             return below
-        d = discounts[n - 1]
-        own = levels[n - 1].get(gram, 0)
+        d = discounts[len(gram) - 1]
+        own = levels[len(gram) - 1].get(gram, 0)
         left = sum(d[min(c, 3) - 1] for c in counts) / sum(counts)
         return (max(own - d[min(own, 3) - 1], 0) / sum(counts) if own else 0) + left * below
 
     return p
 
 
-def test_probabilities_equal_the_plain_recursion(spark, docs):
-    texts = ["the cat sat on the mat.", "the dog sat, the cat ran!", "a mat is a mat", ""]
-    table = quality.kneser_ney(quality.count_n_grams(docs(*texts)))
-    p = plain_kneser_ney(texts)
-    some = random.Random(1).sample(range(1 << quality.BITS * quality.ORDER), 300)
-    for g in [*some, *quality.n_grams(texts[0]).tolist()]:
-        assert 10 ** table[g] == pytest.approx(p(g, quality.ORDER), rel=1e-4)
-    sums = (10.0 ** table.astype(float)).reshape(-1, 1 << quality.BITS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
+def plain_perplexity(p, text):
+    s = plain_symbols(text)
+    logs = [math.log10(p(s[i + 1 - quality.ORDER : i + 1])) for i in range(quality.ORDER, len(s))]
+    return 10 ** (-sum(logs) / len(logs))
+
+
+TEXTS = ["the cat sat on the mat.", "the dog sat, the cat ran!", "a mat is a mat", "", "Der Bär 熊 \U0001f600",
+         "кот сидел на ковре", "the cat sat on the mat. the cat sat on the mat."]
+
+
+@pytest.mark.parametrize("piece", [7, quality.PIECE])
+def test_perplexities_equal_the_plain_recursion(spark, docs, monkeypatch, piece):
+    monkeypatch.setattr(quality, "PIECE", piece)
+    counts = quality.count_n_grams(docs(*TEXTS))
+    p = plain_kneser_ney(TEXTS)
+    model = quality.kneser_ney(quality.materialize(counts))
+    others = ["a dog ran on a cat", "熊熊 кот", "zzz ### 17", None, "nul \0 inside", "the cat sat on the mat.", "x"]
+    rows = [*TEXTS, *others]
+    got = {r.doc_id: r.perplexity for r in quality.with_perplexity(docs(*rows), model).collect()}
+    assert len(got) == len(rows)
+    for i, text in enumerate(rows):
+        assert got[i] == pytest.approx(plain_perplexity(p, text), rel=1e-4)
+
+
+def test_probabilities_of_a_context_sum_to_one():
+    p = plain_kneser_ney(TEXTS)
+    seen = {c for t in TEXTS for c in plain_symbols(t)}
+    for context in ("the c", "a mat", "zzzzz", "\2" * 5):
+        unseen = quality.CODE_POINTS - len(seen)
+        assert sum(p(context + c) for c in seen) + unseen * p(context + "\x07") == pytest.approx(1, abs=1e-9)
+
+
+def test_thresholds_and_decisions_equal_a_loop(spark):
+    rng = random.Random(5)
+    rows = [
+        (i, rng.choice(["en", "de", None]), rng.choice([3, 3, 3, 9]), 1 + rng.random() * rng.choice([1, 10]))
+        for i in range(900)
+    ]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, band int, perplexity double")
+    trusted = [r for r in rows if r[0] % 2 and r[1] != "de"]
+    found = quality.limits(scored.filter("doc_id % 2 = 1 and not lang <=> 'de'"), 0.99)
+
+    def quantile(values):
+        values = sorted(values)
+        return values[max(math.ceil(0.99 * len(values)) - 1, 0)]
+
+    def threshold(lang, band):
+        narrow = [r[3] for r in trusted if r[1:3] == (lang, band)]
+        wide = [r[3] for r in trusted if r[1] == lang]
+        return quantile(narrow) if len(narrow) >= 100 else quantile(wide) if wide else None
+
+    judged = quality.classified(scored, found).collect()
+    assert len(judged) == len(rows)
+    assert {len([r for r in trusted if r[1:3] == ("en", b)]) >= 100 for b in (3, 9)} == {True, False}
+    for r in judged:
+        wanted = threshold(r.lang, r.band)
+        assert r.threshold == wanted and r.keep == (wanted is None or r.perplexity <= wanted)
+
+
+def test_a_sample_with_too_many_n_grams_is_halved(spark, docs, monkeypatch):
+    good, _ = good_and_junk()
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good], "doc_id long, quality int, toxic int")
+    whole = quality.fit(docs(*good), labels).levels[-1].grams.size
+    monkeypatch.setattr(quality, "MAX_GRAMS", whole - 1)
+    model = quality.fit(docs(*good), labels)
+    assert 0 < model.levels[-1].grams.size < whole and model.scored.count() == len(good)
 
 
 def good_and_junk():
