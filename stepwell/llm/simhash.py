@@ -177,6 +177,11 @@ def links(distinct: DataFrame, max_bits: int = 3, hot_value: int = HOT_VALUE) ->
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``(doc_id, text_key, fingerprint, component_id)`` per row of ``docs``; ``component_id`` is
     the smallest id reachable by links of at most ``max_bits`` differing bits."""
+    return _grouped(docs, words_per_shingle, max_bits).drop("root")
+
+
+def _grouped(docs: DataFrame, words_per_shingle: int, max_bits: int) -> DataFrame:
+    """Rows of :func:`near_duplicates` with ``root``, the smallest fingerprint of the component."""
     rows = materialize(fingerprints(docs, words_per_shingle))
     distinct = materialize(
         rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
@@ -184,23 +189,23 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int =
     roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     joined = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialize(joined.join(least, "root").select("fp", "component_id", "copies"))
+    labels = materialize(joined.join(least, "root").select("fp", "component_id", "root", "copies"))
     return join_hot(rows, labels, "fp", "copies").select(
         "doc_id",
         "text_key",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
+        "root",
     )
 
 
 def deduplicated(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id (a null id
-    last, ties by the text's hash), once even if the row is repeated."""
-    found = near_duplicates(docs, words_per_shingle, max_bits)
+    last, ties by the text's hash), once even if the row is repeated. Rows without ids form components
+like any others."""
+    found = _grouped(docs, words_per_shingle, max_bits)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    kept = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).agg(
-        F.min(order).alias("first")
-    )
+    kept = found.groupBy("root").agg(F.min(order).alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     keyed = docs.select(
         F.struct(*docs.columns).alias("_row"),

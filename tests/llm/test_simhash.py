@@ -83,6 +83,19 @@ def test_one_row_of_each_group_stays(spark, docs):
     assert [i for _, i in ids].count(1) == 1 and (False, 2) in ids and (False, 3) not in ids
 
 
+@pytest.mark.parametrize("first", [None, 5])
+def test_near_copies_without_ids_leave_one_row(spark, docs, first):
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    near = [*words[:-1], "other"]
+    table = docs((first, " ".join(words)), (None, " ".join(near)), (None, "apart from those two"))
+    fingerprints = [int(r.fingerprint, 16) for r in simhash.near_duplicates(table).collect()]
+    bits = sorted((a ^ b).bit_count() for i, a in enumerate(fingerprints) for b in fingerprints[:i])
+    assert bits[0] <= 3 < bits[1]
+    kept = [r.doc_id for r in simhash.deduplicated(table).collect()]
+    assert len(kept) == 2 and kept.count(None) == (2 if first is None else 1)
+
+
 def test_a_bucket_across_batches(spark):
     values = [(1 << 40) + i for i in range(3000)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
