@@ -2,14 +2,14 @@
 
 Documents fall into cells: one category per dimension (source, language, topic). Raking scales the
 cells' weights until the token totals of every dimension match its target shares, all dimensions
-at once. A document is then sampled with a probability proportional to its cell's weight,
-calibrated so that the largest is one: expected token shares equal the targets and nothing is
-drawn twice.
+at once. A document is then sampled with probability ``min(1, c * weight)`` of its cell.
 
-A few tokens cannot carry a large share of a large sample. So no weight exceeds ``1 / LEAST``, and
-about ``LEAST`` of the tokens stay at least: a category that holds less than its share of those
-keeps all it has, and the others of its dimension divide the rest by their targets. Where the
-exact shares leave more than that, the bound changes nothing.
+Without ``size``, ``c`` makes the largest probability one: expected token shares equal the targets,
+nothing is drawn twice, and the sample is as large as the scarcest cell allows. With ``size``, ``c``
+is solved so that this share of all tokens is expected: cells too scarce for it keep all they have
+(probability one), the weights of the others keep their proportions, and categories made of scarce
+cells fall short of their targets. ``max_weight`` bounds the weights while raking; there is no bound
+by default. :func:`shares` tells for each category what was wanted and what is expected.
 
 Targets list categories; every value they don't list, and null, falls into ``OTHER``. So the
 number of cells is bounded by the targets, never by the data. One partial aggregation over the
@@ -19,7 +19,10 @@ same steps.
 
 Defined cases: an unlisted ``OTHER`` takes what the listed shares leave of 1, or if they leave
 nothing the share it has; categories without tokens are left out, and the shares of the others are
-divided by their sum. A share of 0 drops a category. A null text counts as empty; a document without tokens follows its cell's weight.
+divided by their sum. A share of 0 drops a category. Where targets contradict each other (a
+category lies in cells of dropped ones only) raking ends after ``ROUNDS`` rounds with the weights it
+has, which follow the last dimension. A ``size`` beyond what cells with a weight hold keeps all of
+those. A null text counts as empty; a document without tokens follows its cell's weight.
 Sampling hashes (doc_id, text), so repeated rows share their fate. Extra columns stay; an empty
 table gives an empty result.
 """
@@ -41,7 +44,8 @@ Targets = Mapping[str, Mapping[str, float]]
 OTHER = "other"
 MAX_CELLS = 100_000
 ROUNDS, TOLERANCE = 200, 1e-10
-LEAST = 0.1
+#: Shares below this are not scaled up any more.
+LOST = 1e-200
 
 
 def topic_of(text: Column) -> Column:
@@ -80,27 +84,12 @@ def _shares(found: Mapping[str, float], wanted: Mapping[str, float]) -> dict[str
     rest = rest if rest > 1e-9 else found.get(OTHER, 0) / max(total, 1)
     shares = {c: float(wanted.get(c, rest)) for c in present}
     scale = sum(shares.values())
-    if not scale:
-        return dict.fromkeys(present, 0.0)
-    return _carried({c: s / scale for c, s in shares.items()}, {c: found[c] / total / LEAST for c in present})
+    return {c: s / scale if scale else 0.0 for c, s in shares.items()}
 
 
-def _carried(shares: Mapping[str, float], room: Mapping[str, float]) -> dict[str, float]:
-    """``shares`` with none above its ``room``; what that leaves is divided among the others."""
-    full: set[str] = set()
-    while True:
-        free = sum(s for c, s in shares.items() if c not in full)
-        scale = (1 - sum(room[c] for c in full)) / free if free > 0 else 0.0
-        over = {c for c, s in shares.items() if c not in full and s * scale > room[c]}
-        if not over:
-            break
-        full |= over
-    out = {c: room[c] if c in full else s * scale for c, s in shares.items()}
-    total = sum(out.values())
-    return {c: s / total for c, s in out.items()}
-
-
-def rake(cells: pd.DataFrame, targets: Targets, rounds: int = ROUNDS) -> np.ndarray:
+def rake(
+    cells: pd.DataFrame, targets: Targets, max_weight: float | None = None, rounds: int = ROUNDS
+) -> np.ndarray:
     """Weight per row of ``cells`` (category columns and ``tokens``)."""
     tokens = cells["tokens"].to_numpy(float)
     weight = np.ones(len(cells))
@@ -114,15 +103,17 @@ def rake(cells: pd.DataFrame, targets: Targets, rounds: int = ROUNDS) -> np.ndar
         worst = 0.0
         for codes, shares in plans:
             has = np.bincount(codes, tokens * weight, len(shares)) / total
-            factor = np.divide(shares, has, out=np.ones_like(has), where=has > 0)
+            factor = np.divide(shares, has, out=np.ones_like(has), where=has > LOST)
             worst = max(worst, float(np.abs(has - shares).max(initial=0.0)))
-            weight = np.minimum(weight * factor[codes], 1 / LEAST)
+            weight = np.minimum(weight * factor[codes], max_weight or np.inf)
         if worst < TOLERANCE:
             break
     return weight
 
 
-def rake_by_join(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> DataFrame:
+def rake_by_join(
+    cells: DataFrame, targets: Targets, max_weight: float | None = None, rounds: int = ROUNDS
+) -> DataFrame:
     """``cells`` with ``weight``, for more cells than the driver should hold: one grouped sum and one
     join per dimension and round. Categories per dimension are bounded by the targets."""
     now = cells.withColumn("weight", F.lit(1.0))
@@ -138,13 +129,13 @@ def rake_by_join(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> Da
             sums = now.groupBy(at).agg(F.sum(F.col("tokens") * F.col("weight")).alias("t")).collect()
             has = {r[0]: r.t / total for r in sums if total}
             worst = max([worst, *(abs(has[c] - s) for c, s in shares.items())])
-            factors = [(c, shares.get(c, 0.0) / h if h > 0 else 1.0) for c, h in has.items()]
+            factors = [(c, shares.get(c, 0.0) / h if h > LOST else 1.0) for c, h in has.items()]
             if not factors:
                 return now
             table = cells.sparkSession.createDataFrame(factors, "category string, factor double")
             now = (
                 now.join(table, now[at] == table["category"])
-                .withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.lit(1 / LEAST)))
+                .withColumn("weight", F.least(F.col("weight") * F.col("factor"), F.lit(max_weight or float("inf"))))
                 .drop("category", "factor")
             )
         now = checkpointed(now)
@@ -153,27 +144,76 @@ def rake_by_join(cells: DataFrame, targets: Targets, rounds: int = ROUNDS) -> Da
     return now
 
 
-def weights(docs: DataFrame, targets: Targets, max_cells: int = MAX_CELLS) -> DataFrame:
-    """``(_at_..., weight, probability)`` per cell that occurs."""
+def _scale(cells: DataFrame, size: float | None) -> float:
+    """The ``c`` of :func:`weights`, from a grouped sum per round: cells that reach probability one
+    keep it, and the rest of the size is spread over the others. Every round but the last adds such
+    cells."""
+    if size is None:
+        top = cells.filter("tokens > 0").agg(F.max("weight")).head()[0]
+        return 1 / top if top else 1.0
+    c, full = 0.0, -1
+    while True:
+        whole = F.col("weight") * c >= 1
+        held = F.when(whole, F.col("tokens")).otherwise(0)
+        free = F.when(whole, 0.0).otherwise(F.col("tokens") * F.col("weight"))
+        row = cells.agg(F.sum("tokens"), F.sum(held), F.sum(free), F.count_if(whole)).head()
+        if row[3] == full or not row[2]:
+            return c or 1.0
+        c, full = max(c, (size * row[0] - row[1]) / row[2]), row[3]
+
+
+def weights(
+    docs: DataFrame,
+    targets: Targets,
+    size: float | None = None,
+    max_weight: float | None = None,
+    max_cells: int = MAX_CELLS,
+) -> DataFrame:
+    """``(_at_..., tokens, weight, probability)`` per cell that occurs."""
+    if size is not None and not 0 < size <= 1:
+        raise ValueError("size is a share of the tokens")
     spark = docs.sparkSession
     at = [f"_at_{d}" for d in targets]
     cells = materialize(with_cells(docs, targets).groupBy(*at).agg(F.sum("tokens").alias("tokens")))
     if cells.count() <= max_cells:
         table = cells.toPandas()
-        table["weight"] = rake(table, targets)
+        table["weight"] = rake(table, targets, max_weight)
         raked = spark.createDataFrame(
-            [tuple(r) for r in table[[*at, "weight"]].itertuples(index=False)],
-            ", ".join([*(f"{c} string" for c in at), "weight double"]),
+            [tuple(r) for r in table[[*at, "tokens", "weight"]].itertuples(index=False)],
+            ", ".join([*(f"{c} string" for c in at), "tokens long", "weight double"]),
         )
     else:
-        raked = rake_by_join(cells, targets).select(*at, "weight")
-    top = raked.agg(F.max("weight")).head()[0] or 1.0
-    return raked.withColumn("probability", F.col("weight") / F.lit(float(top)))
+        raked = rake_by_join(cells, targets, max_weight).select(*at, "tokens", "weight")
+    c = F.lit(float(_scale(raked, size)))
+    return raked.withColumn("probability", F.least(F.lit(1.0), c * F.col("weight")))
+
+
+def shares(table: DataFrame, targets: Targets) -> DataFrame:
+    """``dimension, category, tokens, wanted, expected`` per category of :func:`weights`' table: its
+    tokens, its target share (of the categories that have tokens) and its share of the sample."""
+    out = []
+    for dimension, listed in targets.items():
+        sums = table.groupBy(F.col(f"_at_{dimension}").alias("category")).agg(
+            F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("drawn")
+        ).collect()  # categories are bounded by the targets
+        wanted = _shares({r.category: r.tokens for r in sums}, listed)
+        total = sum(r.drawn for r in sums) or 1.0
+        out += [(dimension, r.category, r.tokens, wanted.get(r.category, 0.0), r.drawn / total) for r in sums]
+    return table.sparkSession.createDataFrame(
+        sorted(out), "dimension string, category string, tokens long, wanted double, expected double"
+    )
 
 
-def sampled(docs: DataFrame, targets: Targets, seed: int = 11, max_cells: int = MAX_CELLS) -> DataFrame:
+def sampled(
+    docs: DataFrame,
+    targets: Targets,
+    size: float | None = None,
+    seed: int = 11,
+    max_weight: float | None = None,
+    max_cells: int = MAX_CELLS,
+) -> DataFrame:
     """:func:`with_cells` with ``weight``, ``probability`` and ``kept``."""
-    table = weights(docs, targets, max_cells)
+    table = weights(docs, targets, size, max_weight, max_cells).drop("tokens")
     if table.count() <= max_cells:
         table = F.broadcast(table)
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) / float(1 << 53)
@@ -183,6 +223,6 @@ def sampled(docs: DataFrame, targets: Targets, seed: int = 11, max_cells: int =
     )
 
 
-def mixed(docs: DataFrame, targets: Targets, seed: int = 11) -> DataFrame:
+def mixed(docs: DataFrame, targets: Targets, size: float | None = None, seed: int = 11) -> DataFrame:
     """The sampled rows of ``docs``, its columns as they were."""
-    return sampled(docs, targets, seed).filter("kept").select("row.*")
+    return sampled(docs, targets, size, seed).filter("kept").select("row.*")

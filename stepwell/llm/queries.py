@@ -18,6 +18,8 @@ TARGETS = {
     "lang": {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.12},
     "topic": {"prose": 0.9, "table": 0.03, "contact": 0.03, "legal": 0.03},
 }
+#: Share of the tokens that the mix keeps.
+MIX_SIZE = 0.1
 
 #: Fixed values of the URL filter's contract: (host, path, verdict).
 URL_RULES = [
@@ -62,7 +64,7 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.sampled(table(spark, sf_dir, "documents"), TARGETS)
+    rows = mixing.sampled(table(spark, sf_dir, "documents"), TARGETS, MIX_SIZE)
     return rows.select(
         "doc_id",
         "row.source",

@@ -7,7 +7,7 @@ import pytest
 from catalog.check import connect, differences
 from pyspark.sql import functions as F
 from stepwell.llm import licenses, mixing
-from stepwell.llm.queries import TARGETS, llm_oracles, llm_queries
+from stepwell.llm.queries import MIX_SIZE, TARGETS, llm_oracles, llm_queries
 from stepwell.plans.scratch import materialize
 
 from .conftest import ODD
@@ -64,6 +64,6 @@ def test_the_mix_stage_of_the_pipeline_leaves_a_corpus(spark):
     sf = "/root/testdata/sf0.01"
     docs = materialize(corpus_pipeline.keep_good(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
     docs = materialize(corpus_pipeline.drop_near_duplicates(spark, docs, sf))
-    rows = mixing.sampled(docs, TARGETS)
+    rows = mixing.sampled(docs, TARGETS, MIX_SIZE)
     total, kept = rows.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).head()
     assert kept >= 0.09 * total

@@ -184,12 +184,80 @@ def test_mixing_odd_rows(spark, docs):
     assert mixing.mixed(table.limit(0), targets).count() == 0
 
 
-def test_a_starved_category_does_not_set_the_scale(spark):
+def starved(spark):
     rng = random.Random(4)
-    rows = [(i, "w " * rng.randrange(1, 30), "en", "b", 1, 1, "k", "f") for i in range(2000)]
-    table = spark.createDataFrame([(9999, "one few", "fr", "a", 1, 1, "k", "f"), *rows], DOCS)
+    rows = [(i, "w " * rng.randrange(1, 30), "en", rng.choice("bbc"), 1, 1, "k", "f") for i in range(2000)]
+    return spark.createDataFrame([(9999, "one few", "fr", "a", 1, 1, "k", "f"), *rows], DOCS)
+
+
+def test_a_starved_category_does_not_set_the_scale(spark):
+    table = starved(spark)
     for max_cells in (1000, 0):
-        kept = mixing.sampled(table, TARGETS, max_cells=max_cells).filter("kept")
+        kept = mixing.sampled(table, TARGETS, 0.1, max_cells=max_cells).filter("kept")
         ids = {r.doc_id for r in kept.select("doc_id").collect()}
         assert 9999 in ids
         assert len(ids) >= 150
+
+
+def plain_raking(cells, targets, bound=math.inf):
+    """cells: {(source, lang): tokens}; the loop over every cell, dimension by dimension."""
+    weight = dict.fromkeys(cells, 1.0)
+    total = sum(cells.values())
+    for _ in range(mixing.ROUNDS):
+        worst = 0.0
+        for i, wanted in enumerate(targets):
+            has = Counter()
+            for cell, tokens in cells.items():
+                has[cell[i]] += tokens * weight[cell] / total
+            worst = max(worst, *(abs(has[c] - s) for c, s in wanted.items()))
+            weight = {c: min(w * wanted[c[i]] / has[c[i]], bound) for c, w in weight.items()}
+        if worst < mixing.TOLERANCE:
+            break
+    return weight
+
+
+def plain_probabilities(cells, weight, size):
+    """c by bisection on the expected tokens."""
+    goal, low, high = size * sum(cells.values()), 0.0, 1e9
+    for _ in range(200):
+        c = (low + high) / 2
+        got = sum(t * min(1, c * weight[cell]) for cell, t in cells.items())
+        low, high = (c, high) if got < goal else (low, c)
+    return {cell: min(1, low * w) for cell, w in weight.items()}
+
+
+@pytest.mark.parametrize("max_cells", [1000, 0])
+@pytest.mark.parametrize(("size", "bound"), [(0.05, None), (0.3, None), (0.8, None), (0.3, 1.4)])
+def test_probabilities_equal_a_plain_loop(spark, max_cells, size, bound):
+    table = mixture(spark)
+    got = mixing.weights(table, TARGETS, size, bound, max_cells).collect()
+    cells = {(r._at_source, r._at_lang): r.tokens for r in got}
+    wanted = [{"a": 0.5, "b": 0.2, "other": 0.3}, {"en": 0.7, "fr": 0.3}]
+    weight = plain_raking(cells, wanted, bound or math.inf)
+    expected = plain_probabilities(cells, weight, size)
+    assert {(r._at_source, r._at_lang): r.weight for r in got} == pytest.approx(weight, rel=1e-9)
+    assert {(r._at_source, r._at_lang): r.probability for r in got} == pytest.approx(expected, rel=1e-6)
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(size * sum(cells.values()), rel=1e-9)
+
+
+def test_missed_shares_are_reported(spark):
+    table = mixing.weights(starved(spark), TARGETS, 0.1)
+    got = {(r.dimension, r.category): r for r in mixing.shares(table, TARGETS).collect()}
+    assert got["source", "a"].wanted == pytest.approx(0.5) and got["source", "a"].expected < 0.01
+    assert got["lang", "fr"].wanted == pytest.approx(0.3) and got["lang", "fr"].tokens == 2
+    for dimension in TARGETS:
+        rows = [r for (d, _), r in got.items() if d == dimension]
+        assert sum(r.wanted for r in rows) == pytest.approx(1) and sum(r.expected for r in rows) == pytest.approx(1)
+    exact = mixing.shares(mixing.weights(mixture(spark), TARGETS), TARGETS).collect()
+    assert len(exact) == 5 and all(r.expected == pytest.approx(r.wanted, rel=1e-6) for r in exact)
+
+
+def test_contradicting_targets_and_sizes_end(spark):
+    # "fr" occurs in the dropped source "a" only
+    targets = {"source": {"a": 0.0, "b": 1.0}, "lang": {"en": 0.5, "fr": 0.5}}
+    for size in (None, 0.1, 1.0):
+        rows = mixing.weights(starved(spark).filter("source <> 'c'"), targets, size).collect()
+        assert len(rows) == 2 and all(0 <= r.probability <= 1 for r in rows)
+        assert any(r.probability > 0 for r in rows)
+    with pytest.raises(ValueError):
+        mixing.weights(starved(spark), targets, 1.5)
