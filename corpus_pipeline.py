@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stepwell.llm import bpe, mixing, quality, simhash
-from stepwell.llm.queries import TARGETS
+from stepwell.llm.queries import MIX_SIZE, TARGETS
 from stepwell.plans.scratch import materialize
 
 #: SQL expresses neither the n-gram model nor the byte-pair merges; tests/llm checks each stage.
@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow the target shares of source, language and topic."""
-    return mixing.mixed(docs, TARGETS)
+    return mixing.mixed(docs, TARGETS, MIX_SIZE)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
