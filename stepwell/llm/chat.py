@@ -2,10 +2,11 @@
 
 Every turn costs tokens; prefix sums of them place the turns of a conversation. A window's own
 turns are the ones that lie inside one stretch of ``budget`` minus the system turn and the
-history. A turn that crosses the end of a stretch is a window of its own. So windows are aligned to
-turns, follow from the prefix sums alone, and never exceed the budget unless a single turn does.
-Each window starts with the conversation's system turn and repeats the last turns before its own
-that fit in ``history`` tokens. Loss falls on the assistant texts of a window's own turns only:
+history (or half of what the system turn leaves, if that is more). A turn that crosses the end of a
+stretch is a window of its own. Each window starts with the conversation's system turn and repeats
+the last turns before its own that fit in ``history`` tokens and in what system turn and own turns
+leave of the budget. So windows are aligned to turns, follow from the prefix sums alone, and exceed
+the budget only where a single turn with the system turn does; such a window repeats nothing. Loss falls on the assistant texts of a window's own turns only:
 repeated ones are masked, so every assistant text is a target once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside roles and texts, a backslash is put
@@ -136,19 +137,24 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFra
     the text, how many of its first turns are repeated, and the spans (start, end) under the loss."""
     if not 0 <= history < budget:
         raise ValueError("history must be smaller than the budget")
-    room = F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(1))
+    left = F.lit(budget) - F.col("system_tokens")
+    room = F.greatest(left - history, F.floor(left / 2), F.lit(1))
     at = placed(turns).withColumn("stretch", F.floor(F.col("before") / room))
-    at = at.withColumn(
-        "window",
-        F.col("stretch") * 2 + (F.floor((F.col("before") + F.col("tokens") - 1) / room) > F.col("stretch")).cast("int"),
-    )
+    crosses = F.floor((F.col("before") + F.col("tokens") - 1) / room) > F.col("stretch")
+    # the system turn stands in window 0, so the first turn after it does as well
+    at = at.withColumn("window", F.col("stretch") * 2 + (crosses & (F.col("before") > 0)).cast("int"))
     own = at.select("conv_id", "window", "ordinal", "role", "text", F.lit(False).alias("repeated"))
     used = own
     if history:
         begun = (
-            at.filter("not is_system").groupBy("conv_id", "window").agg(F.min("before").alias("begin"))
+            at.filter("not is_system").groupBy("conv_id", "window")
+            .agg(
+                F.min("before").alias("begin"),
+                F.least(F.lit(history), F.lit(budget) - F.first("system_tokens") - F.sum("tokens")).alias("reach"),
+            )
+            .filter("reach > 0")
             .select(
-                F.col("conv_id").alias("_conv"), F.col("window").alias("_window"), "begin",
+                F.col("conv_id").alias("_conv"), F.col("window").alias("_window"), "begin", "reach",
                 F.floor(F.col("begin") / history).alias("cell"),
             )
         )
@@ -161,7 +167,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFra
         repeated = again.join(
             begun,
             again["conv_id"].eqNullSafe(begun["_conv"]) & (again["_cell"] == begun["cell"])
-            & (begun["begin"] >= again["ends"]) & (begun["begin"] - history <= again["before"]),
+            & (begun["begin"] >= again["ends"]) & (begun["begin"] - begun["reach"] <= again["before"]),
         ).select("conv_id", F.col("_window").alias("window"), "ordinal", "role", "text", F.lit(True).alias("repeated"))
         used = own.unionByName(repeated)
     grouped = used.groupBy("conv_id", "window").agg(

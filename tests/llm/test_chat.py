@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -57,19 +58,42 @@ def test_read_back(spark, monkeypatch, budget, history):
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == expected(rows)
     chars = windows.groupBy("conv_id").agg(F.sum(F.char_length("formatted")).alias("n")).collect()
     assert {(r.conv_id, r.n) for r in chars} == {(r.conv_id, r.formatted_chars) for r in got.collect()}
-    tokens = spark.createDataFrame([(t or "",) for *_, t in rows], "text string")
     for w in windows.collect():
         turns = chat.parse_turns(w.formatted)
         if w.conv_id in (11, 13, 15):
             assert turns[0] == ("system", "be brief") and [r for r, _ in turns].count("system") == 1
-        cost = sum(len(t.split()) + chat.TURN_TOKENS for _, t in turns)
         own = turns[w.n_repeated :]
-        assert cost <= budget or len(own) == 1 or w.conv_id == -1
+        keeps_budget(turns, own, budget)
         assert len(w.loss) == sum(r == "assistant" for r, _ in own)
-    assert tokens.count() == len(rows)
     if history == 15:
         assert any(w.n_repeated > 1 for w in windows.collect())
 
 
+def keeps_budget(turns, own, budget):
+    """Beyond the budget there is one turn besides the system turn and nothing repeated."""
+    cost = sum(len(re.findall(r"\w+|[^\s\w]", t)) + chat.TURN_TOKENS for _, t in turns)
+    assert cost <= budget or sum(r != "system" for r, _ in turns) == 1
+    assert any(r != "system" for r, _ in own) or len(turns) == 1
+
+
+def test_windows_keep_the_budget_beside_long_turns(spark):
+    budget, history = 256, 64
+    said = {1: [20, 20, 200, 3], 2: [20, 100, 55, 200, 20, 190, 3, 60, 59, 247], 3: [251, 3, 240, 9, 300, 3], 4: [5] * 90}
+    rows = [
+        (conv * 1000 + system, turn, "assistant" if turn % 2 == 0 else "user", "w " * n)
+        for conv, sizes in said.items() for system in (0, 12, 190, 230, 250, 400) for turn, n in enumerate(sizes, 1)
+    ]
+    heads = [(conv * 1000 + n, 0, "system", "s " * n) for conv in said for n in (12, 190, 230, 250, 400)]
+    windows = chat.windows(table(spark, [*rows, *heads]), budget=budget, history=history).cache()
+    for w in windows.collect():
+        turns = chat.parse_turns(w.formatted)
+        keeps_budget(turns, turns[w.n_repeated :], budget)
+        assert [r for r, _ in turns].count("system") == (w.conv_id % 1000 > 0)
+    by_first = {(w.conv_id, chat.parse_turns(w.formatted)[-1][1].count("w")): w for w in windows.collect()}
+    assert by_first[1000, 200].n_repeated == 2  # 25 + 25 + 205 tokens
+    assert by_first[1012, 200].n_repeated == 2  # the system turn and 25 + 17 + 205 tokens
+    assert sorted((tuple(r)[:5] for r in chat.read_back(windows).collect()), key=str) == expected([*rows, *heads])
+
+
 def test_an_empty_table(spark):
     assert chat.read_back(chat.windows(table(spark, []))).count() == 0
