@@ -1,6 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is a sequence of units: words, longer ones cut every ``UNIT_CHARS`` characters. Of all
+A text is a sequence of units: words, and of unbroken stretches beyond ``UNIT_CHARS`` characters
+(text of scripts without spaces, encoded data) the characters. So no unit depends on where a stretch
+begins. Of all
 runs of ``k`` units, a closed syncmer is one whose smallest run of ``s`` units (by hash) is its
 first or its last. That depends on nothing outside the run, so an edit changes only the runs that
 overlap it, and the anchors of unchanged passages stay the same in any context. The anchors, with
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-UNIT_CHARS = 8
+UNIT_CHARS = 24
 K, S = 5, 2
 
 
 def units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{UNIT_CHARS}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?<!\S)\S{{1,{UNIT_CHARS}}}+(?!\S)|\S"), F.lit(0))
 
 
 def with_anchors(df: DataFrame, text: str, out: str, k: int = K, s: int = S) -> DataFrame:

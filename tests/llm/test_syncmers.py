@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from stepwell.llm import syncmers
 
@@ -56,6 +58,72 @@ def test_anchors_do_not_depend_on_context(spark):
     assert hits and {h.right - h.left for h in hits} == {3}
 
 
+def test_units_are_words_or_the_characters_of_long_stretches(spark):
+    long = "x" * syncmers.UNIT_CHARS
+    texts = [f"a  bc\t{long}\n{long}yz d", "你好\u3000" + "天地" * 20, "", " ", "\U0001f600" * 30]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.u for r in table.select(syncmers.units(F.col("text")).alias("u")).collect()]
+    assert got[0] == ["a", "bc", long, *long, "y", "z", "d"]
+    assert "".join(got[1]) == texts[1] and set(map(len, got[1])) == {1}
+    assert got[2:] == [[], [], ["\U0001f600"] * 30]
+
+
+def test_an_insertion_in_unspaced_text_changes_few_anchors(spark):
+    rng = random.Random(6)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(2000))
+    encoded = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(2000))
+    for whole in (text, encoded):
+        near = whole[:7] + "字" + whole[7:]
+        table = spark.createDataFrame([(whole, near, whole[::-1])], "a string, b string, c string")
+        for c in "abc":
+            table = syncmers.with_anchors(table, c, f"_{c}")
+        row = table.select(
+            syncmers.likeness(F.col("_a.hash"), F.col("_b.hash")).alias("near"),
+            syncmers.likeness(F.col("_a.hash"), F.col("_c.hash")).alias("far"),
+        ).head()
+        assert row.near >= 0.98 and row.far <= 0.1
+
+
+def plain_likeness(spark, pairs):
+    """Dice over the distinct closed syncmers of both texts, from the definition."""
+    rows = []
+    for a, b in pairs:
+        rows.append([])
+        for text in (a, b):
+            words = text.split()
+            assert all(len(w) <= syncmers.UNIT_CHARS for w in words)
+            rows[-1].append(words)
+    grams = {tuple(w[i : i + 2]) for pair in rows for w in pair for i in range(len(w) - 1)}
+    table = spark.createDataFrame([(list(g), *g) for g in grams], "g array<string>, a string, b string")
+    h = {tuple(r.g): r.h for r in table.select("g", F.xxhash64("a", "b").alias("h")).collect()}
+
+    def anchors(w):
+        runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        inner = [[h[r[i : i + 2]] for i in range(4)] for r in runs]
+        return {r for r, x in zip(runs, inner, strict=True) if min(x) in (x[0], x[3])} or ({tuple(w)} if w else set())
+
+    out = []
+    for a, b in rows:
+        a, b = anchors(a), anchors(b)
+        out.append(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+    return out
+
+
+def test_likeness_equals_the_definition(spark, docs):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 3, 6, 40, 200])))) for i in range(40)]
+    falling = sorted(texts, reverse=True)
+    pairs = []
+    for at, (_, text) in enumerate(falling):
+        following, cut = falling[(at + 1) % len(falling)][1], len(text) // 3
+        pairs += [(text, text[: len(text) - cut] + following[:cut]), (text, following)]
+    wanted = plain_likeness(spark, pairs)
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in syncmers.compare_with_edits(docs(*texts)).collect()}
+    for at, (i, _) in enumerate(falling):
+        assert got[i] == pytest.approx((wanted[2 * at], wanted[2 * at + 1]))
+
+
 def test_closed_syncmers_by_definition(spark):
     table = spark.createDataFrame([(" ".join(f"u{i * 7 % 31}" for i in range(40)),)], "text string")
     found = {x.position for x in syncmers.with_anchors(table, "text", "a").head().a}
