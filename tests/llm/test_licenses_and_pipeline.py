@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import textwrap
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -13,7 +16,8 @@ from stepwell.plans.scratch import materialize
 from .conftest import ODD
 
 SF = "/root/testdata/sf0.001"
-MIT = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 100)
+MIT = next(body for n, _, body in licenses.LICENSES if n == "MIT")
+PUBLISHED = Path("/usr/share/common-licenses")
 
 
 def test_whole_texts_and_lines(spark, docs, monkeypatch):
@@ -36,6 +40,49 @@ def test_whole_texts_and_lines(spark, docs, monkeypatch):
     assert licenses.scan(docs(*ODD).limit(0), licenses.known_licenses(spark)).count() == 0
 
 
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_published_files_in_any_line_wrap(spark, docs):
+    names, texts = [], []
+    statements = [
+        "Copyright (c) 2024 Somebody", "Copyright \u00a9 2019-2024, The Authors. All rights reserved.",
+        "Copyright (c) <year> <holder>\nCopyright 2001 by Another\nAll rights reserved.", "(c) 2020 Us", "",
+        "Copyright [yyyy] [name]", "  * Copyright by the authors",
+    ]
+    for name, titles, body in licenses.LICENSES:
+        for at, title in enumerate(["", *titles]):
+            for width in (30, 47, 72, 10_000):
+                names.append(name)
+                texts.append(f"{title}\n\n{statements[(at + width) % len(statements)]}\n\n{wrapped(body, width)}\n")
+    before_notice = re.sub(r" (copyright (?:notice|holders))", r"\n\1", MIT, flags=re.I)
+    assert before_notice.count("\n") > MIT.count("\n")
+    rows = licenses.scan(docs(*texts, before_notice), licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [*names, "MIT"]
+
+
+def test_texts_that_differ_in_a_word_are_no_licence(spark, docs):
+    texts = [MIT.replace("hereby ", ""), MIT + " And more.", MIT.replace("copyright notice", "notice"), MIT[:-40]]
+    assert {r.license for r in licenses.scan(docs(*texts), licenses.known_licenses(spark)).collect()} == {None}
+    kept = docs("Copyright notice of the house", "copyright law is old", "Copyright 2020 Us\nprose").select(
+        licenses.one_line(licenses.canonical_lines(F.col("text")))
+    )
+    assert [r[0] for r in kept.collect()] == ["copyright notice of the house", "copyright law is old", "prose"]
+
+
+@pytest.mark.skipif(not PUBLISHED.is_dir(), reason="no published licence files on this machine")
+def test_long_licences_by_digest(spark, docs):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    texts, names = [], []
+    for file, name in files.items():
+        text = (PUBLISHED / file).read_text()
+        texts += [text, text.upper(), text.split("END OF TERMS AND CONDITIONS")[0], text.replace("\n\n", "\n \n\n")]
+        names += [name] * 4
+    rows = licenses.scan(docs(*texts), licenses.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == names
+
+
 @pytest.mark.parametrize("name", llm_oracles())
 def test_query_equals_its_sql(spark, name):
     assert differences(spark, connect(SF), SF, llm_queries()[name], llm_oracles()[name]) == []
