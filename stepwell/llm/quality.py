@@ -1,31 +1,35 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
 The model predicts characters (code points, case kept) from the ORDER - 1 before them; a boundary
-stands before and after each text. It is trained on a sample of trusted texts. Tasks add up their
-n-grams before anything is shuffled; counts of all orders are sharded by n-gram, and joins of these
-shards with those of their contexts and of the next lower order give the discounted, interpolated
-probabilities. Below order 1 every code point is equally likely, so scripts that the trusted texts
-do not have cost what they are worth. The sample bounds the model: it is halved until it has at
-most ``MAX_GRAMS`` n-grams of the highest order, so the table that scores documents where they lie is
-bounded as well, whatever the corpus.
+stands before and after each text. Every trusted text counts: texts fall into two halves by hash, and
+there is a model for each half, trained on all trusted texts of the other one. So no text is scored by
+a model that has seen it, and equal texts have equal scores. Tasks add up their n-grams before
+anything is shuffled; counts of all orders are sharded by n-gram, and joins of these shards with those
+of their contexts and of the next lower order give the discounted, interpolated probabilities. Below
+order 1 every code point is equally likely, so scripts that the trusted texts do not have cost what
+they are worth.
+
+Orders of at most ``MAX_GRAMS`` n-grams are broadcast whole, and texts are scored where they lie. Of a
+highest order with more, only the most frequent n-grams are broadcast: each text's other n-grams are
+joined with the tables of the orders that are not broadcast. Both ways give the same perplexities.
 
 A document is rejected if its perplexity exceeds its threshold, a quantile of the perplexities of
-its language's trusted documents, all of them but those trained on. Long texts vary less than short
-ones, so a language has a threshold per length class (twice the characters, the next class) where it
-has enough trusted documents to have that quantile, and one for its other classes.
+all trusted documents of its language. Long texts vary less than short ones, so a language has a
+threshold per length class (twice the characters, the next class) where it has enough trusted
+documents to have that quantile, and one for its other classes.
 
 Defined cases: a null text counts as empty (its end is predicted after the start); U+0000 and
 U+0002 inside a text read as the boundary; a null language is a language of its own; a language
-without trusted documents outside the sample has no threshold and keeps all its documents; without
-any trusted text every character is equally likely. Labels with a null id are ignored, repeated
-labels count once and a document is trusted only if all its labels say so. Repeated rows give a row
-each; extra columns stay; an empty table gives an empty result.
+without trusted documents has no threshold and keeps all its documents; for a half whose model has no
+trusted text every character is equally likely. Labels with a null id are ignored, repeated labels
+count once and a document is trusted only if all its labels say so. Repeated rows give a row each;
+extra columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -36,10 +40,12 @@ from ..plans.scratch import materialize
 from .common import small_batches, text_or_empty
 
 ORDER = 6
-#: Training texts: a sample of trusted documents of about this many, at most half of them.
-MAX_TRUSTED = 10_000
-#: n-grams of the highest order in the model; the sample is halved while there are more.
-MAX_GRAMS = 1 << 20
+#: n-grams of an order that are broadcast; the others are joined.
+MAX_GRAMS = 1 << 22
+#: n-grams that a task adds up before it hands them on.
+HELD_GRAMS = 1 << 21
+#: Ids of trusted documents that are broadcast; more are joined by a shuffle.
+MAX_IDS = 1 << 22
 QUANTILE = 0.995
 #: A language's threshold is broadcast while there are at most this many languages.
 MAX_LANGUAGES = 10_000
@@ -49,6 +55,8 @@ CODE_POINTS = 0x110000
 BOUNDARY = 2
 #: An n-gram's key is the polynomial of its code points in this odd number, modulo 2 ** 64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Keys of the second half's model are changed by this number, so both models share a table.
+SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def symbols(text: str) -> np.ndarray:
@@ -92,44 +100,101 @@ def keys(codes: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def count_n_grams(docs: DataFrame) -> DataFrame:
-    """``(gram, n)``: the strings of ORDER symbols of all texts, added up in each task before the
-    shuffle."""
+def half() -> Column:
+    """The half that a text belongs to, 0 or 1, by hash."""
+    return F.xxhash64(text_or_empty()).bitwiseAND(1).cast("int")
+
+
+def count_n_grams(docs: DataFrame, model: Column | None = None) -> DataFrame:
+    """``(model, gram, n)``: the strings of ORDER symbols of all texts, added up in each task before
+    the shuffle; ``model`` tells whose counts a text adds to (0 for all texts without it)."""
     small_batches(docs.sparkSession)
 
+    def added(held: list[tuple]) -> tuple:
+        which, key, n, grams = (np.concatenate(x) for x in zip(*held))
+        order, starts = _distinct(_salted(key, which))
+        first = order[starts]
+        return which[first], key[first], np.add.reduceat(n[order], starts), grams[first]
+
+    def rows(which: np.ndarray, key: np.ndarray, n: np.ndarray, grams: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, n.size, PIECE):
+            part = slice(at, at + PIECE)
+            yield pd.DataFrame({"model": which[part], "gram": grams[part].astype(object), "n": n[part]})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
+            models = batch["model"].to_numpy(np.int32)
             for codes, owner in pieces(batch["text"].to_numpy()):
                 ends = np.flatnonzero(owner >= 0)
-                _, first, n = np.unique(keys(codes)[ORDER][ends], return_index=True, return_counts=True)
+                key, which = keys(codes)[ORDER][ends], models[owner[ends]]
+                order, starts = _distinct(_salted(key, which))
+                first, n = order[starts], np.diff(starts, append=order.size)
                 at = ends[first][:, None] + np.arange(1 - ORDER, 1)
                 grams = np.ascontiguousarray(codes[at]).view(f"<U{ORDER}").ravel()
-                yield pd.DataFrame({"gram": grams.astype(object), "n": n})
-
-    parts = docs.select(text_or_empty().alias("text")).mapInPandas(count, "gram string, n long")
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
+                held.append((which[first], key[first], n, grams))
+                size += n.size
+                if size > 2 * HELD_GRAMS:
+                    held = [added(held)]
+                    size = held[0][2].size
+                    if size > HELD_GRAMS:
+                        yield from rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(*added(held))
+
+    texts = docs.select(text_or_empty().alias("text"), (F.lit(0) if model is None else model).alias("model"))
+    # The fewer tasks, the fewer rows for one n-gram; their number follows the cluster.
+    texts = texts.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    parts = texts.mapInPandas(count, "model int, gram string, n long")
+    return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts the keys, and where each distinct one begins in it."""
+    order = np.argsort(key)  # np.unique sorts stably, which takes three times as long
+    new = np.ones(key.size, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
+def _salted(key: np.ndarray, model: np.ndarray) -> np.ndarray:
+    return key ^ (model.astype(np.uint64) * SALT)
+
+
+def _discounts(counts: DataFrame) -> dict[int, list[float]]:
+    """Per model the modified Kneser-Ney discounts for counts of 1, 2 and 3 or more."""
+    of = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    found = {}
+    for model, n1, n2, n3, n4 in counts.groupBy("model").agg(*of).collect():  # two rows at most
+        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+        found[model] = [
+            min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a else 0.5 * i
+            for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1)
+        ]
+    return found
 
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more."""
-    row = counts.agg(*[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]).head()
-    n1, n2, n3, n4 = row
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    found = []
-    for i, (a, b) in enumerate(((n1, n2), (n2, n3), (n3, n4)), 1):
-        found.append(min(max(i - (i + 1) * y * b / a, 0.1), i - 0.05) if a else 0.5 * i)
-    return found
+def _discount(counts: DataFrame) -> Column:
+    chosen = F.lit(0.0)
+    for model, (d1, d2, d3) in _discounts(counts).items():
+        own = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        chosen = F.when(F.col("model") == model, own).otherwise(chosen)
+    return chosen
 
 
 @dataclass
 class Level:
     """n-grams of one order, sorted by key, with their log10 probability, and their contexts, sorted
-    by key, with the log10 share they leave to the next lower order."""
+    by key, with the log10 share they leave to the next lower order. An order of more than
+    ``MAX_GRAMS`` has tables of all of them, ``(model, gram, p)`` and ``(model, context, left_over)``;
+    its arrays hold no contexts, and only the highest order's hold n-grams, the most frequent."""
 
     grams: np.ndarray
     log_p: np.ndarray
     contexts: np.ndarray
     log_left: np.ndarray
+    tables: tuple[DataFrame, DataFrame] | None = None
 
 
 def _collected(rows: DataFrame, text: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -142,46 +207,64 @@ def _collected(rows: DataFrame, text: str, value: str) -> tuple[np.ndarray, np.n
             if codes:  # strings of one order are of one length, which may be zero
                 last = np.stack(codes)[:, ::-1].astype(np.uint64) + np.uint64(1)
                 powers = [pow(int(BASE), n, 1 << 64) for n in range(last.shape[1])]
-                keyed.append((last * np.array(powers, np.uint64)).sum(axis=1, dtype=np.uint64))
+                key = (last * np.array(powers, np.uint64)).sum(axis=1, dtype=np.uint64)
+                keyed.append(_salted(key, batch["model"].to_numpy()))
                 logs.append(np.log10(batch["value"].to_numpy()).astype(np.float32))
         if keyed:
             yield pd.DataFrame({"key": [np.concatenate(keyed).tobytes()], "log": [np.concatenate(logs).tobytes()]})
 
-    few = rows.select(F.col(text).alias("text"), F.col(value).alias("value"))
+    few = rows.select("model", F.col(text).alias("text"), F.col(value).alias("value"))
     parts = few.mapInPandas(packed, "key binary, log binary").collect()  # a row per task
     key = np.frombuffer(b"".join(bytes(r.key) for r in parts), np.uint64)
     order = np.argsort(key)
     return key[order], np.frombuffer(b"".join(bytes(r.log) for r in parts), np.float32)[order]
 
 
+def _frequent(rows: DataFrame) -> DataFrame:
+    """The n-grams that occur at least so often that there are at most ``MAX_GRAMS``."""
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = dict(rows.groupBy(power).count().collect())  # 64 rows at most
+    least, many = 64, 0
+    while least and many + sizes.get(least - 1, 0) <= MAX_GRAMS:
+        least -= 1
+        many += sizes.get(least, 0)
+    return rows.filter(power >= least)
+
+
 def kneser_ney(counts: DataFrame) -> list[Level]:
-    """The model's levels, order 1 first, from ``counts`` (gram, n) of the highest order."""
+    """The levels, order 1 first, from ``counts`` (model, gram, n) of the highest order."""
     tables = [counts]  # lower orders count distinct predecessors
     for _ in range(ORDER - 1):
-        shorter = tables[-1].groupBy(F.expr("substring(gram, 2)").alias("gram"))
+        shorter = tables[-1].groupBy("model", F.expr("substring(gram, 2)").alias("gram"))
         tables.append(materialize(shorter.agg(F.count("*").alias("n"))))
     found: list[Level] = []
     lower = None
     for order, level in enumerate(reversed(tables), 1):
-        d1, d2, d3 = _discounts(level)
         n = F.col("n")
-        discount = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
-        keyed = level.withColumn("context", F.expr(f"substring(gram, 1, {order - 1})")).withColumn("discount", discount)
+        keyed = level.withColumn("context", F.expr(f"substring(gram, 1, {order - 1})"))
+        keyed = keyed.withColumn("discount", _discount(level))
         contexts = materialize(
-            keyed.groupBy("context").agg(
+            keyed.groupBy("model", "context").agg(
                 F.sum("n").alias("total"), (F.sum("discount") / F.sum("n")).alias("left_over")
             )
         )
-        own = keyed.join(contexts, "context").withColumn("own", (n - F.col("discount")) / F.col("total"))
+        own = keyed.join(contexts, ["model", "context"]).withColumn("own", (n - F.col("discount")) / F.col("total"))
         if lower is None:
             joined = own.withColumn("below", F.lit(1.0 / CODE_POINTS))
         else:
             joined = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(
-                lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix"
+                lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["model", "suffix"]
             )
         p = F.col("own") + F.col("left_over") * F.col("below")
-        lower = materialize(joined.select("gram", p.alias("p")))
-        found.append(Level(*_collected(lower, "gram", "p"), *_collected(contexts, "context", "left_over")))
+        lower = materialize(joined.select("model", "gram", "n", p.alias("p")))
+        if lower.count() <= MAX_GRAMS:
+            found.append(Level(*_collected(lower, "gram", "p"), *_collected(contexts, "context", "left_over")))
+            continue
+        hot = np.empty(0, np.uint64), np.empty(0, np.float32)
+        if order == ORDER:
+            hot = _collected(_frequent(lower), "gram", "p")
+        none = np.empty(0, np.uint64), np.empty(0, np.float32)
+        found.append(Level(*hot, *none, (lower.drop("n"), contexts.drop("total"))))
     return found
 
 
@@ -193,40 +276,126 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_keys[at] == wanted
 
 
-def log_probabilities(model: list[Level], codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """log10 probability of the symbols at ``ends`` after the ORDER - 1 before each."""
-    key = keys(codes)
-    _, first, where = np.unique(key[ORDER][ends], return_index=True, return_inverse=True)
-    places = ends[first]  # one place of each distinct n-gram
+def _whole(model: list[Level]) -> int:
+    """The highest order up to which all n-grams are broadcast."""
+    return sum(level.tables is None for level in model)  # a higher order never has fewer
+
+
+def _log_p(model: list[Level], key: list[np.ndarray], places: np.ndarray, of: np.ndarray, top: int) -> np.ndarray:
+    """log10 probability, by the orders up to ``top``, of the symbols at ``places``; ``of`` tells the
+    model of each."""
     log_p = np.zeros(places.size)
     left = np.arange(places.size)  # those not found in any higher order
-    for n in range(ORDER, 0, -1):
+    for n in range(top, 0, -1):
         level = model[n - 1]
-        at, known = _find(level.grams, key[n][places[left]])
+        at, known = _find(level.grams, _salted(key[n][places[left]], of[left]))
         log_p[left[known]] += level.log_p[at[known]]
         left = left[~known]
-        at, known = _find(level.contexts, key[n - 1][places[left] - 1])
+        at, known = _find(level.contexts, _salted(key[n - 1][places[left] - 1], of[left]))
         log_p[left[known]] += level.log_left[at[known]]
     log_p[left] -= np.log10(CODE_POINTS)
-    return log_p[where]
+    return log_p
 
 
-def with_perplexity(docs: DataFrame, model: list[Level]) -> DataFrame:
-    """``docs`` with ``perplexity`` per symbol."""
+def with_perplexity(docs: DataFrame, model: list[Level], of: Column | None = None) -> DataFrame:
+    """``docs`` with ``perplexity`` per symbol, by the model that ``of`` tells (0 without it)."""
     small_batches(docs.sparkSession)
+    of = F.lit(0) if of is None else of
+    if _whole(model) < len(model):
+        return _with_joined_perplexity(docs, model, of)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def perplexity(texts: pd.Series) -> pd.Series:
+    def perplexity(texts: pd.Series, of: pd.Series) -> pd.Series:
         total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        models = of.to_numpy()
         for codes, owner in pieces(texts.to_numpy()):
             ends = np.flatnonzero(owner >= 0)
-            log_p = log_probabilities(shared.value, codes, ends)
-            total += np.bincount(owner[ends], log_p, len(texts))
-            count += np.bincount(owner[ends], minlength=len(texts))
+            key, own = keys(codes), owner[ends]
+            which = models[own]
+            order, starts = _distinct(_salted(key[ORDER][ends], which))
+            first = order[starts]
+            log_p = _log_p(shared.value, key, ends[first], which[first], ORDER)
+            total += np.bincount(own[order], np.repeat(log_p, np.diff(starts, append=order.size)), len(texts))
+            count += np.bincount(own, minlength=len(texts))
         return pd.Series(10 ** (-total / np.maximum(count, 1)))
 
-    return docs.withColumn("perplexity", perplexity(text_or_empty()))
+    return docs.withColumn("perplexity", perplexity(text_or_empty(), of))
+
+
+def _with_joined_perplexity(docs: DataFrame, model: list[Level], of: Column) -> DataFrame:
+    """:func:`with_perplexity` for a model too large to broadcast. Frequent n-grams are priced where
+    the texts lie, each text's others by joins; texts are known by their digest."""
+    top = _whole(model)
+    shared = docs.sparkSession.sparkContext.broadcast([replace(level, tables=None) for level in model])
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            models = batch["model"].to_numpy()
+            digests = batch["digest"].to_numpy()
+            for codes, owner in pieces(batch["text"].to_numpy()):
+                ends = np.flatnonzero(owner >= 0)
+                key, own = keys(codes)[ORDER][ends], owner[ends]
+                at, hot = _find(shared.value[-1].grams, _salted(key, models[own]))
+                texts = np.unique(own)
+                yield pd.DataFrame({
+                    "digest": digests[texts],
+                    "model": models[texts],
+                    "gram": None,
+                    "log": np.bincount(own[hot], shared.value[-1].log_p[at[hot]], len(batch))[texts],
+                    "n": np.bincount(own, minlength=len(batch))[texts],
+                })
+                cold = np.flatnonzero(~hot)
+                by_text = np.lexsort((key[cold], own[cold]))
+                cold = cold[by_text]
+                if cold.size:
+                    new = np.ones(cold.size, bool)
+                    new[1:] = (key[cold[1:]] != key[cold[:-1]]) | (own[cold[1:]] != own[cold[:-1]])
+                    first = np.flatnonzero(new)
+                    symbols_at = ends[cold[first]][:, None] + np.arange(1 - ORDER, 1)
+                    grams = np.ascontiguousarray(codes[symbols_at]).view(f"<U{ORDER}").ravel()
+                    yield pd.DataFrame({
+                        "digest": digests[own[cold[first]]],
+                        "model": models[own[cold[first]]],
+                        "gram": grams.astype(object),
+                        "log": 0.0,
+                        "n": np.diff(np.append(first, cold.size)),
+                    })
+
+    @F.pandas_udf("double")
+    def broadcast_orders(grams: pd.Series, of: pd.Series) -> pd.Series:
+        codes = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.arange(ORDER - 1, codes.size, ORDER)
+        return pd.Series(_log_p(shared.value, keys(codes), ends, of.to_numpy(), top))
+
+    digest = F.sha2(text_or_empty(), 256)
+    texts = docs.select(digest.alias("digest"), text_or_empty().alias("text"), of.alias("model"))
+    found = materialize(texts.mapInPandas(lines, "digest string, model int, gram string, log double, n long"))
+    cold = found.filter("gram is not null")
+    priced = cold.select("model", "gram").distinct()
+    priced = priced.withColumn("price", broadcast_orders("gram", "model"))
+    for n in range(top + 1, ORDER + 1):
+        grams, contexts = model[n - 1].tables
+        ending = F.expr(f"substring(gram, {ORDER - n + 1})")
+        before = F.expr(f"substring(gram, {ORDER - n + 1}, {n - 1})")
+        known = grams.select("model", F.col("gram").alias("ending"), F.log10("p").alias("known"))
+        left = contexts.select("model", F.col("context").alias("before"), F.log10("left_over").alias("left"))
+        priced = (
+            priced.withColumn("ending", ending).withColumn("before", before)
+            .join(known, ["model", "ending"], "left").join(left, ["model", "before"], "left")
+            .withColumn("price", F.coalesce("known", F.coalesce("left", F.lit(0.0)) + F.col("price")))
+            .select("model", "gram", "price")
+        )
+    joined = cold.join(priced, ["model", "gram"]).select(
+        "digest", "model", (F.col("price") * F.col("n")).alias("log"), F.lit(0).cast("long").alias("n")
+    )
+    hot = found.filter("gram is null").select("digest", "model", "log", "n")
+    # A text that several rows have adds up as often on either side of the division.
+    scores = hot.unionByName(joined).groupBy(F.col("digest").alias("_digest"), F.col("model").alias("_model")).agg(
+        F.pow(F.lit(10.0), -F.sum("log") / F.sum("n")).alias("perplexity")
+    )
+    same = (digest == F.col("_digest")) & (of == F.col("_model"))
+    return docs.join(scores, same).select(*[docs[c] for c in docs.columns], "perplexity")
 
 
 @dataclass
@@ -246,25 +415,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_trusted: int = MAX_TRUSTED) -> Model:
-    """Train on about ``max_trusted`` trusted documents (chosen by hash, at most half), then score
-    every document and take each language's ``quantile`` over its other trusted ones."""
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Model:
+    """Train on all trusted documents, each for the half that it is not in, then score every document
+    by its half's model and take each language's ``quantile`` over all its trusted ones."""
     trusted = materialize(trusted_ids(labels))
-    share = min(0.5, max_trusted / max(trusted.count(), 1))
-    draw = F.shiftrightunsigned(F.xxhash64("trusted_id"), 11) / float(1 << 53)
     on = F.col("doc_id").cast("long") == F.col("trusted_id")
-    while True:
-        sample = trusted.filter(draw < share)
-        texts = docs.select("doc_id", "text").join(sample, on, "left_semi")
-        counts = materialize(count_n_grams(texts))
-        if counts.count() <= MAX_GRAMS:
-            break
-        share /= 2
-    model = kneser_ney(counts)
-    scored = materialize(
-        with_perplexity(docs.select("doc_id", "lang", "text"), model).select("doc_id", "lang", band(), "perplexity")
-    )
-    return Model(model, limits(scored.join(trusted.filter(draw >= share), on, "left_semi"), quantile), scored)
+    ids = F.broadcast(trusted) if trusted.count() <= MAX_IDS else trusted
+    texts = docs.select("doc_id", "text").join(ids, on, "left_semi")
+    model = kneser_ney(materialize(count_n_grams(texts, 1 - half())))
+    rows = with_perplexity(docs.select("doc_id", "lang", "text"), model, half())
+    scored = materialize(rows.select("doc_id", "lang", band(), "perplexity"))
+    return Model(model, limits(scored.join(ids, on, "left_semi"), quantile), scored)
 
 
 def band() -> Column:
@@ -301,5 +462,5 @@ def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Data
     than joined to their scores, so no text is shuffled."""
     model = fit(docs, labels, quantile)
     own = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", band())
-    decided = classified(with_perplexity(own, model.levels), model.thresholds)
+    decided = classified(with_perplexity(own, model.levels, half()), model.thresholds)
     return decided.filter("keep").select("_row.*")
