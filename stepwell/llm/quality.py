@@ -29,7 +29,7 @@ extra columns stay; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,8 @@ from .common import small_batches, text_or_empty
 ORDER = 6
 #: n-grams of an order that are broadcast; the others are joined.
 MAX_GRAMS = 1 << 22
-#: n-grams that a task adds up before it hands them on.
-HELD_GRAMS = 1 << 21
+#: Distinct n-grams that a task holds before it hands them on.
+HELD_GRAMS = 1 << 20
 #: Ids of trusted documents that are broadcast; more are joined by a shuffle.
 MAX_IDS = 1 << 22
 QUANTILE = 0.995
@@ -51,6 +51,8 @@ QUANTILE = 0.995
 MAX_LANGUAGES = 10_000
 #: Symbols scored at once; longer texts go in pieces.
 PIECE = 1 << 18
+#: Counted n-grams handed on at once.
+ROWS = 1 << 16
 CODE_POINTS = 0x110000
 BOUNDARY = 2
 #: An n-gram's key is the polynomial of its code points in this odd number, modulo 2 ** 64.
@@ -109,39 +111,10 @@ def count_n_grams(docs: DataFrame, model: Column | None = None) -> DataFrame:
     """``(model, gram, n)``: the strings of ORDER symbols of all texts, added up in each task before
     the shuffle; ``model`` tells whose counts a text adds to (0 for all texts without it)."""
     small_batches(docs.sparkSession)
-
-    def added(held: list[tuple]) -> tuple:
-        which, key, n, grams = (np.concatenate(x) for x in zip(*held))
-        order, starts = _distinct(_salted(key, which))
-        first = order[starts]
-        return which[first], key[first], np.add.reduceat(n[order], starts), grams[first]
-
-    def rows(which: np.ndarray, key: np.ndarray, n: np.ndarray, grams: np.ndarray) -> Iterator[pd.DataFrame]:
-        for at in range(0, n.size, PIECE):
-            part = slice(at, at + PIECE)
-            yield pd.DataFrame({"model": which[part], "gram": grams[part].astype(object), "n": n[part]})
+    most = HELD_GRAMS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for batch in batches:
-            models = batch["model"].to_numpy(np.int32)
-            for codes, owner in pieces(batch["text"].to_numpy()):
-                ends = np.flatnonzero(owner >= 0)
-                key, which = keys(codes)[ORDER][ends], models[owner[ends]]
-                order, starts = _distinct(_salted(key, which))
-                first, n = order[starts], np.diff(starts, append=order.size)
-                at = ends[first][:, None] + np.arange(1 - ORDER, 1)
-                grams = np.ascontiguousarray(codes[at]).view(f"<U{ORDER}").ravel()
-                held.append((which[first], key[first], n, grams))
-                size += n.size
-                if size > 2 * HELD_GRAMS:
-                    held = [added(held)]
-                    size = held[0][2].size
-                    if size > HELD_GRAMS:
-                        yield from rows(*held[0])
-                        held, size = [], 0
-        if held:
-            yield from rows(*added(held))
+        return tallied(batches, most)
 
     texts = docs.select(text_or_empty().alias("text"), (F.lit(0) if model is None else model).alias("model"))
     # The fewer tasks, the fewer rows for one n-gram; their number follows the cluster.
@@ -150,6 +123,69 @@ def count_n_grams(docs: DataFrame, model: Column | None = None) -> DataFrame:
     return parts.groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
+def tallied(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The n-grams of a task's texts and their counts; what is held is handed on when it has more
+    than ``most`` distinct ones. Two workers share an executor with its JVM, so new n-grams are added
+    to the others as soon as they are half as many."""
+    held, size = _Held(), 0
+    for batch in batches:
+        models = batch["model"].to_numpy(np.int8)
+        for codes, owner in pieces(batch["text"].to_numpy()):
+            ends = np.flatnonzero(owner >= 0)
+            key, which = keys(codes)[ORDER][ends], models[owner[ends]]
+            key = _salted(key, which)
+            order, starts = _distinct(key)
+            first = order[starts]
+            at = ends[first][:, None] + np.arange(1 - ORDER, 1)
+            held.key.append(key[first])
+            held.n.append(np.diff(starts, append=order.size))
+            held.which.append(which[first])
+            held.grams.append(np.ascontiguousarray(codes[at]).view(f"<U{ORDER}").ravel())
+            size += first.size
+            del key, which, order, starts, first, at
+            if size > most + most // 2:
+                size = held.add_up()
+                if size > most:
+                    yield from held.rows()
+                    held, size = _Held(), 0
+    if size:
+        held.add_up()
+        yield from held.rows()
+
+
+@dataclass
+class _Held:
+    """Counted n-grams, column by column in parts: salted key, count, model and string."""
+
+    key: list[np.ndarray] = field(default_factory=list)
+    n: list[np.ndarray] = field(default_factory=list)
+    which: list[np.ndarray] = field(default_factory=list)
+    grams: list[np.ndarray] = field(default_factory=list)
+
+    def add_up(self) -> int:
+        """Make one part of each column, with one entry per n-gram. A column's old parts go before
+        the next column's are put together, so no two columns are in memory twice."""
+        self.key = [np.concatenate(self.key)]
+        order, starts = _distinct(self.key[0])
+        first = order[starts]
+        self.key = [self.key[0][first]]
+        self.n = [np.concatenate(self.n)]
+        self.n = [np.add.reduceat(self.n[0][order], starts)]
+        del order, starts
+        self.which = [np.concatenate(self.which)]
+        self.which = [self.which[0][first]]
+        self.grams = [np.concatenate(self.grams)]
+        self.grams = [self.grams[0][first]]
+        return first.size
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        which, n, grams = self.which[0], self.n[0], self.grams[0]
+        self.key = []
+        for at in range(0, n.size, ROWS):
+            part = slice(at, at + ROWS)
+            yield pd.DataFrame({"model": which[part], "gram": grams[part].astype(object), "n": n[part]})
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts the keys, and where each distinct one begins in it."""
     order = np.argsort(key)  # np.unique sorts stably, which takes three times as long
@@ -216,8 +252,10 @@ def _collected(rows: DataFrame, text: str, value: str) -> tuple[np.ndarray, np.n
     few = rows.select("model", F.col(text).alias("text"), F.col(value).alias("value"))
     parts = few.mapInPandas(packed, "key binary, log binary").collect()  # a row per task
     key = np.frombuffer(b"".join(bytes(r.key) for r in parts), np.uint64)
+    log = np.frombuffer(b"".join(bytes(r.log) for r in parts), np.float32)
+    del parts
     order = np.argsort(key)
-    return key[order], np.frombuffer(b"".join(bytes(r.log) for r in parts), np.float32)[order]
+    return key[order], log[order]
 
 
 def _frequent(rows: DataFrame) -> DataFrame:

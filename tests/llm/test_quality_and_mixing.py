@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from stepwell.llm import mixing, quality
@@ -103,6 +106,19 @@ def test_every_trusted_text_counts_for_the_other_half(spark, docs, monkeypatch,
     assert Counter(r.doc_id for r in quality.kept(table, labels).collect()) == kept
 
 
+def test_a_task_counts_any_number_of_n_grams_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0x4E00, 0x9FFF, 300_000).astype("<u4").tobytes().decode("utf-32-le") for _ in range(16)]
+    batches = (pd.DataFrame({"text": [text], "model": [i % 2]}) for i, text in enumerate(texts))
+    tracemalloc.start()
+    counted = [(rows["n"].sum(), len(rows)) for rows in quality.tallied(batches, quality.HELD_GRAMS)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in counted) == 16 * 300_001
+    assert max(size for _, size in counted) <= quality.ROWS
+    assert peak < 300e6  # two such tasks share an executor of 3000 MB, 60 % of it heap
+
+
 def test_probabilities_of_a_context_sum_to_one():
     p = plain_kneser_ney(TEXTS)
     seen = {c for t in TEXTS for c in plain_symbols(t)}
