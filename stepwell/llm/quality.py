@@ -43,7 +43,7 @@ ORDER = 6
 #: n-grams of an order that are broadcast; the others are joined.
 MAX_GRAMS = 1 << 22
 #: Distinct n-grams that a task holds before it hands them on.
-HELD_GRAMS = 1 << 20
+HELD_GRAMS = 1 << 19
 #: Ids of trusted documents that are broadcast; more are joined by a shuffle.
 MAX_IDS = 1 << 22
 QUANTILE = 0.995
