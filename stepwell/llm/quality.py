@@ -9,9 +9,11 @@ of their contexts and of the next lower order give the discounted, interpolated
 order 1 every code point is equally likely, so scripts that the trusted texts do not have cost what
 they are worth.
 
-Orders of at most ``MAX_GRAMS`` n-grams are broadcast whole, and texts are scored where they lie. Of a
-highest order with more, only the most frequent n-grams are broadcast: each text's other n-grams are
-joined with the tables of the orders that are not broadcast. Both ways give the same perplexities.
+Texts are scored where they lie. Orders of at most ``MAX_GRAMS`` n-grams are broadcast whole; those of
+at most ``MAX_MAPPED`` go to every executor as sorted files that its workers memory-map, so they take
+disk and no worker's memory. Of a highest order with more, only the most frequent n-grams are broadcast:
+each text's other n-grams are joined with the tables of the orders that executors do not have. All ways
+give the same perplexities.
 
 A document is rejected if its perplexity exceeds its threshold, a quantile of the perplexities of
 all trusted documents of its language. Long texts vary less than short ones, so a language has a
@@ -28,11 +30,17 @@ extra columns stay; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +48,11 @@ from ..plans.scratch import materialize
 from .common import small_batches, text_or_empty
 
 ORDER = 6
-#: n-grams of an order that are broadcast; the others are joined.
+#: n-grams of an order that are broadcast, so that every worker holds them.
 MAX_GRAMS = 1 << 22
+#: n-grams of an order that executors have as files, 12 bytes each and as much for their contexts at
+#: most; an order with more is joined.
+MAX_MAPPED = 1 << 27
 #: Distinct n-grams that a task holds before it hands them on.
 HELD_GRAMS = 1 << 19
 #: Ids of trusted documents that are broadcast; more are joined by a shuffle.
@@ -53,6 +64,8 @@ MAX_LANGUAGES = 10_000
 PIECE = 1 << 18
 #: Counted n-grams handed on at once.
 ROWS = 1 << 16
+#: n-grams that a task sorts for a file.
+SORTED_GRAMS = 1 << 20
 CODE_POINTS = 0x110000
 BOUNDARY = 2
 #: An n-gram's key is the polynomial of its code points in this odd number, modulo 2 ** 64.
@@ -187,10 +200,24 @@ class _Held:
 
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts the keys, and where each distinct one begins in it."""
-    order = np.argsort(key)  # np.unique sorts stably, which takes three times as long
+    """An order that puts equal keys side by side, by their first 16 bits, and where each distinct one
+    begins in it. Numbers sort faster than places, so a key's first bits, a hash of it and its place are
+    sorted as one number."""
+    place = np.uint64((1 << key.size.bit_length()) - 1)
+    packed = (key * BASE) >> np.uint64(16)
+    packed |= key & np.uint64(0xFFFF << 48)
+    packed &= ~place
+    packed |= np.arange(key.size, dtype=np.uint64)
+    packed.sort()
+    order = (packed & place).astype(np.int64)
+    found = key[order]
     new = np.ones(key.size, bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    new[1:] = found[1:] != found[:-1]
+    packed &= ~place
+    if np.any(new[1:] & (packed[1:] == packed[:-1])):  # other keys with the same hash may lie between equal ones
+        order = np.argsort(key)
+        found = key[order]
+        new[1:] = found[1:] != found[:-1]
     return order, np.flatnonzero(new)
 
 
@@ -224,13 +251,42 @@ class Level:
     """n-grams of one order, sorted by key, with their log10 probability, and their contexts, sorted
     by key, with the log10 share they leave to the next lower order. An order of more than
     ``MAX_GRAMS`` has tables of all of them, ``(model, gram, p)`` and ``(model, context, left_over)``;
-    its arrays hold no contexts, and only the highest order's hold n-grams, the most frequent."""
+    its arrays hold no contexts, and only the highest order's hold n-grams, the most frequent. Up to
+    ``MAX_MAPPED`` it also has the names of the files that hold what its tables do."""
 
     grams: np.ndarray
     log_p: np.ndarray
     contexts: np.ndarray
     log_left: np.ndarray
     tables: tuple[DataFrame, DataFrame] | None = None
+    files: tuple[str, str] | None = None
+
+    def all_grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys and logarithms, those in memory first."""
+        yield self.grams, self.log_p
+        if self.files:
+            yield _mapped(self.files[0])
+
+    def all_contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        return _mapped(self.files[1]) if self.files else (self.contexts, self.log_left)
+
+
+@lru_cache(maxsize=64)
+def _mapped(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and logarithms of a file that :func:`_shipped` made."""
+    file = SparkFiles.get(name)
+    count = os.path.getsize(file) // 12
+    key = np.memmap(file, np.uint64, "r", 0, (count,))
+    return key.view(np.ndarray), np.memmap(file, np.float32, "r", 8 * count, (count,)).view(np.ndarray)
+
+
+def _keyed(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the strings in ``text``, which are of one length, and the logarithms of ``value``."""
+    codes = [np.frombuffer(s.encode("utf-32-le"), "<u4") for s in batch["text"]]
+    last = np.stack(codes)[:, ::-1].astype(np.uint64) + np.uint64(1)
+    powers = [pow(int(BASE), n, 1 << 64) for n in range(last.shape[1])]
+    key = (last * np.array(powers, np.uint64)).sum(axis=1, dtype=np.uint64)
+    return _salted(key, batch["model"].to_numpy()), np.log10(batch["value"].to_numpy()).astype(np.float32)
 
 
 def _collected(rows: DataFrame, text: str, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -239,13 +295,10 @@ def _collected(rows: DataFrame, text: str, value: str) -> tuple[np.ndarray, np.n
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keyed, logs = [], []
         for batch in batches:
-            codes = [np.frombuffer(s.encode("utf-32-le"), "<u4") for s in batch["text"]]
-            if codes:  # strings of one order are of one length, which may be zero
-                last = np.stack(codes)[:, ::-1].astype(np.uint64) + np.uint64(1)
-                powers = [pow(int(BASE), n, 1 << 64) for n in range(last.shape[1])]
-                key = (last * np.array(powers, np.uint64)).sum(axis=1, dtype=np.uint64)
-                keyed.append(_salted(key, batch["model"].to_numpy()))
-                logs.append(np.log10(batch["value"].to_numpy()).astype(np.float32))
+            if len(batch):
+                key, log = _keyed(batch)
+                keyed.append(key)
+                logs.append(log)
         if keyed:
             yield pd.DataFrame({"key": [np.concatenate(keyed).tobytes()], "log": [np.concatenate(logs).tobytes()]})
 
@@ -258,6 +311,49 @@ def _collected(rows: DataFrame, text: str, value: str) -> tuple[np.ndarray, np.n
     return key[order], log[order]
 
 
+def _shipped(rows: DataFrame, text: str, value: str, size: int) -> str:
+    """Hand all executors a file of the sorted keys of the strings in ``text``, about ``size`` of them,
+    and then of the logarithms of ``value``; its name. Tasks sort ranges of keys, and the driver appends
+    one after the other, so it holds a part at a time."""
+    sign = np.uint64(1 << 63)  # Spark sorts signed numbers
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                key, log = _keyed(batch)
+                yield pd.DataFrame({"key": (key ^ sign).view(np.int64), "log": log})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, many = [], 0
+        for batch in batches:
+            held.append(batch)
+            many += len(batch)
+            if many >= ROWS:
+                yield pack(pd.concat(held))
+                held, many = [], 0
+        if held:
+            yield pack(pd.concat(held))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        key = rows["key"].to_numpy(np.int64).view(np.uint64) ^ sign
+        return pd.DataFrame({"key": [key.tobytes()], "log": [rows["log"].to_numpy(np.float32).tobytes()]})
+
+    few = rows.select("model", F.col(text).alias("text"), F.col(value).alias("value"))
+    few = materialize(few.mapInPandas(keyed, "key long, log float"))  # ranges are found by a first pass
+    parts = few.repartitionByRange(-(-size // SORTED_GRAMS), "key").sortWithinPartitions("key")
+    folder = os.path.join(SparkFiles.getRootDirectory(), "shipped")  # the driver's, until it stops
+    os.makedirs(folder, exist_ok=True)
+    name = f"n-grams-{uuid.uuid4().hex}"
+    with open(os.path.join(folder, name), "wb") as out, tempfile.TemporaryFile() as logs:
+        for part in parts.mapInPandas(packed, "key binary, log binary").toLocalIterator():
+            out.write(part.key)
+            logs.write(part.log)
+        logs.seek(0)
+        shutil.copyfileobj(logs, out)
+    rows.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    return name
+
+
 def _frequent(rows: DataFrame) -> DataFrame:
     """The n-grams that occur at least so often that there are at most ``MAX_GRAMS``."""
     power = F.floor(F.log2("n")).cast("int")
@@ -295,14 +391,18 @@ def kneser_ney(counts: DataFrame) -> list[Level]:
             )
         p = F.col("own") + F.col("left_over") * F.col("below")
         lower = materialize(joined.select("model", "gram", "n", p.alias("p")))
-        if lower.count() <= MAX_GRAMS:
+        size = lower.count()
+        if size <= MAX_GRAMS:
             found.append(Level(*_collected(lower, "gram", "p"), *_collected(contexts, "context", "left_over")))
             continue
         hot = np.empty(0, np.uint64), np.empty(0, np.float32)
         if order == ORDER:
             hot = _collected(_frequent(lower), "gram", "p")
         none = np.empty(0, np.uint64), np.empty(0, np.float32)
-        found.append(Level(*hot, *none, (lower.drop("n"), contexts.drop("total"))))
+        files = None
+        if size <= MAX_MAPPED:
+            files = _shipped(lower, "gram", "p", size), _shipped(contexts, "context", "left_over", size)
+        found.append(Level(*hot, *none, (lower.drop("n"), contexts.drop("total")), files))
     return found
 
 
@@ -315,8 +415,8 @@ def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _whole(model: list[Level]) -> int:
-    """The highest order up to which all n-grams are broadcast."""
-    return sum(level.tables is None for level in model)  # a higher order never has fewer
+    """The highest order up to which executors have all n-grams."""
+    return sum(level.tables is None or level.files is not None for level in model)  # a higher order never has fewer
 
 
 def _log_p(model: list[Level], key: list[np.ndarray], places: np.ndarray, of: np.ndarray, top: int) -> np.ndarray:
@@ -326,22 +426,28 @@ def _log_p(model: list[Level], key: list[np.ndarray], places: np.ndarray, of: np
     left = np.arange(places.size)  # those not found in any higher order
     for n in range(top, 0, -1):
         level = model[n - 1]
-        at, known = _find(level.grams, _salted(key[n][places[left]], of[left]))
-        log_p[left[known]] += level.log_p[at[known]]
-        left = left[~known]
-        at, known = _find(level.contexts, _salted(key[n - 1][places[left] - 1], of[left]))
-        log_p[left[known]] += level.log_left[at[known]]
+        for grams, log in level.all_grams():
+            at, known = _find(grams, _salted(key[n][places[left]], of[left]))
+            log_p[left[known]] += log[at[known]]
+            left = left[~known]
+        contexts, log = level.all_contexts()
+        at, known = _find(contexts, _salted(key[n - 1][places[left] - 1], of[left]))
+        log_p[left[known]] += log[at[known]]
     log_p[left] -= np.log10(CODE_POINTS)
     return log_p
 
 
+def _broadcast(docs: DataFrame, model: list[Level]) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast([replace(level, tables=None) for level in model])
+
+
 def with_perplexity(docs: DataFrame, model: list[Level], of: Column | None = None) -> DataFrame:
     """``docs`` with ``perplexity`` per symbol, by the model that ``of`` tells (0 without it)."""
     small_batches(docs.sparkSession)
     of = F.lit(0) if of is None else of
     if _whole(model) < len(model):
         return _with_joined_perplexity(docs, model, of)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _broadcast(docs, model)
 
     @F.pandas_udf("double")
     def perplexity(texts: pd.Series, of: pd.Series) -> pd.Series:
@@ -365,7 +471,7 @@ def _with_joined_perplexity(docs: DataFrame, model: list[Level], of: Column) ->
     """:func:`with_perplexity` for a model too large to broadcast. Frequent n-grams are priced where
     the texts lie, each text's others by joins; texts are known by their digest."""
     top = _whole(model)
-    shared = docs.sparkSession.sparkContext.broadcast([replace(level, tables=None) for level in model])
+    shared = _broadcast(docs, model)
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -106,6 +106,44 @@ def test_every_trusted_text_counts_for_the_other_half(spark, docs, monkeypatch,
     assert Counter(r.doc_id for r in quality.kept(table, labels).collect()) == kept
 
 
+@pytest.mark.parametrize("mapped", [0, 100, quality.MAX_MAPPED])
+def test_large_orders_are_read_where_the_texts_lie(spark, docs, monkeypatch, mapped):
+    monkeypatch.setattr(quality, "MAX_GRAMS", 60)
+    monkeypatch.setattr(quality, "MAX_MAPPED", mapped)
+    monkeypatch.setattr(quality, "SORTED_GRAMS", 50)
+    monkeypatch.setattr(quality, "ROWS", 7)
+    p = [plain_kneser_ney(TEXTS[::2]), plain_kneser_ney(TEXTS[1::2])]
+    even = (F.col("doc_id") % 2).cast("int")
+    model = quality.kneser_ney(quality.materialize(quality.count_n_grams(docs(*TEXTS), even)))
+    large = [level for level in model if level.tables]
+    here = [level for level in large if level.files]
+    assert large and all(level.grams.size <= 60 for level in model)
+    assert {0: not here, 100: 0 < len(here) < len(large)}.get(mapped, here == large)
+    for level in here:
+        for name, table in zip(level.files, level.tables, strict=True):
+            key, log = quality._mapped(name)
+            assert np.all(key[1:] > key[:-1]) and key.size == log.size == table.count()
+    others = ["a dog ran on a cat", "熊熊 кот", "zzz ### 17", None, "nul \0 inside", "x", "the cat sat on the mat."]
+    rows = [*TEXTS, *others]
+    scored = quality.with_perplexity(docs(*rows), model, even)
+    moved = "Exchange" in scored._jdf.queryExecution().executedPlan().toString()
+    assert moved == (here != large)
+    got = {r.doc_id: r.perplexity for r in scored.collect()}
+    assert len(got) == len(rows)
+    for i, text in enumerate(rows):
+        assert got[i] == pytest.approx(plain_perplexity(p[i % 2], text), rel=1e-4)
+
+
+@pytest.mark.parametrize("step", [1, 1 << 40, (1 << 63) + 1, pow(int(quality.BASE), -1, 1 << 64)])
+def test_equal_keys_come_side_by_side(step):
+    for size in (0, 1, 2, 1000):  # the last step gives keys that have one hash
+        with np.errstate(over="ignore"):
+            key = np.random.default_rng(size).integers(0, 300, size).astype(np.uint64) * np.uint64(step)
+        order, starts = quality._distinct(key)
+        assert sorted(order) == list(range(size)) and starts.size == np.unique(key).size
+        assert all(np.unique(run).size == 1 for run in np.split(key[order], starts[1:]) if size)
+
+
 def test_a_task_counts_any_number_of_n_grams_in_bounded_memory():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0x4E00, 0x9FFF, 300_000).astype("<u4").tobytes().decode("utf-32-le") for _ in range(16)]
