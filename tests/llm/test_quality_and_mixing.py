@@ -242,6 +242,19 @@ def test_the_pipeline_counts_every_trusted_text(spark, docs, monkeypatch, tmp_pa
     assert sum(i in kept for i, _ in good) >= 190 and not any(i in kept for i, _ in junk)
 
 
+def test_the_pipeline_shuffles_no_text_for_a_large_model(spark, docs, monkeypatch, tmp_path):
+    good, junk = good_and_junk()
+    labels = [(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in junk]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = docs(*good, *junk)
+    wanted = sorted(r.doc_id for r in corpus_pipeline.keep_good(spark, table, str(tmp_path)).collect())
+    monkeypatch.setattr(quality, "MAX_GRAMS", 500)
+    kept = corpus_pipeline.keep_good(spark, table, str(tmp_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == wanted and wanted
+
+
 def test_without_labels_or_rows_everything_stays(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.kept(docs(*ODD), none).count() == len(ODD)
